@@ -66,5 +66,8 @@ def weekday_from_ordinal(ordinal: Column) -> Column:
 
 
 def upper_median(values: Column) -> Column:
-    """Element n/2 (from zero) of the sorted array: for an even count the upper of the two."""
-    return F.element_at(F.sort_array(values), (F.size(values) / 2).cast("int") + 1)
+    """Element n/2 (from zero) of the sorted array: for an even count the upper of the two.
+
+    An empty array has none.
+    """
+    return F.get(F.sort_array(values), (F.size(values) / 2).cast("int"))

@@ -62,19 +62,22 @@ def _corrections(quotes: DataFrame) -> DataFrame:
     return quotes.withColumns({"bid": F.col("bid") + 1, "expiration": F.date_add("expiration", 7)})
 
 
-UPSERT_SQL = f"""
+def upsert_sql(option_type: str = "option_type") -> str:
+    """Two loads, the second winning, with the latest arrival of each key."""
+    return f"""
 WITH {views.EXCHANGE_QUOTES},
 loads AS (
-  SELECT *, 0 AS source FROM quotes
+  SELECT * REPLACE ({option_type} AS option_type), 0 AS source FROM quotes
   UNION ALL
-  SELECT * REPLACE (bid + 1 AS bid, expiration + 7 AS expiration), 1 AS source FROM quotes),
+  SELECT * REPLACE ({option_type} AS option_type, bid + 1 AS bid, expiration + 7 AS expiration), 1
+  FROM quotes),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY {views.KEYS} ORDER BY source DESC, {views.ARRIVAL_DESC})
     AS recency FROM loads)
 SELECT {_OUT_SQL} FROM ranked WHERE recency = 1"""
 
 
-@query("options_upsert", UPSERT_SQL)
+@query("options_upsert", upsert_sql())
 def options_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = Lake(spark, views.scratch_dir(spark, "options-upsert"))
     quotes = views.exchange_quotes(spark, sf_dir)
