@@ -22,9 +22,13 @@ def parse_double(text: Column) -> Column:
     The JVM parser also takes the Java literal suffixes d and f (``1.5f``); those are no numbers
     in a data file, so they are nulled, while ``inf`` keeps its f.
     """
-    tail = F.lower(F.right(F.rtrim(text), F.lit(2)))
-    suffixed = tail.rlike("[0-9.][df]")
-    return F.when(~suffixed, text).try_cast("double")
+    t = F.trim(text)
+    suffixed = (
+        t.endswith("d")
+        | t.endswith("D")
+        | ((t.endswith("f") | t.endswith("F")) & ~F.lower(t).endswith("inf"))
+    )
+    return F.when(~suffixed, t).try_cast("double")
 
 
 def is_call(option_type: Column) -> Column:

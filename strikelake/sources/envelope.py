@@ -20,31 +20,50 @@ def read_pages(spark: SparkSession, path: str, *, multi_line: bool = False) -> D
     return spark.read.schema(ENVELOPE_SCHEMA).option("multiLine", multi_line).json(path)
 
 
-def _elements(data: Column) -> Column:
-    return F.from_json(data, _STRINGS)
+def _elements(data: Column, element: str) -> Column:
+    """Each element of ``data`` parsed by itself, null where it has another shape.
+
+    Parsing happens inside the array, ahead of the explode: what comes out of an explode is a
+    plain column, so a later use of a record can never parse its text again.
+    """
+    return F.transform(F.from_json(data, _STRINGS), lambda text: F.from_json(text, element))
 
 
 def _drop_nulls(record: Column) -> Column:
     return F.map_filter(record, lambda _, v: v.isNotNull())
 
 
-def _compact_record(cells: Column, fields: Column, last_of_name: Column) -> Column:
-    """Zip one row with the names. Short rows leave names out, surplus cells are ignored."""
-    entries = F.transform(
-        last_of_name,
-        lambda i: F.struct(F.get(fields, i).alias("key"), F.get(cells, i).alias("value")),
+def _names(fields: Column) -> Column:
+    """Field names by position; of a name given twice only the last position keeps it.
+
+    Names hardly ever repeat, and pages whose names differ are passed through as they are.
+    """
+    last_only = F.transform(
+        fields,
+        lambda name, i: F.when(
+            ~F.array_contains(F.slice(fields, i + 2, F.size(fields)), name), name
+        ),
     )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    differ = F.size(F.array_distinct(fields)) == F.size(fields)
+    return F.when(differ, fields).otherwise(last_only)
 
 
-def _last_of_name(fields: Column) -> Column:
-    """Positions to read: of a name given twice, the last one counts."""
-    places = F.when(F.size(fields) > 0, F.sequence(F.lit(0), F.size(fields) - 1))
-    return F.filter(
-        places,
-        lambda i: F.get(fields, i).isNotNull()
-        & ~F.array_contains(F.slice(fields, i + 2, F.size(fields)), F.get(fields, i)),
+def _compact_record(names: Column, cells: Column) -> Column:
+    """Zip one row with the names. Short rows leave names out, surplus cells are ignored."""
+    length = F.least(F.size(names), F.size(cells))
+    plain = F.map_from_arrays(F.slice(names, 1, length), F.slice(cells, 1, length))
+    picked = F.filter(
+        F.arrays_zip(names.alias("key"), cells.alias("value")),
+        lambda p: p["key"].isNotNull() & p["value"].isNotNull(),
     )
+    # A name without its position is null, which is no key.
+    named = F.size(F.array_compact(names)) == F.size(names)
+    return F.when(named, _drop_nulls(plain)).otherwise(F.map_from_entries(picked))
+
+
+def _standard_record(found: Column) -> Column:
+    """The object below ``attributes`` if there is one, else the object itself."""
+    return _drop_nulls(F.coalesce(F.from_json(found["attributes"], _RECORD), found))
 
 
 def _fields() -> Column:
@@ -62,14 +81,13 @@ def _carried(pages: DataFrame) -> list[str]:
 def compact_rows(pages: DataFrame) -> DataFrame:
     """One row per array in ``data``: page columns, ``pos`` in the page, ``record`` map."""
     keep = _carried(pages)
-    rows = pages.select(
-        *keep,
-        _fields().alias("_fields"),
-        _last_of_name(_fields()).alias("_places"),
-        F.posexplode(_elements(F.col("data"))).alias("pos", "_text"),
-    ).withColumn("_cells", F.from_json("_text", _STRINGS))
+    # The names are made ready before the explode: once per page, not once per row.
+    named = pages.select(*keep, _names(_fields()).alias("_names"), "data")
+    rows = named.select(
+        *keep, "_names", F.posexplode(_elements(F.col("data"), _STRINGS)).alias("pos", "_cells")
+    )
     return rows.filter(F.col("_cells").isNotNull()).select(
-        *keep, "pos", _compact_record(F.col("_cells"), F.col("_fields"), F.col("_places")).alias("record")
+        *keep, "pos", _compact_record(F.col("_names"), F.col("_cells")).alias("record")
     )
 
 
@@ -77,14 +95,10 @@ def standard_rows(pages: DataFrame) -> DataFrame:
     """One row per object in ``data``; the object below ``attributes`` if there is one."""
     keep = _carried(pages)
     rows = pages.select(
-        *keep, F.posexplode(_elements(F.col("data"))).alias("pos", "_text")
-    ).withColumn("_object", F.from_json("_text", _RECORD))
+        *keep, F.posexplode(_elements(F.col("data"), _RECORD)).alias("pos", "_object")
+    )
     return rows.filter(F.col("_object").isNotNull()).select(
-        *keep,
-        "pos",
-        _drop_nulls(
-            F.coalesce(F.from_json(F.col("_object")["attributes"], _RECORD), F.col("_object"))
-        ).alias("record"),
+        *keep, "pos", _standard_record(F.col("_object")).alias("record")
     )
 
 
@@ -94,30 +108,24 @@ def page_rows(pages: DataFrame) -> DataFrame:
     Both forms are read in one pass over the pages; a page without data yields nothing.
     """
     keep = _carried(pages)
-    rows = pages.select(
-        *keep,
-        F.when(_is_compact(), _fields()).alias("_fields"),
-        F.when(_is_compact(), _last_of_name(_fields())).alias("_places"),
-        F.posexplode(_elements(F.col("data"))).alias("pos", "_text"),
+    # Null names mark a standard page. They are made ready once per page, before the explode.
+    named = pages.select(*keep, F.when(_is_compact(), _names(_fields())).alias("_names"), "data")
+    compact = F.col("_names").isNotNull()
+    elements = F.transform(
+        F.from_json("data", _STRINGS),
+        lambda text: F.struct(
+            F.when(compact, F.from_json(text, _STRINGS)).alias("cells"),
+            F.when(~compact, F.from_json(text, _RECORD)).alias("object"),
+        ),
+    )
+    rows = named.select(*keep, "_names", F.posexplode(elements).alias("pos", "_e"))
+    cells, found = F.col("_e.cells"), F.col("_e.object")
+    record = F.when(cells.isNotNull(), _compact_record(F.col("_names"), cells)).otherwise(
+        _standard_record(found)
     )
-    compact = F.col("_fields").isNotNull()
-    parsed = rows.select(
-        *keep,
-        "pos",
-        "_fields",
-        "_places",
-        F.when(compact, F.from_json("_text", _STRINGS)).alias("_cells"),
-        F.when(~compact, F.from_json("_text", _RECORD)).alias("_object"),
-    ).filter(F.col("_cells").isNotNull() | F.col("_object").isNotNull())
-    record = F.when(
-        F.col("_cells").isNotNull(),
-        _compact_record(F.col("_cells"), F.col("_fields"), F.col("_places")),
-    ).otherwise(
-        _drop_nulls(
-            F.coalesce(F.from_json(F.col("_object")["attributes"], _RECORD), F.col("_object"))
-        )
+    return rows.filter(cells.isNotNull() | found.isNotNull()).select(
+        *keep, "pos", record.alias("record")
     )
-    return parsed.select(*keep, "pos", record.alias("record"))
 
 
 def unreadable_pages(pages: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from strikelake.operators.calendar import date_range
 from strikelake.operators.merge import coerce, keep_last, merge_keep_last
@@ -114,12 +114,13 @@ class Lake:
     # --- reading ---
 
     def _read_versions(self, ds: Dataset, versions: Sequence[int]) -> DataFrame:
-        files = self.spark.read.schema(
-            ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ds.schema)
-            + ", version bigint, period int"
-        )
+        partitions = [T.StructField("version", T.LongType()), T.StructField("period", T.IntegerType())]
         base = self._dir(ds, "data")
-        return files.option("basePath", base).parquet(*[f"{base}/version={v}" for v in versions])
+        return (
+            self.spark.read.schema(T.StructType([*ds.schema.fields, *partitions]))
+            .option("basePath", base)
+            .parquet(*[f"{base}/version={v}" for v in versions])
+        )
 
     def _live(self, ds: Dataset, manifest: DataFrame) -> DataFrame | None:
         """Rows of the manifest's parts with their partition columns, None if there are no parts.
@@ -199,9 +200,10 @@ class Lake:
         """Write ``rows`` as a new version and commit it with the parts that ``keep`` holds on to."""
         version = self._next_version(ds)
         self._write(ds, rows, version)
-        new = self._figures(ds, version)
+        new = self._figures(ds, version).persist()
         kept = keep.join(new.select(*_PART), _PART, "left_anti")
         self._commit(ds, kept.unionByName(new), version)
+        new.unpersist()
 
     def _conform(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
         """Valid symbols, upper-cased, fixed columns and types, the order columns behind them.
@@ -221,10 +223,16 @@ class Lake:
     def _merge(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str]) -> None:
         new = self._conform(ds, rows, order_by)
         before = self.manifest(ds.name)
-        touched = new.select(F.col(ds.symbol).alias("symbol"), "period").distinct()
+        if not self._snapshots(ds):
+            merged = merge_keep_last(None, new, order_by, ds)
+            self._publish(ds, merged.select(*ds.schema.names, "period"), before)
+            return
+        # One short row per part that the load falls into; held, as two jobs ask for it.
+        touched = new.select(F.col(ds.symbol).alias("symbol"), "period").distinct().persist()
         stored = self._live(ds, before.join(touched, _PART, "left_semi"))
         merged = merge_keep_last(stored, new, order_by, ds)
         self._publish(ds, merged.select(*ds.schema.names, "period"), before)
+        touched.unpersist()
 
     def upsert_options(self, rows: DataFrame, order_by: Sequence[str]) -> None:
         """Merge new option rows into the stored ones; new beat stored, later beat earlier.

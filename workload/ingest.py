@@ -95,7 +95,7 @@ UNION ALL SELECT {_ORDER_SQL}, 1, {_SHORT_PAIRS} FROM quotes
 UNION ALL SELECT {_ORDER_SQL}, 4, {_ALL_PAIRS} FROM quotes""",
 )
 def ingest_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = compact_pages(views.exchange_quotes(spark, sf_dir), *_ORDER)
+    pages = compact_pages(views.spread(views.exchange_quotes(spark, sf_dir)), *_ORDER)
     return envelope.compact_rows(pages).select(*_ORDER, "pos", _entries_text(F.col("record")))
 
 
@@ -111,7 +111,7 @@ def standard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("string"),
         F.lit("}]"),
     )
-    return views.table(spark, sf_dir, "events").select(
+    return views.spread(views.table(spark, sf_dir, "events")).select(
         "event_id",
         F.struct(F.lit(None).cast("array<string>").alias("fields")).alias("meta"),
         data.alias("data"),
@@ -144,7 +144,7 @@ FROM events CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 6) G
 )
 def ingest_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both forms in one load, with pages that hold nothing, null, no array, or no JSON."""
-    compact = compact_pages(views.exchange_quotes(spark, sf_dir)).withColumn("source", F.lit("compact"))
+    compact = compact_pages(views.spread(views.exchange_quotes(spark, sf_dir))).withColumn("source", F.lit("compact"))
     standard = standard_pages(spark, sf_dir).drop("event_id").withColumn("source", F.lit("standard"))
     status = F.col("o_orderstatus")
     empty = views.table(spark, sf_dir, "orders").select(
@@ -193,7 +193,7 @@ SELECT {_ORDER_SQL}, underlying_symbol, lower(option_type) AS option_type,
 FROM quotes""",
 )
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = views.exchange_quotes(spark, sf_dir)
+    quotes = views.spread(views.exchange_quotes(spark, sf_dir))
 
     def text(c: str) -> Column:
         return F.col(c).cast("string")
@@ -298,7 +298,7 @@ def symbol_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads of pages land as files and are streamed into a lake, in two runs."""
     scratch = views.scratch_dir(spark, "stream")
-    quotes = views.exchange_quotes(spark, sf_dir)
+    quotes = views.spread(views.exchange_quotes(spark, sf_dir))
     lake = Lake(spark, f"{scratch}/lake")
     for load in (quotes, _corrections(quotes)):
         pages = stream_pages(load)

@@ -80,7 +80,7 @@ SELECT {_OUT_SQL} FROM ranked WHERE recency = 1"""
 @query("options_upsert", upsert_sql())
 def options_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = Lake(spark, views.scratch_dir(spark, "options-upsert"))
-    quotes = views.exchange_quotes(spark, sf_dir)
+    quotes = views.spread(views.exchange_quotes(spark, sf_dir))
     lake.upsert_options(quotes, views.ARRIVAL)
     lake.upsert_options(_corrections(quotes), views.ARRIVAL)
     return lake.scan("options").select(*_OUT)
@@ -95,7 +95,7 @@ FROM ranked WHERE recency = 1 GROUP BY 1, 2, 3""",
 )
 def scan_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = Lake(spark, views.scratch_dir(spark, "scan-quotes"))
-    lake.upsert_options(views.exchange_quotes(spark, sf_dir), views.ARRIVAL)
+    lake.upsert_options(views.spread(views.exchange_quotes(spark, sf_dir)), views.ARRIVAL)
     return (
         lake.scan("options")
         .groupBy("underlying_symbol", "quote_date", "option_type")

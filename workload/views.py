@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores where a table comes in fewer splits than there are cores.
+
+    For queries that compute much per row. A table of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _quotes(lineitem: DataFrame, symbol: Column) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
     flag = F.col("l_returnflag")
