@@ -37,17 +37,19 @@ def write_batch(lake: Lake, price_mode: str = "merge") -> Callable[[DataFrame, i
     """The ``foreachBatch`` body: options pages are upserted, price pages stored."""
 
     def write(pages: DataFrame, batch_id: int) -> None:
-        pages = pages.persist()
+        # A merge reads its rows twice (which parts, then which rows); parsing is the dear part.
+        options = pages.filter(F.col("dataset") == "options")
+        quotes = normalize_quotes(page_rows(options).drop("symbol")).persist()
+        prices = pages.filter(F.col("dataset") == "prices")
+        bars = prices_from_quotes(quotes_of(page_rows(prices))).persist()
         try:
-            options = pages.filter(F.col("dataset") == "options")
-            if not options.isEmpty():
-                rows = normalize_quotes(page_rows(options).drop("symbol"))
-                lake.upsert_options(rows, ARRIVAL)
-            prices = pages.filter(F.col("dataset") == "prices")
-            if not prices.isEmpty():
-                lake.write_prices(prices_from_quotes(quotes_of(page_rows(prices))), ARRIVAL, price_mode)
+            if not quotes.isEmpty():
+                lake.upsert_options(quotes, ARRIVAL)
+            if not bars.isEmpty():
+                lake.write_prices(bars, ARRIVAL, price_mode)
         finally:
-            pages.unpersist()
+            quotes.unpersist()
+            bars.unpersist()
 
     return write
 
