@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # API field name -> column name of the options table.
 API_FIELDS = {
@@ -96,22 +96,23 @@ class Dataset:
     symbol: str
     date: str
     keys: tuple[str, ...]
-    monthly: bool
+    split: bool
 
     @property
     def types(self) -> dict[str, T.DataType]:
         return {f.name: f.dataType for f in self.schema}
 
-    def period(self) -> Column:
-        """Directory of a row below its symbol: yyyymm, or 0 for undated and unsplit rows.
+    def period(self, part: str) -> Column:
+        """Directory of a row below its symbol: yyyymm or yyyy00, 0 for undated and unsplit rows.
 
-        Option chains of one busy symbol can be a third of the lake, so they are split by
-        month; price bars are one row per symbol and day and stay together.
+        Option chains of one busy symbol can be a third of the lake, so they are split by time;
+        price bars are one row per symbol and day and stay together.
         """
-        if not self.monthly:
+        if not self.split:
             return F.lit(0)
         d = F.col(self.date)
-        return F.coalesce(F.year(d) * 100 + F.month(d), F.lit(0))
+        month = F.month(d) if part == "month" else F.lit(0)
+        return F.coalesce(F.year(d) * 100 + month, F.lit(0))
 
 
 OPTIONS = Dataset("options", OPTIONS_SCHEMA, "underlying_symbol", "quote_date", OPTION_KEYS, True)
@@ -124,3 +125,8 @@ def dataset(name: str) -> Dataset:
         if known.name == name:
             return known
     raise ValueError(f"unknown dataset: {name!r} (expected 'options' or 'prices')")
+
+
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows of a schema, without a Python-side source."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

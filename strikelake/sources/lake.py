@@ -2,8 +2,8 @@
 
 Layout below the root, per dataset::
 
-    data/version=<n>/<symbol column>=<symbol>/period=<yyyymm>/*.parquet
-    manifest/snapshot=<n>/*.parquet     one row per live (symbol, period): version and figures
+    by_<part>/data/version=<n>/<symbol column>=<symbol>/period=<yyyymm>/*.parquet
+    by_<part>/manifest/snapshot=<n>/*.parquet    one row per live (symbol, period)
 
 A write puts only the touched (symbol, period) parts into a new version directory and then
 writes a new manifest. Spark's ``_SUCCESS`` marker of the manifest is the commit: readers see the
@@ -22,26 +22,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from strikelake.operators.calendar import date_range
 from strikelake.operators.merge import coerce, keep_last, merge_keep_last
 from strikelake.operators.symbols import restrict_symbols, split_symbols
-from strikelake.schemas import OPTIONS, PRICES, Dataset, dataset
-
-MANIFEST_SCHEMA = (
-    "symbol string, period int, version bigint, row_count bigint, "
-    "date_min date, date_max date, n_files bigint, size_bytes bigint"
+from strikelake.schemas import OPTIONS, PRICES, Dataset, dataset, empty_table
+
+MANIFEST_SCHEMA = T.StructType(
+    [
+        T.StructField("symbol", T.StringType()),
+        T.StructField("period", T.IntegerType()),
+        T.StructField("version", T.LongType()),
+        T.StructField("row_count", T.LongType()),
+        T.StructField("date_min", T.DateType()),
+        T.StructField("date_max", T.DateType()),
+        T.StructField("n_files", T.LongType()),
+        T.StructField("size_bytes", T.LongType()),
+    ]
 )
 _PART = ["symbol", "period"]
 
 
 class Lake:
-    """A lake under one root path."""
+    """A lake under one root path.
+
+    ``part`` is how far option rows of a symbol are split: by ``month``, which keeps the rewrite of
+    a daily load small, or by ``year`` for symbols with few rows. It is fixed for a lake.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, part: str = "month"):
+        if part not in ("month", "year"):
+            raise ValueError(f"unknown part: {part!r}")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.part = part
+        other = "year" if part == "month" else "month"
+        if self._numbers(f"{self.root}/*/by_{other}/manifest/snapshot=*/_SUCCESS"):
+            raise ValueError(f"the lake at {root} is stored by {other}")
 
     # --- files ---
 
     def _dir(self, ds: Dataset, *parts: str) -> str:
-        return "/".join([self.root, ds.name, *parts])
+        return "/".join([self.root, ds.name, f"by_{self.part}", *parts])
 
     def _fs(self, path: str):
         hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,7 +93,7 @@ class Lake:
         if snapshot is None:
             snapshot = max(self._snapshots(ds), default=None)
         if snapshot is None:
-            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+            return empty_table(self.spark, MANIFEST_SCHEMA)
         path = self._dir(ds, "manifest", f"snapshot={snapshot}")
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
@@ -145,16 +163,17 @@ class Lake:
     ) -> DataFrame:
         """A dataset, lazily; empty with its schema if nothing is stored.
 
-        Symbols and months are directory filters; the dates also reach the Parquet row groups.
+        Symbols and periods are directory filters; the dates also reach the Parquet row groups.
         """
         ds = dataset(name)
         rows = self._live(ds, self.manifest(name))
         if rows is None:
-            return self.spark.createDataFrame([], ds.schema)
+            return empty_table(self.spark, ds.schema)
         rows = restrict_symbols(rows, symbols, ds.symbol)
-        if ds.monthly and date_from is not None:
-            rows = rows.filter(F.col("period") >= int(date_from[:4] + date_from[5:7]))
-        if ds.monthly and date_to is not None:
+        if ds.split and date_from is not None:
+            first_month = date_from[5:7] if self.part == "month" else "00"
+            rows = rows.filter(F.col("period") >= int(date_from[:4] + first_month))
+        if ds.split and date_to is not None:
             rows = rows.filter(F.col("period") <= int(date_to[:4] + date_to[5:7]))
         return date_range(rows, ds.date, date_from, date_to).select(*ds.schema.names)
 
@@ -218,7 +237,7 @@ class Lake:
             for c in ds.schema.names
         ]
         order = [c for c in order_by if c not in types]
-        return typed.select(*columns, *order).withColumn("period", ds.period())
+        return typed.select(*columns, *order).withColumn("period", ds.period(self.part))
 
     def _merge(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str]) -> None:
         new = self._conform(ds, rows, order_by)
@@ -237,7 +256,7 @@ class Lake:
     def upsert_options(self, rows: DataFrame, order_by: Sequence[str]) -> None:
         """Merge new option rows into the stored ones; new beat stored, later beat earlier.
 
-        ``order_by`` names the arrival order of the new rows. Only the months that the rows fall
+        ``order_by`` names the arrival order of the new rows. Only the parts that the rows fall
         into are read and rewritten. Stored data that cannot be read fails the write.
         """
         self._merge(OPTIONS, rows, order_by)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from strikelake.operators.facts import date_column, has_type
 from strikelake.operators.merge import coerce
-from strikelake.schemas import dataset
-from pyspark.sql import types as T
+from strikelake.schemas import dataset, empty_table
+
+_LISTING = T.StructType(
+    [T.StructField("symbol", T.StringType()), T.StructField("size_bytes", T.LongType())]
+)
 
 
 def _pattern(root: str, name: str) -> str:
@@ -29,7 +32,7 @@ def read_symbol_files(spark: SparkSession, root: str, name: str) -> DataFrame:
         files = spark.read.option("mergeSchema", "true").parquet(_pattern(root, name))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], ds.schema)
+            return empty_table(spark, ds.schema)
         raise
     named = files.withColumn(ds.symbol, _symbol(F.col("_metadata.file_name")))
     return coerce(named, ds)
@@ -42,7 +45,7 @@ def list_symbol_files(spark: SparkSession, root: str, name: str) -> DataFrame:
         listing = spark.read.format("binaryFile").load(_pattern(root, name))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], "symbol string, size_bytes bigint")
+            return empty_table(spark, _LISTING)
         raise
     return listing.select(_symbol(F.col("path")).alias("symbol"), F.col("length").alias("size_bytes"))
 

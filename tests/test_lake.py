@@ -113,7 +113,7 @@ def test_upsert_merges_and_keeps_other_parts(spark, tmp_path):
     assert (status["SPY"]["row_count"], status["SPY"]["date_min"], status["SPY"]["date_max"]) == (4, d("2024-01-10"), d("2024-02-10"))
     on_disk = sum(
         os.path.getsize(os.path.join(path, f))
-        for path, _, files in os.walk(tmp_path / "options" / "data")
+        for path, _, files in os.walk(tmp_path / "options" / "by_month" / "data")
         for f in files
         if f.endswith(".parquet") and not ("version=1" in path and "SPY/period=202401" in path)
     )
@@ -143,6 +143,19 @@ def test_scan_prunes_directories(spark, tmp_path):
     assert "LeftSemi" in plain
 
 
+def test_parts_by_year(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path), part="year")
+    lake.upsert_options(quotes(spark, [quote("A", x, bid=1.0) for x in ("2023-05-01", "2024-01-10", "2024-06-10")]), ["seq"])
+    lake.upsert_options(quotes(spark, [quote("A", "2024-06-10", bid=2.0)]), ["seq"])
+    versions = {(r["symbol"], r["period"]): r["version"] for r in lake.manifest("options").collect()}
+    assert versions == {("A", 202300): 1, ("A", 202400): 2}
+    got = lake.scan("options", date_from="2024-02-01", date_to="2024-06-10").collect()
+    assert [(str(r["quote_date"]), r["bid"]) for r in got] == [("2024-06-10", 2.0)]
+    assert lake.scan("options").count() == 3
+    with pytest.raises(ValueError, match="by year"):
+        Lake(spark, str(tmp_path))
+
+
 def test_a_failed_write_leaves_the_state_as_it_was(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     lake.upsert_options(quotes(spark, [quote(bid=1.0)]), ["seq"])
@@ -157,7 +170,7 @@ def test_a_failed_write_leaves_the_state_as_it_was(spark, tmp_path):
 def test_unreadable_stored_data_fails_the_upsert(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     lake.upsert_options(quotes(spark, [quote(bid=1.0)]), ["seq"])
-    for path, _, files in os.walk(tmp_path / "options" / "data"):
+    for path, _, files in os.walk(tmp_path / "options" / "by_month" / "data"):
         for f in files:
             if f.endswith(".parquet"):
                 with open(os.path.join(path, f), "wb") as h:
@@ -203,7 +216,7 @@ def test_purge_and_expire(spark, tmp_path):
     assert [r["symbol"] for r in lake.symbols("options").collect()] == ["QQQ"]
     assert [r["symbol"] for r in lake.symbols("prices").collect()] == ["SPY"]
     assert {r["underlying_symbol"] for r in lake.scan("options").collect()} == {"QQQ"}
-    gone = tmp_path / "options" / "data" / "version=1" / "underlying_symbol=SPY" / "period=202401"
+    gone = tmp_path / "options" / "by_month" / "data" / "version=1" / "underlying_symbol=SPY" / "period=202401"
     assert gone.exists() and lake.expire("options") == 1 and not gone.exists()
     assert lake.expire("options") == 0
     assert {r["underlying_symbol"] for r in lake.scan("options").collect()} == {"QQQ"}

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strikelake.operators.normalize import normalize_quotes
 from strikelake.sources import envelope
-from strikelake.sources.lake import Lake
 from strikelake.sources.quotes import prices_from_quotes, quote_errors
 from strikelake.streaming.ingest import ingest_stream
 from workload import views
@@ -299,7 +298,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads of pages land as files and are streamed into a lake, in two runs."""
     scratch = views.scratch_dir(spark, "stream")
     quotes = views.spread(views.exchange_quotes(spark, sf_dir))
-    lake = Lake(spark, f"{scratch}/lake")
+    lake = views.scratch_lake(spark, "stream-lake")
     for load in (quotes, _corrections(quotes)):
         pages = stream_pages(load)
         pages.write.mode("append").json(f"{scratch}/landing")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strikelake.operators import merge
-from strikelake.sources.lake import Lake, purge_outcome, purge_rows
+from strikelake.sources.lake import purge_outcome, purge_rows
 from workload import views
 from workload.facts import catalog_status
 from workload.registry import query
@@ -79,7 +79,7 @@ SELECT {_OUT_SQL} FROM ranked WHERE recency = 1"""
 
 @query("options_upsert", upsert_sql())
 def options_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lake = Lake(spark, views.scratch_dir(spark, "options-upsert"))
+    lake = views.scratch_lake(spark, "options-upsert")
     quotes = views.spread(views.exchange_quotes(spark, sf_dir))
     lake.upsert_options(quotes, views.ARRIVAL)
     lake.upsert_options(_corrections(quotes), views.ARRIVAL)
@@ -94,7 +94,7 @@ SELECT underlying_symbol, quote_date, option_type, count(*) AS n, max(strike) AS
 FROM ranked WHERE recency = 1 GROUP BY 1, 2, 3""",
 )
 def scan_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lake = Lake(spark, views.scratch_dir(spark, "scan-quotes"))
+    lake = views.scratch_lake(spark, "scan-quotes")
     lake.upsert_options(views.spread(views.exchange_quotes(spark, sf_dir)), views.ARRIVAL)
     return (
         lake.scan("options")
@@ -125,7 +125,7 @@ _SHIPMENTS = """shipments AS (
 
 
 def _two_price_loads(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    lake = Lake(spark, views.scratch_dir(spark, f"prices-{mode}"))
+    lake = views.scratch_lake(spark, f"prices-{mode}")
     lake.write_prices(views.exchange_prices(spark, sf_dir), mode=mode)
     lake.write_prices(_shipment_prices(spark, sf_dir), mode=mode)
     return lake.scan("prices").select(*_BARS.split(", "))
@@ -198,3 +198,28 @@ WHERE symbol NOT IN (SELECT symbol FROM requests WHERE dataset = 'prices')""",
 def purged_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = views.listing_prices(spark, sf_dir)
     return purge_rows(prices, _requests(spark, sf_dir), "prices").select(*_BARS.split(", "))
+
+
+@query(
+    "lake_status",
+    f"""
+WITH {views.EXCHANGE_PRICES}
+SELECT 'prices' AS dataset, symbol, count(*) AS row_count, min(date) AS date_min, max(date) AS date_max,
+  true AS has_bytes
+FROM prices WHERE symbol IN (SELECT l_linestatus FROM lineitem) GROUP BY 2""",
+)
+def lake_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of all order states are stored; states that no line has are purged; the rest is listed."""
+    lake = views.scratch_lake(spark, "status")
+    lake.write_prices(views.exchange_prices(spark, sf_dir))
+    shipped = views.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("symbol"))
+    unshipped = (
+        views.table(spark, sf_dir, "orders")
+        .select(F.col("o_orderstatus").alias("symbol"))
+        .distinct()
+        .join(shipped.distinct(), "symbol", "left_anti")
+    )
+    lake.purge(unshipped.withColumn("dataset", F.lit("prices")))
+    return lake.status().select(
+        "dataset", "symbol", "row_count", "date_min", "date_max", (F.col("size_bytes") > 0).alias("has_bytes")
+    )

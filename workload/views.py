@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strikelake.sources.lake import Lake
+
 # Arrival order of the quotes; with the keys it covers every column, so ties are equal rows.
 ARRIVAL = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "last", "bid", "ask")
 
@@ -125,3 +127,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="strikelake-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def scratch_lake(spark: SparkSession, label: str) -> Lake:
+    """A new lake. By year: the test tables have few option rows per symbol and month."""
+    return Lake(spark, scratch_dir(spark, label), part="year")
