@@ -287,3 +287,28 @@ def test_stream_ingest(spark, tmp_path):
     run()
     run()
     assert {r["strike"]: r["bid"] for r in lake.scan("options").collect()} == {1.0: 7.0, 9.0: 5.0}
+
+
+def test_a_hot_part_is_written_as_several_files(spark, tmp_path):
+    """Most rows in one symbol and month: the write spreads them over tasks by size."""
+    lake = Lake(spark, str(tmp_path))
+    hot = spark.range(60000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("S"), F.col("id") % 50)).otherwise("HOT").alias("underlying_symbol"),
+        F.lit(d("2024-01-10")).alias("quote_date"),
+        F.lit(d("2024-02-16")).alias("expiration"),
+        F.col("id").cast("double").alias("strike"),
+        F.lit("call").alias("option_type"),
+        F.rand(1).alias("bid"),
+        F.rand(2).alias("ask"),
+        F.rand(3).alias("last"),
+        F.col("id").alias("seq"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        lake.upsert_options(hot, ["seq"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = {r["symbol"]: (r["n_files"], r["row_count"]) for r in lake.manifest("options").collect()}
+    assert files["HOT"][0] > 1 and files["HOT"][1] == 54000
+    assert sum(rows for _, rows in files.values()) == 60000
