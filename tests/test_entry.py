@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
 # Each writes many files; the lake tests cover them, and check.py compares them at scale.
-SLOW = {"stream_ingest", "options_upsert", "scan_quotes"}
+SLOW = {"load_run", "stream_ingest", "options_upsert", "scan_quotes"}
 
 
 @pytest.fixture(scope="module")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strikelake.operators.normalize import normalize_quotes
+from strikelake.plans.run import load_pages
 from strikelake.sources import envelope
 from strikelake.sources.quotes import prices_from_quotes, quote_errors
 from strikelake.streaming.ingest import ingest_stream
@@ -230,13 +231,19 @@ def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _seconds(ts: Column) -> Column:
+    """Epoch seconds of a wall-clock time, in any session zone."""
+    days = F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def _event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as quotes of their type; those of type ``error`` have an impossible time."""
     value = F.col("value")
     return views.table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),
         F.when(F.col("event_type") == "error", F.lit(-(2**63)))
-        .otherwise(F.unix_seconds(F.col("ts").cast("timestamp")))
+        .otherwise(_seconds(F.col("ts")))
         .alias("timestamp"),
         *[(value + i).alias(c) for i, c in enumerate(("open", "high", "low", "close", "adjclose"))],
         F.col("user_id").alias("volume"),
@@ -318,3 +325,72 @@ def stream_pages(quotes: DataFrame) -> DataFrame:
         F.concat(F.lit("["), _json_row(full), F.lit("]")).alias("data"),
         F.struct(F.lit(None).cast("string").alias("next")).alias("links"),
     )
+
+
+def _priced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prices page per event, of its type; ``error`` has impossible times, ``view`` also broken pages."""
+    events = views.table(spark, sf_dir, "events")
+    failed = F.col("event_type") == "error"
+    seconds = F.when(failed, F.lit(-(2**63))).otherwise(_seconds(F.col("ts")))
+    bar = F.to_json(
+        F.array(
+            F.struct(
+                seconds.alias("timestamp"),
+                *[F.col("value").alias(c) for c in ("open", "high", "low", "close", "adjclose")],
+                F.col("user_id").alias("volume"),
+            )
+        )
+    )
+    broken = (F.col("event_type") == "view") & (F.col("value") < 10)
+    return events.select(
+        F.lit("prices").alias("dataset"),
+        F.col("event_type").alias("symbol"),
+        F.col("event_id").alias("page_seq"),
+        F.struct(F.lit(None).cast("array<string>").alias("fields")).alias("meta"),
+        F.when(broken, F.concat(F.lit("["), bar)).otherwise(bar).alias("data"),
+        F.struct(F.lit(None).cast("string").alias("next")).alias("links"),
+    )
+
+
+@query(
+    "load_run",
+    f"""
+WITH {views.EXCHANGE_QUOTES},
+o AS (
+  SELECT underlying_symbol AS symbol, count(*) AS n,
+    count(DISTINCT (quote_date, expiration, strike, lower(option_type), expiration_type)) AS total,
+    min(quote_date) AS lo, max(quote_date) AS hi
+  FROM quotes GROUP BY 1),
+e AS (
+  SELECT event_type, CAST(ts AS DATE) AS date, event_type = 'view' AND value < 10 AS broken FROM events),
+p AS (
+  SELECT event_type AS symbol, CAST(count_if(broken) AS BIGINT) AS broken,
+    CAST(CASE WHEN event_type = 'error' THEN 0 ELSE count_if(NOT broken) END AS BIGINT) AS n,
+    CASE WHEN event_type = 'error' THEN 0
+      ELSE count(DISTINCT CASE WHEN NOT broken THEN date END) END AS total,
+    CASE WHEN event_type <> 'error' THEN min(CASE WHEN NOT broken THEN date END) END AS lo,
+    CASE WHEN event_type <> 'error' THEN max(CASE WHEN NOT broken THEN date END) END AS hi
+  FROM e GROUP BY 1)
+SELECT symbol, 'chains' AS provider, 'options' AS category, n AS new_rows, total AS total_rows,
+  lo AS date_min, hi AS date_max, 'OK' AS status, '' AS message FROM o
+UNION ALL
+SELECT upper(symbol), 'bars', 'prices', n, total, lo, hi,
+  CASE WHEN symbol = 'error' THEN 'FAILED' WHEN broken > 0 THEN 'WARNING' ELSE 'OK' END,
+  CASE WHEN symbol = 'error' THEN 'All quotes for ERROR had invalid timestamps'
+    WHEN broken > 0 THEN broken || ' unreadable page(s)' ELSE '' END
+FROM p""",
+)
+def load_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options pages of all lines and prices pages of all events in one load, with its report."""
+    lines = stream_pages(views.spread(views.exchange_quotes(spark, sf_dir)))
+    options = lines.withColumns(
+        {
+            "symbol": F.get_json_object("data", "$[0][0]"),
+            "page_seq": F.col("page_seq.l_orderkey"),
+        }
+    )
+    events = views.spread(_priced_pages(spark, sf_dir)).withColumn("symbol", F.upper("symbol"))
+    scratch = views.scratch_dir(spark, "load-run")
+    lake = views.scratch_lake(spark, "load-lake")
+    pages = options.unionByName(events)
+    return load_pages(lake, pages, scratch, {"options": "chains", "prices": "bars"})
