@@ -10,16 +10,13 @@ def next_dates(candidates: DataFrame, calendar: DataFrame, lookups: dict[str, st
 
     ``lookups`` maps candidate columns to the names of the results; all of them are answered by
     one pass over the calendar. ``candidates`` has one row per symbol and ``calendar`` one per
-    symbol and date, so the join meets every date once and is reduced to a minimum right away.
+    symbol and date, so the join meets every date once and is reduced to a minimum right away. The
+    candidates' own columns ride along as grouping columns: what they were made from is read once.
     """
-    later = (
-        calendar.join(candidates.select("symbol", *lookups), "symbol")
-        .groupBy("symbol")
-        .agg(
-            *[
-                F.min(F.when(F.col("date") >= F.col(since), F.col("date"))).alias(found)
-                for since, found in lookups.items()
-            ]
-        )
+    met = candidates.join(calendar.select("symbol", F.col("date").alias("_date")), "symbol", "left")
+    return met.groupBy(*candidates.columns).agg(
+        *[
+            F.min(F.when(F.col("_date") >= F.col(since), F.col("_date"))).alias(found)
+            for since, found in lookups.items()
+        ]
     )
-    return candidates.join(later, "symbol", "left")

@@ -96,35 +96,54 @@ def _rows_in(totals: Column, node: Column) -> Column:
 
 
 def split_windows(
-    windows: DataFrame,
+    spans: DataFrame,
     day_counts: DataFrame,
     prices: DataFrame | None = None,
     row_cap: int = ROW_CAP,
 ) -> DataFrame:
     """Halve every window with more than ``row_cap`` rows until it fits or spans two days.
 
+    ``spans`` are the loads of :func:`load_spans`, whose windows are those of :func:`load_windows`.
     ``outcome`` is ``fits``, ``incomplete`` (too full at the smallest span) or ``strike_band`` (a
     single day with a known close, which is split by strike instead: see the strike columns).
 
-    Day counts are folded into running totals per window, an array of at most 32 numbers; the
+    Both inputs are read once: a span takes its day counts along, at most one per calendar day, and
+    hands each window its own. These become running totals, an array of at most 32 numbers, and the
     halving is then arithmetic on one row, without a join or shuffle per level.
     """
     keys = ["symbol", "option_type", "window_no", "window_from", "window_to"]
-    w = windows.select(*keys)
-    reach = w.groupBy("symbol", "option_type").agg(
-        F.min("window_from").alias("start"), F.max("window_to").alias("end")
-    )
-    length = WINDOW_REACH + 1
-    number = F.floor(F.datediff("end", "date") / length).cast("int")
-    opens = F.greatest(F.col("start"), F.date_sub("end", F.col("window_no") * length + WINDOW_REACH))
     # Windows are numbered back from the end, so a day finds its window by arithmetic.
+    number = F.floor(F.datediff("end", "date") / (WINDOW_REACH + 1)).cast("int")
+    in_span = F.col("date").between(F.col("start"), F.col("end"))
     held = (
-        day_counts.join(reach, ["symbol", "option_type"])
-        .filter(F.col("date").between(F.col("start"), F.col("end")))
-        .withColumn("window_no", number)
-        .select("symbol", "option_type", "window_no", F.datediff("date", opens).alias("day"), "n")
-        .groupBy("symbol", "option_type", "window_no")
-        .agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("_by_day"))
+        spans.select("symbol", "option_type", "start", "end")
+        .join(day_counts, ["symbol", "option_type"], "left")
+        .groupBy("symbol", "option_type", "start", "end")
+        .agg(
+            F.collect_list(F.when(in_span, F.struct(number.alias("no"), "date", "n"))).alias("_days")
+        )
+    )
+    windows = held.select(
+        "symbol",
+        "option_type",
+        "_days",
+        F.posexplode_outer(window_array(F.col("start"), F.col("end"))).alias("window_no", "_w"),
+    ).select(
+        "symbol",
+        "option_type",
+        "window_no",
+        F.col("_w")["from"].alias("window_from"),
+        F.col("_w")["to"].alias("window_to"),
+        F.filter("_days", lambda day: day["no"] == F.col("window_no")).alias("_days"),
+    )
+    by_day = windows.select(
+        *keys,
+        F.map_from_entries(
+            F.transform(
+                "_days",
+                lambda day: F.struct(F.datediff(day["date"], "window_from").alias("day"), day["n"].alias("n")),
+            )
+        ).alias("_by_day"),
     )
     span = F.datediff("window_to", "window_from")
     counts = F.transform(
@@ -136,7 +155,7 @@ def split_windows(
         F.array(F.lit(0).cast("bigint")),
         lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
     )
-    nodes = w.join(held, ["symbol", "option_type", "window_no"], "left").select(
+    nodes = by_day.select(
         *keys,
         totals.alias("_totals"),
         F.array(F.struct(F.lit(0).alias("lo"), span.alias("hi"))).alias("_nodes"),
@@ -156,7 +175,9 @@ def split_windows(
                 )
             ),
         )
-    leaves = nodes.select(*keys, "_totals", F.explode("_nodes").alias("_n")).select(
+    # No window is without a node. The outer form spares a test for that, which would be computed
+    # from the whole halving once more.
+    leaves = nodes.select(*keys, "_totals", F.explode_outer("_nodes").alias("_n")).select(
         "symbol",
         "option_type",
         "window_no",

@@ -60,3 +60,14 @@ def test_date_range_is_pushed_to_the_scan(spark):
 def test_report_reads_quotes_twice_and_prices_once(spark):
     plan = plan_of(spark, "quality_report")
     assert plan.count("FileScan parquet") == 3
+
+
+def test_plans_do_not_read_a_table_twice_for_one_answer(spark):
+    assert plan_of(spark, "resume_plan").count("FileScan parquet") == 2
+    # Resume dates and day counts of the quotes, and the closes.
+    assert plan_of(spark, "split_windows").count("FileScan parquet") == 3
+
+
+def test_json_is_not_parsed_again_by_a_derived_filter(spark):
+    for name in ("ingest_compact", "ingest_standard", "ingest_envelope"):
+        assert not re.search(r"Filter .*from_json", plan_of(spark, name))

@@ -134,7 +134,7 @@ def test_split_matches_the_definition(spark):
             leaf for lo, hi in windows_by_definition(start, end) for leaf in halves(lo, hi, counts, cap, closes)
         )
     o = quotes(spark, [*rows, quote("S0", "2020-01-01"), quote("S0", "2024-03-01", kind="put")])
-    w = windows.load_windows(spark.createDataFrame(plan, "symbol string, option_type string, resume_date date"), end)
+    w = windows.load_spans(spark.createDataFrame(plan, "symbol string, option_type string, resume_date date"), end)
     leaves = windows.split_windows(w, windows.side_day_counts(o), prices(spark, p), cap)
     got: dict[str, list] = {}
     for r in leaves.collect():

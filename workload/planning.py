@@ -143,9 +143,9 @@ FROM leaves""",
 )
 def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = views.exchange_quotes(spark, sf_dir)
-    plan = windows.load_windows(resume.resume_plan(quotes), AS_OF, SPLIT_FROM)
+    spans = windows.load_spans(resume.resume_plan(quotes), AS_OF, SPLIT_FROM)
     return windows.split_windows(
-        plan, windows.side_day_counts(quotes), views.exchange_prices(spark, sf_dir), ROW_CAP
+        spans, windows.side_day_counts(quotes), views.exchange_prices(spark, sf_dir), ROW_CAP
     )
 
 
