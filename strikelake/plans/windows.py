@@ -136,26 +136,32 @@ def split_windows(
         F.col("_w")["to"].alias("window_to"),
         F.filter("_days", lambda day: day["no"] == F.col("window_no")).alias("_days"),
     )
-    by_day = windows.select(
-        *keys,
-        F.map_from_entries(
-            F.transform(
-                "_days",
-                lambda day: F.struct(F.datediff(day["date"], "window_from").alias("day"), day["n"].alias("n")),
-            )
-        ).alias("_by_day"),
-    )
     span = F.datediff("window_to", "window_from")
-    counts = F.transform(
-        F.sequence(F.lit(0), span),
-        lambda i: F.coalesce(F.try_element_at(F.col("_by_day"), i), F.lit(0).cast("bigint")),
+    by_day = F.map_from_entries(
+        F.transform(
+            "_days",
+            lambda day: F.struct(F.datediff(day["date"], "window_from").alias("day"), day["n"].alias("n")),
+        )
     )
+    none = F.lit(0).cast("bigint")
+    # The map is the start of the fold, which is computed once; inside the fold's function it
+    # would be computed again for every day.
     totals = F.aggregate(
-        counts,
-        F.array(F.lit(0).cast("bigint")),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
+        F.sequence(F.lit(0), span),
+        F.struct(by_day.alias("by_day"), F.array(none).alias("totals")),
+        lambda acc, i: F.struct(
+            acc["by_day"].alias("by_day"),
+            F.concat(
+                acc["totals"],
+                F.array(
+                    F.element_at(acc["totals"], -1)
+                    + F.coalesce(F.try_element_at(acc["by_day"], i), none)
+                ),
+            ).alias("totals"),
+        ),
+        lambda acc: acc["totals"],
     )
-    nodes = by_day.select(
+    nodes = windows.select(
         *keys,
         totals.alias("_totals"),
         F.array(F.struct(F.lit(0).alias("lo"), span.alias("hi"))).alias("_nodes"),

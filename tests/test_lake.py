@@ -312,3 +312,14 @@ def test_a_hot_part_is_written_as_several_files(spark, tmp_path):
     files = {r["symbol"]: (r["n_files"], r["row_count"]) for r in lake.manifest("options").collect()}
     assert files["HOT"][0] > 1 and files["HOT"][1] == 54000
     assert sum(rows for _, rows in files.values()) == 60000
+
+
+def test_a_load_without_valid_rows_changes_nothing(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    lake.upsert_options(quotes(spark, [quote("no symbol")]), ["seq"])
+    assert lake.scan("options").count() == 0 and lake.symbols("options").count() == 0
+    lake.upsert_options(quotes(spark, [quote("SPY", bid=1.0)]), ["seq"])
+    lake.upsert_options(quotes(spark, [quote("")]), ["seq"])
+    assert stored(lake, "bid") == {("SPY", d("2024-01-10"), 100.0, 1.0)}
+    lake.write_prices(prices(spark, []), mode="overwrite")
+    assert lake.scan("prices").count() == 0
