@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strikelake.llm import bpe, exact, mixing, sharding
+from strikelake.llm import bpe, exact, mixing, setsketch, sharding
 
 QUERIES = {}
 SQL = {}
@@ -106,3 +106,8 @@ JOIN turns ON pick = i AND nth = r // 64 % q, listed""",
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "source", "quota", "block", "mix_slot", "position")
+
+
+@query("op6_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_groups(documents(spark, sf_dir).select("doc_id", "text"), words=4)
