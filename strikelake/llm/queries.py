@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strikelake.llm import bpe, exact, mixing, setsketch, sharding
+from strikelake.llm import bpe, exact, mixing, repeats, setsketch, sharding
 
 QUERIES = {}
 SQL = {}
@@ -111,3 +111,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_groups(documents(spark, sf_dir).select("doc_id", "text"), words=4)
+
+
+@query("op3_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), length=400)
+    size = F.aggregate(
+        F.zip_with("span_hi", "span_lo", lambda z, a: z - a), F.lit(0).cast("bigint"), lambda s, x: s + x
+    )
+    return removed.select(
+        "doc_id",
+        (F.octet_length("kept") + size).cast("bigint").alias("n_bytes"),
+        size.alias("n_removed"),
+        F.size("span_lo").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
