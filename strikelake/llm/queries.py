@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strikelake.llm import bpe, exact, mixing, repeats, setsketch, sharding
+from strikelake.llm import bpe, exact, langid, mixing, quality, repeats, rules, setsketch, sharding, toxicity
+from strikelake.llm.sample import remainder
 
 QUERIES = {}
 SQL = {}
@@ -126,3 +127,43 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("span_lo").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = remainder("doc_id", 3) == 1
+    codes = langid.learn(docs.filter(~held))
+    return langid.identify(docs.select("doc_id", "text"), codes).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = remainder("doc_id", 5) == 0
+    model = toxicity.learn(docs, labels(spark, sf_dir).filter(~held))
+    return toxicity.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = remainder("doc_id", 4) == 2
+    model = quality.learn(docs, labels(spark, sf_dir).filter(~held))
+    return quality.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return rules.judge(docs).select("doc_id", *rules.COUNTS, "base_failed", "kept", "distance")
