@@ -64,12 +64,12 @@ def pattern(shares: DataFrame, period: int) -> DataFrame:
         listed.filter(F.size("s") > 0)
         .select("s", F.posexplode(F.expr(fold)).alias("t", "slot"))
         .select(
-            F.expr("s[slot.i].source").alias("_source"),
-            F.expr("slot.before[slot.i]").alias("_nth"),
-            F.col("t").alias("_t"),
-            F.expr("s[slot.i].quota").alias("_quota"),
+            F.expr("s[slot.i].source").alias("of"),
+            F.expr("slot.before[slot.i]").alias("nth"),
+            "t",
+            F.expr("s[slot.i].quota").alias("quota"),
             F.expr("transform(s, (x, k) -> struct(x.rows AS rows, x.quota AS quota, slot.before[k] AS n))").alias(
-                "_all"
+                "every"
             ),
         )
     )
@@ -98,55 +98,40 @@ def mix(
     """
     own = ("block", "quota", "mix_slot", "position")
     kept = [c for c in docs.columns if c not in own]
-    digest = F.md5(
-        F.concat(
-            F.lit(f"{seed}:"),
-            F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-            F.lit(":"),
-            F.coalesce(F.col("text"), F.lit("")),
-        )
-    )
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], digest.alias("_digest"))
-    keyed = keyed.withColumn("_pile", F.substring("_digest", 1, 3))
-    piles = keyed.groupBy(F.col(source).alias("_source"), "_pile").agg(F.count("*").alias("_rows"))
-    earlier = (
-        Window.partitionBy("_source").orderBy("_pile").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = piles.select(
-        "_source", "_pile", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
-    )
-    sizes = piles.groupBy(F.col("_source").alias("source")).agg(F.sum("_rows").alias("rows"))
-    turns = pattern(quotas(sizes, weights, period), period)
-    in_pile = Window.partitionBy(source, "_pile").orderBy("_digest", "doc_id")
-    numbered = keyed.withColumn("_n", F.row_number().over(in_pile) - 1)
-    same = F.col(source).eqNullSafe(starts["_source"]) & (numbered["_pile"] == starts["_pile"])
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("record"),
+        F.col(source).alias("source"),
+        F.md5(F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1])).alias("digest"),
+    ).withColumn("pile", F.substring("digest", 1, 3))
+    piles = keyed.groupBy("source", "pile").agg(F.count("*").alias("rows"))
+    earlier = Window.partitionBy("of").orderBy("in_pile").rowsBetween(Window.unboundedPreceding, -1)
+    starts = piles.select(F.col("source").alias("of"), F.col("pile").alias("in_pile"), "rows")
+    starts = starts.select("of", "in_pile", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    turns = pattern(quotas(piles.groupBy("source").agg(F.sum("rows").alias("rows")), weights, period), period)
+    # At most `period` rows by `period` sources, a bound that no corpus changes.
+    of_source = F.broadcast(turns.select(F.col("of").alias("q_of"), "quota").distinct())
+    turn = F.broadcast(turns.drop("quota"))
+    in_pile = Window.partitionBy("source", "pile").orderBy("digest", "record.doc_id")
     numbered = (
-        numbered.join(starts, same, "left")
-        .drop("_source", starts["_pile"])
-        .withColumn("_n", F.col("_n") + F.col("_start"))
-        .withColumn("block", F.expr(f"_n div {block_rows}"))
+        keyed.withColumn("r", F.row_number().over(in_pile) - 1)
+        .join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("pile") == F.col("in_pile")))
+        .drop("of")
+        .join(of_source, F.col("source").eqNullSafe(F.col("q_of")))
+        .withColumn("n", F.col("r") + F.col("start"))
+        .withColumn("block", F.expr(f"n div {block_rows}"))
+        .join(turn, F.col("source").eqNullSafe(F.col("of")) & (F.expr("block % quota") == F.col("nth")))
     )
-    quota_of = turns.select("_source", "_quota").distinct()
-    numbered = numbered.join(
-        F.broadcast(quota_of), F.col(source).eqNullSafe(quota_of["_source"]), "left"
-    ).drop("_source")
-    numbered = numbered.withColumn("quota", F.col("_quota")).drop("_quota")
-    # At most `period` rows by `period` sources, a bound that no corpus changes.
-    turn = F.broadcast(turns.drop("_quota"))
-    hit = F.col(source).eqNullSafe(turns["_source"]) & (F.expr("block % quota") == turns["_nth"])
     before = (
-        "aggregate(_all, 0L, (sum, x) -> sum + "
+        "aggregate(every, 0L, (sum, x) -> sum + "
         f"least(x.rows, ((block div quota) * x.quota + x.n) * {block_rows}L))"
     )
-    return (
-        numbered.join(turn, hit, "left")
-        .select(
-            *[F.col(f"`{c}`") for c in kept],
-            F.col("block").cast("bigint").alias("block"),
-            F.col("quota").cast("int").alias("quota"),
-            F.expr(f"(block div quota) * {period}L + _t").alias("mix_slot"),
-            F.expr(f"{before} + _n % {block_rows}").alias("position"),
-        )
+    return numbered.select(
+        *[F.col("record").getField(c).alias(c) for c in kept],
+        F.col("block").cast("bigint").alias("block"),
+        F.col("quota").cast("int").alias("quota"),
+        F.expr(f"(block div quota) * {period}L + t").alias("mix_slot"),
+        F.expr(f"{before} + n % {block_rows}").alias("position"),
     )
 
 

@@ -273,17 +273,19 @@ def _repeated(regions: DataFrame, length: int, levels: tuple[int, ...]) -> DataF
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") -> DataFrame:
-    """All rows with ``kept`` (the bytes that stay), ``span_lo`` and ``span_hi`` (the maximal removed runs).
+    """All rows with ``kept``, the bytes that stay, for the text; ``span_lo`` and ``span_hi``, the maximal removed runs.
 
     A byte goes if a string of ``length`` bytes around it also starts anywhere else, in the same text
     or another; overlaps count, and strings are judged on the input. Texts are taken as UTF-8 bytes,
     whole, a null one as empty; shorter ones keep all. Rows may repeat; a repeated row is a repeat.
-    Columns ``kept``, ``span_lo``, ``span_hi``, ``_row`` and ``_text`` are the operator's own. No rows give no rows.
+    Columns of these names in the input are replaced. No rows give no rows.
     """
     if length < SEED_BYTES:
         raise ValueError(f"length must be at least {SEED_BYTES}")
-    named = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_text", F.col(text))
-    rows = store(named.drop(text), "repeat-rows")
+    others = [c for c in docs.columns if c not in (text, "kept", "span_lo", "span_hi")]
+    record = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_record")
+    row = F.monotonically_increasing_id().alias("_row")
+    rows = store(docs.select(row, record, F.col(text).alias("_text")), "repeat-rows")
     every = store(_occurrences(rows, length), "repeat-windows")
     again = store(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "repeat-keys")
     places = store(every.join(again, "key"), "repeat-places")
@@ -335,4 +337,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
     schema = schema_with(
         marked, ("lo", "hi", "_row", "_bytes"), kept="binary", span_lo="array<bigint>", span_hi="array<bigint>"
     )
-    return marked.mapInArrow(run, schema)
+    cleaned = marked.mapInArrow(run, schema)
+    field = F.col("_record").getField
+    return cleaned.select(*[field(c).alias(c) for c in others], "kept", "span_lo", "span_hi")

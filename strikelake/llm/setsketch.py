@@ -286,11 +286,10 @@ def near_groups(
 def drop_near(
     docs: DataFrame, *, words: int = 5, percent: int = 80, ident: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows that ``near_groups`` keeps, with all their columns.
-
-    A column named ``_row`` is the operator's own and not for the input to use.
-    """
-    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    named = rows.select("_row", F.col(ident).alias("_id"), F.col(text).alias("_text"))
+    """The rows that ``near_groups`` keeps, with all their columns, whatever those are called."""
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_record")
+    rows = store(docs.select(record, F.monotonically_increasing_id().alias("_row")), "near-rows")
+    field = F.col("_record").getField
+    named = rows.select("_row", field(ident).alias("_id"), field(text).alias("_text"))
     dropped = _grouped(named, words, percent).filter("NOT stays").select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    return rows.join(dropped, "_row", "left_anti").select("_record.*")
