@@ -70,9 +70,8 @@ def counts(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> dict[str, n
     breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     line_start = line_start[line_start < len(data)]
-    line_end = np.append(line_start[1:], len(data))
-    # A line ends before its break, or with its row.
-    line_end = line_end - ((data[line_end - 1] == 10) & (line_end > line_start) if len(line_end) else 0)
+    line_end = np.append(line_start[1:], len(data))[: len(line_start)]
+    line_end = line_end - (data[line_end - 1] == 10)  # a line ends before its break, or with its row
     upto = np.concatenate([[0], np.cumsum(inside)])
     real = upto[line_end] > upto[line_start]
     line_start, line_end = line_start[real], line_end[real]
