@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: what a symbol may consist of.
-SYMBOL_PATTERN = "^[A-Za-z0-9._-]+$"
+SYMBOL_PATTERN = r"\A[A-Za-z0-9._-]+\z"
 
 
 def is_valid_symbol(symbol: Column) -> Column:

@@ -2,64 +2,78 @@
 
 Layout below the root, per dataset::
 
-    by_<part>/data/version=<n>/<symbol column>=<symbol>/period=<yyyymm>/*.parquet
-    by_<part>/manifest/snapshot=<n>/*.parquet    one row per live (symbol, period)
-
-A write puts only the touched (symbol, period) parts into a new version directory and then
-writes a new manifest. Spark's ``_SUCCESS`` marker of the manifest is the commit: readers see the
-old state until it exists and the new state after, over all parts at once, and data that is being
-read is never overwritten. Each dataset has one writer at a time; a second one fails on the
-existing directory. Everything lives on the file system of the root, reachable by all executors.
+    by_<part>_<buckets>/data/version=<n>/bucket=<b>/period=<yyyymm>/*.parquet
+    by_<part>_<buckets>/manifest/snapshot=<n>/*.parquet   one row per symbol of a live (bucket, period)
+    by_<part>_<buckets>/rejects/version=<n>/*.parquet     rows that could not be stored, with the reason
+
+A symbol's bucket is a hash of it, so parts number buckets times periods, however many symbols there
+are and however often is loaded. A read takes the directories of the live parts from the manifest and
+lists those alone: no row is joined to find out whether it is live. A write puts the touched parts
+into a new version directory and then writes a new manifest. Spark's ``_SUCCESS`` marker of the
+manifest is the commit: readers see the old state until it exists and the new state after, over all
+parts at once, and data that is being read is never overwritten. Each dataset has one writer at a
+time; a second one fails on the existing directory. Everything lives on the file system of the root,
+reachable by all executors.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from strikelake.operators.calendar import date_range
-from strikelake.operators.merge import coerce, keep_last, merge_keep_last
-from strikelake.operators.symbols import restrict_symbols, split_symbols
+from strikelake.operators.merge import STORED_FIRST, coerce, keep_last
+from strikelake.operators.symbols import is_valid_symbol, restrict_symbols
 from strikelake.schemas import OPTIONS, PRICES, Dataset, dataset, empty_table
 
 MANIFEST_SCHEMA = T.StructType(
     [
-        T.StructField("symbol", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
         T.StructField("period", T.IntegerType()),
         T.StructField("version", T.LongType()),
+        T.StructField("symbol", T.StringType()),
         T.StructField("row_count", T.LongType()),
         T.StructField("date_min", T.DateType()),
         T.StructField("date_max", T.DateType()),
         T.StructField("n_files", T.LongType()),
         T.StructField("size_bytes", T.LongType()),
+        T.StructField("lacks", T.ArrayType(T.StringType())),
     ]
 )
-_PART = ["symbol", "period"]
+_PART = ["bucket", "period"]
+_ARRIVAL, _REASON = "_arrival", "reason"
 
 
 class Lake:
     """A lake under one root path.
 
-    ``part`` is how far option rows of a symbol are split: by ``month``, which keeps the rewrite of
-    a daily load small, or by ``year`` for symbols with few rows. It is fixed for a lake.
+    ``part`` is how far option rows are split in time: by ``month``, which keeps the rewrite of a daily
+    load small, or by ``year`` for lakes with few rows. ``buckets`` is how many groups of symbols there
+    are. Both are fixed for a lake. A part of more than ``slice_rows`` rows is written by several tasks.
     """
 
-    def __init__(self, spark: SparkSession, root: str, part: str = "month"):
+    def __init__(
+        self, spark: SparkSession, root: str, part: str = "month", buckets: int = 16, slice_rows: int = 4_000_000
+    ):
         if part not in ("month", "year"):
             raise ValueError(f"unknown part: {part!r}")
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.part = part
-        other = "year" if part == "month" else "month"
-        if self._numbers(f"{self.root}/*/by_{other}/manifest/snapshot=*/_SUCCESS"):
-            raise ValueError(f"the lake at {root} is stored by {other}")
+        self.spark, self.root = spark, root.rstrip("/")
+        self.part, self.buckets, self.slice_rows = part, buckets, slice_rows
+        fs, pattern = self._fs(f"{self.root}/*/by_*/manifest/snapshot=*/_SUCCESS")
+        for found in fs.globStatus(pattern) or []:
+            layout = re.search(r"/(by_[^/]+)/manifest/", str(found.getPath())).group(1)
+            if layout != self._layout():
+                raise ValueError(f"the lake at {root} is stored {layout.replace('_', ' ')}")
 
     # --- files ---
 
+    def _layout(self) -> str:
+        return f"by_{self.part}_{self.buckets}"
+
     def _dir(self, ds: Dataset, *parts: str) -> str:
-        return "/".join([self.root, ds.name, f"by_{self.part}", *parts])
+        return "/".join([self.root, ds.name, self._layout(), *parts])
 
     def _fs(self, path: str):
         hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -81,14 +95,14 @@ class Lake:
 
     def _next_version(self, ds: Dataset) -> int:
         """Above everything on disk, so that leftovers of a failed write are never reused."""
-        used = self._numbers(self._dir(ds, "data", "version=*"))
+        used = [n for kind in ("data", "stage", "rejects") for n in self._numbers(self._dir(ds, kind, "version=*"))]
         used += self._numbers(self._dir(ds, "manifest", "snapshot=*"))
         return max(used, default=0) + 1
 
     # --- manifest ---
 
     def manifest(self, name: str, snapshot: int | None = None) -> DataFrame:
-        """Live parts of a dataset; empty before the first write."""
+        """Symbols of the live parts of a dataset; empty before the first write."""
         ds = dataset(name)
         if snapshot is None:
             snapshot = max(self._snapshots(ds), default=None)
@@ -99,60 +113,64 @@ class Lake:
 
     def _commit(self, ds: Dataset, manifest: DataFrame, version: int) -> None:
         (
-            manifest.hint("rebalance")
+            manifest.select(*MANIFEST_SCHEMA.names)
+            .hint("rebalance")
             .write.mode("errorifexists")
             .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
             .parquet(self._dir(ds, "manifest", f"snapshot={version}"))
         )
 
-    def _figures(self, ds: Dataset, version: int) -> DataFrame:
-        """Manifest rows of a version just written; of its columns only the date is read.
+    def _figures(self, ds: Dataset, paths: list[str]) -> DataFrame:
+        """Manifest rows of parts just written; of their columns symbol and date are read.
 
-        Files are counted first, so that a file's size enters once.
+        Files are counted first, so that a file's size is shared out among its symbols by rows.
         """
-        written = self._read_versions(ds, [version]).select(
-            F.col(ds.symbol).alias("symbol"),
+        written = self._read(ds, paths).select(
+            "bucket",
             "period",
+            "version",
+            F.col(ds.symbol).alias("symbol"),
             F.col(ds.date).alias("_date"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_size").alias("_size"),
         )
-        files = written.groupBy(*_PART, "_file", "_size").agg(
+        per_file = written.groupBy(*_PART, "version", "symbol", "_file", "_size").agg(
             F.count("*").alias("n"), F.min("_date").alias("lo"), F.max("_date").alias("hi")
         )
-        return files.groupBy(*_PART).agg(
-            F.lit(version).cast("bigint").alias("version"),
-            F.sum("n").alias("row_count"),
-            F.min("lo").alias("date_min"),
-            F.max("hi").alias("date_max"),
-            F.count("*").alias("n_files"),
-            F.sum("_size").alias("size_bytes"),
+        share = F.col("_size") * F.col("n") / F.sum("n").over(Window.partitionBy("_file"))
+        return (
+            per_file.withColumn("share", share)
+            .groupBy(*_PART, "version", "symbol")
+            .agg(
+                F.sum("n").alias("row_count"),
+                F.min("lo").alias("date_min"),
+                F.max("hi").alias("date_max"),
+                F.count("*").alias("n_files"),
+                F.round(F.sum("share")).cast("bigint").alias("size_bytes"),
+            )
         )
 
     # --- reading ---
 
-    def _read_versions(self, ds: Dataset, versions: Sequence[int]) -> DataFrame:
-        partitions = [T.StructField("version", T.LongType()), T.StructField("period", T.IntegerType())]
-        base = self._dir(ds, "data")
+    def _read(self, ds: Dataset, paths: list[str]) -> DataFrame:
+        partitions = [
+            T.StructField("version", T.LongType()),
+            T.StructField("bucket", T.IntegerType()),
+            T.StructField("period", T.IntegerType()),
+        ]
         return (
             self.spark.read.schema(T.StructType([*ds.schema.fields, *partitions]))
-            .option("basePath", base)
-            .parquet(*[f"{base}/version={v}" for v in versions])
+            .option("basePath", self._dir(ds, "data"))
+            .parquet(*paths)
         )
 
-    def _live(self, ds: Dataset, manifest: DataFrame) -> DataFrame | None:
-        """Rows of the manifest's parts with their partition columns, None if there are no parts.
-
-        The semi-join prunes directories before files are opened. The manifest is one short row
-        per part; Spark broadcasts it while its size allows that.
-        """
-        versions = [r["version"] for r in manifest.select("version").distinct().collect()]
-        if not versions:
-            return None
-        parts = manifest.filter(F.col("row_count") > 0).select(
-            F.col("symbol").alias(ds.symbol), "period", "version"
-        )
-        return self._read_versions(ds, versions).join(parts, [ds.symbol, "period", "version"], "left_semi")
+    def _paths(self, ds: Dataset, manifest: DataFrame) -> list[str]:
+        """Directories of the manifest's parts: buckets times periods of them at most."""
+        parts = manifest.select("version", *_PART).distinct().collect()
+        return [
+            self._dir(ds, "data", f"version={r['version']}", f"bucket={r['bucket']}", f"period={r['period']}")
+            for r in sorted(parts)
+        ]
 
     def scan(
         self,
@@ -163,18 +181,19 @@ class Lake:
     ) -> DataFrame:
         """A dataset, lazily; empty with its schema if nothing is stored.
 
-        Symbols and periods are directory filters; the dates also reach the Parquet row groups.
+        Symbols and dates choose the directories that are read at all, and reach the row groups of
+        their files, which are sorted by symbol and date.
         """
         ds = dataset(name)
-        rows = self._live(ds, self.manifest(name))
-        if rows is None:
+        parts = restrict_symbols(self.manifest(name), symbols)
+        if date_from is not None:
+            parts = parts.filter(F.col("date_max") >= F.lit(date_from).cast("date"))
+        if date_to is not None:
+            parts = parts.filter(F.col("date_min") <= F.lit(date_to).cast("date"))
+        paths = self._paths(ds, parts)
+        if not paths:
             return empty_table(self.spark, ds.schema)
-        rows = restrict_symbols(rows, symbols, ds.symbol)
-        if ds.split and date_from is not None:
-            first_month = date_from[5:7] if self.part == "month" else "00"
-            rows = rows.filter(F.col("period") >= int(date_from[:4] + first_month))
-        if ds.split and date_to is not None:
-            rows = rows.filter(F.col("period") <= int(date_to[:4] + date_to[5:7]))
+        rows = restrict_symbols(self._read(ds, paths), symbols, ds.symbol)
         return date_range(rows, ds.date, date_from, date_to).select(*ds.schema.names)
 
     def symbols(self, name: str) -> DataFrame:
@@ -182,7 +201,10 @@ class Lake:
         return self.manifest(name).select("symbol").distinct().orderBy("symbol")
 
     def status(self) -> DataFrame:
-        """Rows, dates, files and bytes per dataset and symbol, without touching the data."""
+        """Rows, dates, files and bytes per dataset and symbol, without touching the data.
+
+        A file may hold several symbols; each has the share of its bytes that it has of its rows.
+        """
         per_dataset = [
             self.manifest(ds.name)
             .groupBy("symbol")
@@ -198,121 +220,221 @@ class Lake:
         ]
         return per_dataset[0].unionByName(per_dataset[1])
 
+    def missing_columns(self, name: str) -> DataFrame:
+        """Per symbol the table columns that none of its loads brought, from the manifest alone."""
+        rows = self.manifest(name).select("symbol", "lacks")
+        parts = rows.groupBy("symbol").agg(F.count("*").alias("n_parts"))
+        found = rows.select("symbol", F.explode("lacks").alias("column")).groupBy("symbol", "column")
+        absent = found.agg(F.count("*").alias("n")).join(parts, "symbol").filter("n = n_parts")
+        listed = absent.groupBy("symbol").agg(F.sort_array(F.collect_list("column")).alias("missing"))
+        none = F.array().cast("array<string>")
+        return parts.join(listed, "symbol", "left").select("symbol", F.coalesce("missing", none).alias("missing"))
+
+    def rejects(self, name: str) -> DataFrame:
+        """Rows of all loads that could not be stored, with ``reason``; the symbol is as it came."""
+        ds = dataset(name)
+        schema = T.StructType([*ds.schema.fields, T.StructField(_REASON, T.StringType())])
+        versions = self._numbers(self._dir(ds, "rejects", "version=*", "_SUCCESS"))
+        if not versions:
+            return empty_table(self.spark, schema)
+        return self.spark.read.schema(schema).parquet(*[self._dir(ds, "rejects", f"version={v}") for v in versions])
+
     # --- writing ---
 
-    def _write(self, ds: Dataset, rows: DataFrame, version: int) -> None:
-        """Rows to a new version directory, sorted by date within their part.
+    def _conform(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
+        """Fixed columns and types, the order columns and the place of arrival behind them.
+
+        Columns that the table lacks go into ``extras`` where it has that, columns that the rows
+        lack are null. A row without a valid symbol is marked with the reason.
+        """
+        typed, types = coerce(rows, ds), ds.types
+        order = [c for c in order_by if c not in types]
+        unknown = [c for c in typed.columns if c not in types and c not in order]
+        columns = {c: F.col(c) if c in typed.columns else F.lit(None).cast(types[c]) for c in ds.schema.names}
+        if "extras" in types and unknown:
+            texts = [x for c in unknown for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+            own = F.map_filter(F.create_map(*texts), lambda _, v: v.isNotNull())
+            told = F.map_filter(columns["extras"], lambda k, _: ~k.isin(unknown))
+            both = F.map_concat(F.coalesce(told, F.create_map().cast("map<string,string>")), own)
+            columns["extras"] = F.when(F.size(both) > 0, both)
+        symbol = columns[ds.symbol]
+        valid = is_valid_symbol(symbol)
+        columns[ds.symbol] = F.when(valid, F.upper(symbol)).otherwise(symbol)
+        reason = F.when(symbol.isNull(), "no symbol").when(~valid, "invalid symbol")
+        return (
+            typed.select(
+                *[c.alias(n) for n, c in columns.items()],
+                *order,
+                reason.alias(_REASON),
+                F.monotonically_increasing_id().alias(_ARRIVAL),
+            )
+            .withColumn("period", ds.period(self.part))
+            .withColumn("bucket", F.pmod(F.xxhash64(ds.symbol), F.lit(self.buckets)).cast("int"))
+        )
 
-        The rebalance cuts a part that is too big for one task into several files and puts small
-        ones together, by the sizes that Spark measured in the shuffle.
+    def _stage(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str], version: int) -> DataFrame:
+        """The load, computed once and written; returns what can be stored. The rest goes to the rejects."""
+        path = self._dir(ds, "stage", f"version={version}")
+        conformed = self._conform(ds, rows, order_by)
+        conformed.write.mode("errorifexists").parquet(path)
+        staged = self.spark.read.schema(conformed.schema).parquet(path)
+        rejected = staged.filter(F.col(_REASON).isNotNull())
+        if not rejected.isEmpty():
+            rejected.select(*ds.schema.names, _REASON).write.parquet(self._dir(ds, "rejects", f"version={version}"))
+        return staged.filter(F.col(_REASON).isNull())
+
+    def _publish(
+        self, ds: Dataset, rows: DataFrame, sizes: dict[tuple[int, int], int], lacks: DataFrame, version: int
+    ) -> None:
+        """Write ``rows`` as the new state of the parts in ``sizes`` and commit it.
+
+        Rows come with ``_source_rank``; of a key the highest stays. One exchange serves both the
+        choice and the files: it goes by part, and by a hash of the key where a part has many rows.
         """
-        parts = [ds.symbol, "period"]
+        before = self.manifest(ds.name)
+        slices = [(*part, 1 + n // self.slice_rows) for part, n in sizes.items()]
+        touched = F.broadcast(self.spark.createDataFrame(slices, "bucket int, period int, slices bigint"))
+        keys = [ds.symbol, *ds.keys]
+        placed = rows.join(touched, _PART).withColumn("slice", F.pmod(F.xxhash64(*keys), F.col("slices")))
+        newest = Window.partitionBy(*_PART, "slice", *keys).orderBy(F.desc(STORED_FIRST))
+        chosen = (
+            placed.repartition(*_PART, "slice")
+            .withColumn("_recency", F.row_number().over(newest))
+            .filter("_recency = 1")
+        )
         (
-            rows.hint("rebalance", *[F.col(c) for c in parts])
-            .sortWithinPartitions(*parts, ds.date)
+            chosen.select(*ds.schema.names, *_PART)
             .write.mode("errorifexists")
-            .partitionBy(*parts)
+            .partitionBy(*_PART)
             .parquet(self._dir(ds, "data", f"version={version}"))
         )
-
-    def _publish(self, ds: Dataset, rows: DataFrame, keep: DataFrame) -> None:
-        """Write ``rows`` as a new version and commit it with the parts that ``keep`` holds on to."""
-        version = self._next_version(ds)
-        self._write(ds, rows, version)
-        new = self._figures(ds, version).persist()
-        kept = keep.join(new.select(*_PART), _PART, "left_anti")
-        self._commit(ds, kept.unionByName(new), version)
-        new.unpersist()
-
-    def _conform(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
-        """Valid symbols, upper-cased, fixed columns and types, the order columns behind them.
-
-        Columns that the table lacks become null, unknown ones are left out.
-        """
-        valid, _ = split_symbols(rows, ds.symbol)
-        typed = coerce(valid, ds)
-        types = ds.types
-        columns = [
-            F.col(c) if c in typed.columns else F.lit(None).cast(types[c]).alias(c)
-            for c in ds.schema.names
+        kept = before.join(touched, _PART, "left_anti")
+        written = [
+            self._dir(ds, "data", f"version={version}", f"bucket={b}", f"period={p}")
+            for b in self._numbers(self._dir(ds, "data", f"version={version}", "bucket=*"))
+            for p in self._numbers(self._dir(ds, "data", f"version={version}", f"bucket={b}", "period=*"))
         ]
-        order = [c for c in order_by if c not in types]
-        return typed.select(*columns, *order).withColumn("period", ds.period(self.part))
-
-    def _merge(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str]) -> None:
-        new = self._conform(ds, rows, order_by)
-        before = self.manifest(ds.name)
-        if not self._snapshots(ds):
-            merged = merge_keep_last(None, new, order_by, ds)
-            self._publish(ds, merged.select(*ds.schema.names, "period"), before)
+        if written:
+            new = self._figures(ds, written).join(lacks, [*_PART, "symbol"], "left")
+            kept = kept.select(*MANIFEST_SCHEMA.names).unionByName(new.select(*MANIFEST_SCHEMA.names))
+        self._commit(ds, kept, version)
+        self._delete(self._dir(ds, "stage", f"version={version}"))
+
+    def _stored(self, ds: Dataset, parts: Iterable[tuple[int, int]]) -> tuple[DataFrame | None, DataFrame]:
+        """Stored rows of parts, and their manifest rows."""
+        live = self.manifest(ds.name)
+        listed = self.spark.createDataFrame(list(parts), "bucket int, period int")
+        live = live.join(F.broadcast(listed), _PART, "left_semi")
+        paths = self._paths(ds, live)
+        return (self._read(ds, paths).drop("version") if paths else None), live
+
+    def _load(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str], replace: bool = False) -> None:
+        version = self._next_version(ds)
+        new = self._stage(ds, rows, order_by, version)
+        # One row per part: buckets times periods at most.
+        sizes = {(r["bucket"], r["period"]): r["count"] for r in new.groupBy(*_PART).count().collect()}
+        if replace and sizes:  # all parts that hold one of the symbols, for bars one per bucket
+            loaded = new.select(F.col(ds.symbol).alias("symbol")).distinct()
+            had = self.manifest(ds.name).join(loaded, "symbol", "left_semi").select(*_PART).distinct()
+            for r in had.collect():
+                sizes.setdefault((r["bucket"], r["period"]), 0)
+        if not sizes:
+            self._delete(self._dir(ds, "stage", f"version={version}"))
             return
-        # One short row per part that the load falls into; held, as two jobs ask for it.
-        touched = new.select(F.col(ds.symbol).alias("symbol"), "period").distinct().persist()
-        stored = self._live(ds, before.join(touched, _PART, "left_semi"))
-        merged = merge_keep_last(stored, new, order_by, ds)
-        self._publish(ds, merged.select(*ds.schema.names, "period"), before)
-        touched.unpersist()
+        stored, live = self._stored(ds, sizes)
+        for r in live.groupBy(*_PART).agg(F.sum("row_count").alias("n")).collect():
+            sizes[r["bucket"], r["period"]] += r["n"]
+        columns = [*ds.schema.names, *_PART]
+        order = [*order_by, _ARRIVAL]
+        latest = keep_last(new, (ds.symbol, *ds.keys), order).select(*columns, F.lit(1).alias(STORED_FIRST))
+        both = latest
+        told = live.select(*_PART, "symbol", F.col("lacks").alias("_old"))
+        if replace:
+            gone = new.select(ds.symbol).distinct()
+            told = told.join(gone.withColumnRenamed(ds.symbol, "symbol"), "symbol", "left_anti")
+        if stored is not None:
+            if replace:
+                stored = stored.join(gone, ds.symbol, "left_anti")
+            both = stored.select(*columns, F.lit(0).alias(STORED_FIRST)).unionByName(latest)
+        absent = [c for c in ds.schema.names if c not in rows.columns and c != "extras"]
+        brought = new.select(*_PART, F.col(ds.symbol).alias("symbol")).distinct()
+        brought = brought.withColumn("_new", F.array(*[F.lit(c) for c in absent]).cast("array<string>"))
+        lacks = told.join(brought, [*_PART, "symbol"], "full").select(
+            *_PART,
+            "symbol",
+            F.when(F.col("_old").isNull(), F.col("_new"))
+            .when(F.col("_new").isNull(), F.col("_old"))
+            .otherwise(F.array_intersect("_old", "_new"))
+            .alias("lacks"),
+        )
+        self._publish(ds, both, sizes, lacks, version)
 
     def upsert_options(self, rows: DataFrame, order_by: Sequence[str]) -> None:
         """Merge new option rows into the stored ones; new beat stored, later beat earlier.
 
-        ``order_by`` names the arrival order of the new rows. Only the parts that the rows fall
-        into are read and rewritten. Stored data that cannot be read fails the write.
+        ``order_by`` names the arrival order of the new rows; a null comes before all numbers, and of
+        rows that it does not tell apart the one that stands later in ``rows`` wins. The load is
+        computed once. Only the parts that it falls into are read and rewritten. Rows without a
+        valid symbol go to :meth:`rejects`. Stored data that cannot be read fails the write.
         """
-        self._merge(OPTIONS, rows, order_by)
+        self._load(OPTIONS, rows, order_by)
 
     def write_prices(self, rows: DataFrame, order_by: Sequence[str] = (), mode: str = "merge") -> None:
         """Store price bars per symbol.
 
         ``overwrite`` replaces all that a loaded symbol had; ``merge`` keeps the days that the
-        load lacks, so that a short refresh does not cost the history. One bar per day is kept.
+        load lacks, so that a short refresh does not cost the history. One bar per day is kept, the
+        last one by ``order_by`` and then by its place in ``rows``.
         """
         if mode not in ("merge", "overwrite"):
             raise ValueError(f"unknown mode: {mode!r}")
-        order = [*order_by, *[c for c in PRICES.schema.names[2:] if c not in order_by]]
-        if mode == "merge":
-            self._merge(PRICES, rows, order)
-            return
-        new = keep_last(self._conform(PRICES, rows, order), ("symbol", "date"), order)
-        self._publish(PRICES, new.select(*PRICES.schema.names, "period"), self.manifest(PRICES.name))
+        self._load(PRICES, rows, order_by, replace=mode == "overwrite")
 
     def purge(self, requests: DataFrame) -> DataFrame:
         """Drop datasets of symbols. ``requests`` has ``symbol`` and ``dataset``.
 
-        Returns what each request found: rows removed, or a warning when nothing was stored. Files
-        go with the next :meth:`expire`.
+        Returns what each request found: rows removed, or a warning when nothing was stored. Parts that
+        hold a dropped symbol are written again without it; a dataset that loses nothing stays as it is.
         """
         wanted = requests.select(F.upper("symbol").alias("symbol"), "dataset").distinct()
-        found = self.status().select("dataset", "symbol", "row_count")
-        outcome = purge_outcome(found, wanted)
+        outcome = purge_outcome(self.status().select("dataset", "symbol", "row_count"), wanted)
         for ds in (OPTIONS, PRICES):
-            doomed = wanted.filter(F.col("dataset") == ds.name)
-            if self._snapshots(ds):
-                before = self.manifest(ds.name)
-                self._commit(ds, before.join(doomed, "symbol", "left_anti"), self._next_version(ds))
+            doomed = wanted.filter(F.col("dataset") == ds.name).select("symbol")
+            hit = self.manifest(ds.name).join(doomed, "symbol", "left_semi").select(*_PART).distinct()
+            parts = [(r["bucket"], r["period"]) for r in hit.collect()]
+            if not parts:
+                continue
+            stored, live = self._stored(ds, parts)
+            left = live.join(doomed, "symbol", "left_anti")
+            sizes = dict.fromkeys(parts, 0)
+            for r in left.groupBy(*_PART).agg(F.sum("row_count").alias("n")).collect():
+                sizes[r["bucket"], r["period"]] = r["n"]
+            rows = stored.join(doomed.withColumnRenamed("symbol", ds.symbol), ds.symbol, "left_anti")
+            rows = rows.withColumn(STORED_FIRST, F.lit(0))
+            self._publish(ds, rows, sizes, left.select(*_PART, "symbol", "lacks"), self._next_version(ds))
         return outcome
 
     def expire(self, name: str, keep: int = 1) -> int:
-        """Remove the parts that none of the last ``keep`` snapshots uses; returns their number.
+        """Remove parts that none of the last ``keep`` snapshots uses and what failed writes left.
 
-        Run it when no reader still works on an older snapshot.
+        Returns the number of parts removed. Run it when no reader still works on an older snapshot
+        and no writer is at work.
         """
         ds = dataset(name)
         snapshots = self._snapshots(ds)
         old, kept = snapshots[:-keep], snapshots[-keep:]
-        if not old:
-            return 0
-        part = [*_PART, "version"]
-
-        def union_of(numbers: Sequence[int]) -> DataFrame:
-            paths = [self._dir(ds, "manifest", f"snapshot={n}") for n in numbers]
-            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(*paths).select(*part).distinct()
-
+        live = {p for n in kept for p in self._paths(ds, self.manifest(name, n))}
         removed = 0
-        for r in union_of(old).join(union_of(kept), part, "left_anti").toLocalIterator():
-            where = f"{ds.symbol}={r['symbol']}", f"period={r['period']}"
-            self._delete(self._dir(ds, "data", f"version={r['version']}", *where))
-            removed += 1
+        for v in self._numbers(self._dir(ds, "data", "version=*")):
+            base = self._dir(ds, "data", f"version={v}")
+            fs, pattern = self._fs(f"{base}/bucket=*/period=*")
+            found = [re.search(r"(bucket=\d+/period=\d+)$", str(s.getPath())).group(1) for s in fs.globStatus(pattern) or []]
+            dead = [f for f in found if f"{base}/{f}" not in live]
+            for path in [base] if len(dead) == len(found) else [f"{base}/{f}" for f in dead]:
+                self._delete(path)
+            removed += len(dead)
+        for v in self._numbers(self._dir(ds, "stage", "version=*")):
+            self._delete(self._dir(ds, "stage", f"version={v}"))
         for n in old:
             self._delete(self._dir(ds, "manifest", f"snapshot={n}"))
         return removed
@@ -324,7 +446,7 @@ def purge_outcome(stored: DataFrame, requests: DataFrame) -> DataFrame:
         "dataset",
         "symbol",
         F.coalesce("row_count", F.lit(0)).alias("rows_removed"),
-        F.when(F.col("row_count").isNull(), "No cached data found").alias("warning"),
+        F.when(F.col("row_count").isNull(), "nothing stored under this symbol").alias("warning"),
     )
 
 

@@ -181,7 +181,7 @@ stored AS (
   SELECT 'options' AS dataset, underlying_symbol AS symbol, count(*) AS n FROM quotes GROUP BY 2
   UNION ALL SELECT 'prices', symbol, count(*) FROM prices GROUP BY 2)
 SELECT r.dataset, r.symbol, coalesce(s.n, 0) AS rows_removed,
-  CASE WHEN s.n IS NULL THEN 'No cached data found' END AS warning
+  CASE WHEN s.n IS NULL THEN 'nothing stored under this symbol' END AS warning
 FROM requests r LEFT JOIN stored s ON s.dataset = r.dataset AND s.symbol = r.symbol""",
 )
 def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
