@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strikelake.operators.normalize import normalize_quotes
+from strikelake.operators.symbols import is_valid_symbol
 from strikelake.plans.loads import load_report
 from strikelake.sources.envelope import page_rows, unreadable_pages
 from strikelake.sources.lake import Lake
 from strikelake.sources.quotes import prices_from_quotes, quote_errors
-from strikelake.streaming.ingest import ARRIVAL, quotes_of
+from strikelake.streaming.ingest import ARRIVAL, identified_quotes, quotes_of
 
 _TEXTS = "array<string>"
 
@@ -26,6 +26,7 @@ def _result(counts: DataFrame, provider: str, category: str) -> DataFrame:
         F.lit(provider).alias("provider"),
         F.lit(category).alias("category"),
         "new_rows",
+        "rejected_rows",
         "errors",
         "warnings",
     )
@@ -35,6 +36,12 @@ def _texts_when(condition: Column, text: Column) -> Column:
     return F.when(condition, F.array(text)).otherwise(F.array().cast(_TEXTS))
 
 
+def _same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
+    """Equal columns; pages without a symbol match one another."""
+    tests = [a[c].eqNullSafe(b[c]) for c in columns]
+    return tests[0] if len(tests) == 1 else tests[0] & tests[1]
+
+
 def load_pages(
     lake: Lake,
     pages: DataFrame,
@@ -42,51 +49,57 @@ def load_pages(
     providers: dict[str, str],
     price_mode: str = "merge",
 ) -> DataFrame:
-    """Store every page and report per symbol: new rows, stored total, dates, status, message.
+    """Store every page and report per symbol: new and rejected rows, stored total, dates, status, message.
 
-    ``pages`` have the envelope's columns with ``dataset``, ``symbol`` and ``page_seq`` filled in.
+    ``pages`` have the envelope's columns with ``dataset``, ``symbol`` and ``page_seq`` filled in. The
+    page's symbol, in any case, is that of its load: rows that name none are stored under it. Rows
+    whose symbol cannot be stored are an error of their load and are kept in the lake's rejects.
     ``staging`` is a new folder that all executors reach; the report reads it, so it can go once
     the report has been used. ``providers`` names the provider of each dataset. A symbol without a
     usable quote is an error, a page that is no JSON a warning; neither stops the others.
     """
+    pages = pages.withColumn("symbol", F.upper("symbol"))
     by_set = {name: pages.filter(F.col("dataset") == name) for name in ("options", "prices")}
-    options = _staged(normalize_quotes(page_rows(by_set["options"])), f"{staging}/options")
+    options = _staged(identified_quotes(by_set["options"]), f"{staging}/options")
     quotes = _staged(quotes_of(page_rows(by_set["prices"])), f"{staging}/quotes")
-    if not options.isEmpty():
-        lake.upsert_options(options, ARRIVAL)
-    bars = prices_from_quotes(quotes)
-    if not bars.isEmpty():
-        lake.write_prices(bars, ARRIVAL, price_mode)
+    lake.upsert_options(options.drop("symbol"), ARRIVAL)
+    lake.write_prices(prices_from_quotes(quotes), ARRIVAL, price_mode)
 
     broken = unreadable_pages(pages).groupBy("dataset", "symbol").agg(F.count("*").alias("n_broken"))
-    asked = pages.select("dataset", "symbol").distinct().join(broken, ["dataset", "symbol"], "left")
+    asked = pages.select("dataset", "symbol").distinct()
+    asked = asked.join(broken, _same(asked, broken, "dataset", "symbol"), "left").select(asked["*"], "n_broken")
     warning = _texts_when(
-        F.col("n_broken").isNotNull(), F.format_string("%d unreadable page(s)", "n_broken")
+        F.col("n_broken").isNotNull(), F.format_string("%d page(s) are no JSON", "n_broken")
     ).alias("warnings")
+    refused = _texts_when(
+        F.col("rejected_rows") > 0, F.format_string("%d row(s) have no usable symbol", "rejected_rows")
+    )
 
-    stored = options.groupBy("symbol").agg(F.count("*").alias("new_rows"))
-    on_options = (
-        asked.filter(F.col("dataset") == "options")
-        .join(stored, "symbol", "left")
-        .select(
-            "symbol",
-            F.coalesce("new_rows", F.lit(0)).alias("new_rows"),
-            F.array().cast(_TEXTS).alias("errors"),
-            warning,
-        )
+    stored = options.groupBy("symbol").agg(
+        F.count("*").alias("new_rows"),
+        F.count_if(~is_valid_symbol(F.col("underlying_symbol"))).alias("rejected_rows"),
     )
+    asked_options = asked.filter(F.col("dataset") == "options")
+    on_options = asked_options.join(stored, _same(asked_options, stored, "symbol"), "left").select(
+        asked_options["symbol"],
+        F.coalesce("new_rows", F.lit(0)).alias("new_rows"),
+        F.coalesce("rejected_rows", F.lit(0)).alias("rejected_rows"),
+        refused.alias("errors"),
+        warning,
+    )
+    found = quote_errors(quotes)
+    asked_prices = asked.filter(F.col("dataset") == "prices")
+    none_came = F.concat(F.lit("no quotes came for "), asked_prices["symbol"])
+    usable = is_valid_symbol(asked_prices["symbol"])
     on_prices = (
-        asked.filter(F.col("dataset") == "prices")
-        .join(quote_errors(quotes), "symbol", "left")
-        .withColumn(
-            "error",
-            F.when(F.col("n_quotes").isNull(), F.concat(F.lit("No data returned for "), "symbol"))
-            .otherwise(F.col("error")),
-        )
+        asked_prices.join(found, _same(asked_prices, found, "symbol"), "left")
+        .withColumn("error", F.when(F.col("n_quotes").isNull(), none_came).otherwise(F.col("error")))
+        .withColumn("rejected_rows", F.when(usable, F.lit(0)).otherwise(F.coalesce("n_valid", F.lit(0))))
         .select(
-            "symbol",
+            asked_prices["symbol"],
             F.coalesce("n_valid", F.lit(0)).alias("new_rows"),
-            _texts_when(F.col("error").isNotNull(), F.col("error")).alias("errors"),
+            F.col("rejected_rows").cast("bigint").alias("rejected_rows"),
+            F.concat(_texts_when(F.col("error").isNotNull(), F.col("error")), refused).alias("errors"),
             warning,
         )
     )

@@ -42,6 +42,6 @@ def quote_errors(quotes: DataFrame) -> DataFrame:
         "error",
         F.when(
             F.col("n_valid") == 0,
-            F.concat(F.lit("All quotes for "), "symbol", F.lit(" had invalid timestamps")),
+            F.concat(F.lit("no quote of "), "symbol", F.lit(" has a usable time")),
         ),
     )

@@ -33,32 +33,27 @@ def quotes_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def identified_quotes(pages: DataFrame) -> DataFrame:
+    """Normalised quotes of options pages; a record that names no symbol has that of its page."""
+    quotes = normalize_quotes(page_rows(pages))
+    return quotes.withColumn("underlying_symbol", F.coalesce("underlying_symbol", "symbol"))
+
+
 def write_batch(lake: Lake, price_mode: str = "merge") -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` body: options pages are upserted, price pages stored."""
 
     def write(pages: DataFrame, batch_id: int) -> None:
-        # A merge reads its rows twice (which parts, then which rows); parsing is the dear part.
-        options = pages.filter(F.col("dataset") == "options")
-        quotes = normalize_quotes(page_rows(options).drop("symbol")).persist()
-        prices = pages.filter(F.col("dataset") == "prices")
-        bars = prices_from_quotes(quotes_of(page_rows(prices))).persist()
-        try:
-            if not quotes.isEmpty():
-                lake.upsert_options(quotes, ARRIVAL)
-            if not bars.isEmpty():
-                lake.write_prices(bars, ARRIVAL, price_mode)
-        finally:
-            quotes.unpersist()
-            bars.unpersist()
+        # The lake computes each load once, into its staging folder.
+        lake.upsert_options(identified_quotes(pages.filter(F.col("dataset") == "options")).drop("symbol"), ARRIVAL)
+        prices = prices_from_quotes(quotes_of(page_rows(pages.filter(F.col("dataset") == "prices"))))
+        lake.write_prices(prices, ARRIVAL, price_mode)
 
     return write
 
 
-def read_landing(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """Stream of pages, one JSON document per line."""
-    reader = spark.readStream.schema(ENVELOPE_SCHEMA)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def read_landing(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
+    """Stream of pages, one JSON document per line, at most ``max_files`` files in a micro-batch."""
+    reader = spark.readStream.schema(ENVELOPE_SCHEMA).option("maxFilesPerTrigger", max_files)
     return reader.json(landing)
 
 

@@ -207,10 +207,10 @@ def test_load_report_and_rows_loaded(spark):
 @pytest.mark.parametrize(
     ("failures", "failed", "message"),
     [
-        ([], "all", "All downloads failed"),
+        ([], "all", "every load failed"),
         ([0, 0], "none", None),
-        ([1, 0, 0], "some", "1 of 3 symbols failed"),
-        ([1, 1], "all", "All downloads failed"),
+        ([1, 0, 0], "some", "1 of 3 loads failed"),
+        ([1, 1], "all", "every load failed"),
     ],
 )
 def test_verdict(spark, failures, failed, message):

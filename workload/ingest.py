@@ -8,7 +8,8 @@ from strikelake.operators.normalize import normalize_quotes
 from strikelake.plans.run import load_pages
 from strikelake.sources import envelope
 from strikelake.sources.quotes import prices_from_quotes, quote_errors
-from strikelake.streaming.ingest import ingest_stream
+from strikelake.sources.lake import Lake
+from strikelake.streaming.ingest import ingest_stream, read_landing
 from workload import views
 from workload.merges import _OUT, _corrections, upsert_sql
 from workload.registry import query
@@ -95,7 +96,7 @@ UNION ALL SELECT {_ORDER_SQL}, 1, {_SHORT_PAIRS} FROM quotes
 UNION ALL SELECT {_ORDER_SQL}, 4, {_ALL_PAIRS} FROM quotes""",
 )
 def ingest_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = compact_pages(views.spread(views.exchange_quotes(spark, sf_dir)), *_ORDER)
+    pages = compact_pages(views.exchange_quotes(spark, sf_dir), *_ORDER)
     return envelope.compact_rows(pages).select(*_ORDER, "pos", _entries_text(F.col("record")))
 
 
@@ -111,7 +112,7 @@ def standard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("string"),
         F.lit("}]"),
     )
-    return views.spread(views.table(spark, sf_dir, "events")).select(
+    return views.table(spark, sf_dir, "events").select(
         "event_id",
         F.struct(F.lit(None).cast("array<string>").alias("fields")).alias("meta"),
         data.alias("data"),
@@ -144,7 +145,7 @@ FROM events CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 6) G
 )
 def ingest_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both forms in one load, with pages that hold nothing, null, no array, or no JSON."""
-    compact = compact_pages(views.spread(views.exchange_quotes(spark, sf_dir))).withColumn("source", F.lit("compact"))
+    compact = compact_pages(views.exchange_quotes(spark, sf_dir)).withColumn("source", F.lit("compact"))
     standard = standard_pages(spark, sf_dir).drop("event_id").withColumn("source", F.lit("standard"))
     status = F.col("o_orderstatus")
     empty = views.table(spark, sf_dir, "orders").select(
@@ -193,7 +194,7 @@ SELECT {_ORDER_SQL}, underlying_symbol, lower(option_type) AS option_type,
 FROM quotes""",
 )
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = views.spread(views.exchange_quotes(spark, sf_dir))
+    quotes = views.exchange_quotes(spark, sf_dir)
 
     def text(c: str) -> Column:
         return F.col(c).cast("string")
@@ -268,7 +269,7 @@ def ingest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 SELECT event_type AS symbol, count(*) AS n_quotes,
   CAST(count_if(event_type <> 'error') AS BIGINT) AS n_valid,
-  CASE WHEN event_type = 'error' THEN 'All quotes for error had invalid timestamps' END AS error
+  CASE WHEN event_type = 'error' THEN 'no quote of error has a usable time' END AS error
 FROM events GROUP BY 1""",
 )
 def quote_load_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,22 +305,22 @@ def symbol_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads of pages land as files and are streamed into a lake, in two runs."""
     scratch = views.scratch_dir(spark, "stream")
-    quotes = views.spread(views.exchange_quotes(spark, sf_dir))
+    quotes = views.exchange_quotes(spark, sf_dir)
     lake = views.scratch_lake(spark, "stream-lake")
     for load in (quotes, _corrections(quotes)):
         pages = stream_pages(load)
         pages.write.mode("append").json(f"{scratch}/landing")
-        landed = spark.readStream.schema(pages.schema).json(f"{scratch}/landing")
+        landed = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1000).json(f"{scratch}/landing")
         ingest_stream(landed, lake, f"{scratch}/checkpoint").awaitTermination()
     return lake.scan("options").select(*_OUT)
 
 
-def stream_pages(quotes: DataFrame) -> DataFrame:
+def stream_pages(quotes: DataFrame, symbol: Column | None = None) -> DataFrame:
     """One options page per quote; its sequence is the arrival order of the quote."""
     full = [F.col(c).cast("string") for c in _COLUMNS]
     return quotes.select(
         F.lit("options").alias("dataset"),
-        F.lit(None).cast("string").alias("symbol"),
+        (F.lit(None).cast("string") if symbol is None else symbol).alias("symbol"),
         F.struct(*views.ARRIVAL).alias("page_seq"),
         F.struct(F.array(*[F.lit(f) for f in _FIELDS]).alias("fields")).alias("meta"),
         F.concat(F.lit("["), _json_row(full), F.lit("]")).alias("data"),
@@ -371,26 +372,102 @@ p AS (
     CASE WHEN event_type <> 'error' THEN min(CASE WHEN NOT broken THEN date END) END AS lo,
     CASE WHEN event_type <> 'error' THEN max(CASE WHEN NOT broken THEN date END) END AS hi
   FROM e GROUP BY 1)
-SELECT symbol, 'chains' AS provider, 'options' AS category, n AS new_rows, total AS total_rows,
-  lo AS date_min, hi AS date_max, 'OK' AS status, '' AS message FROM o
+SELECT symbol, 'chains' AS provider, 'options' AS category, n AS new_rows, 0 AS rejected_rows,
+  total AS total_rows, lo AS date_min, hi AS date_max, 'OK' AS status, '' AS message FROM o
 UNION ALL
-SELECT upper(symbol), 'bars', 'prices', n, total, lo, hi,
+SELECT upper(symbol), 'bars', 'prices', n, 0, total, lo, hi,
   CASE WHEN symbol = 'error' THEN 'FAILED' WHEN broken > 0 THEN 'WARNING' ELSE 'OK' END,
-  CASE WHEN symbol = 'error' THEN 'All quotes for ERROR had invalid timestamps'
-    WHEN broken > 0 THEN broken || ' unreadable page(s)' ELSE '' END
+  CASE WHEN symbol = 'error' THEN 'no quote of ERROR has a usable time'
+    WHEN broken > 0 THEN broken || ' page(s) are no JSON' ELSE '' END
 FROM p""",
 )
 def load_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options pages of all lines and prices pages of all events in one load, with its report."""
-    lines = stream_pages(views.spread(views.exchange_quotes(spark, sf_dir)))
+    lines = stream_pages(views.exchange_quotes(spark, sf_dir))
     options = lines.withColumns(
         {
             "symbol": F.get_json_object("data", "$[0][0]"),
             "page_seq": F.col("page_seq.l_orderkey"),
         }
     )
-    events = views.spread(_priced_pages(spark, sf_dir)).withColumn("symbol", F.upper("symbol"))
+    events = _priced_pages(spark, sf_dir)
     scratch = views.scratch_dir(spark, "load-run")
     lake = views.scratch_lake(spark, "load-lake")
     pages = options.unionByName(events)
     return load_pages(lake, pages, scratch, {"options": "chains", "prices": "bars"})
+
+
+def _hard_load(spark: SparkSession, sf_dir: str) -> Lake:
+    """A lake after one load whose symbols come, by line number, in lower case, only on the page, or unusable."""
+    line = F.col("l_linenumber")
+    none = F.lit(None).cast("string")
+    asked = F.when(line == 4, none).otherwise(F.lower("underlying_symbol"))
+    own = F.when(line == 1, F.lower("underlying_symbol")).when(line == 3, "no/good").when(line.isin(2, 4), none)
+    quotes = views.exchange_quotes(spark, sf_dir).withColumn("asked", asked)
+    quotes = quotes.withColumn("underlying_symbol", own.otherwise(F.col("underlying_symbol")))
+    lake = views.scratch_lake(spark, "hard-lake")
+    load_pages(
+        lake,
+        stream_pages(quotes, F.col("asked")).withColumn("page_seq", F.col("page_seq.l_orderkey")),
+        views.scratch_dir(spark, "hard-load"),
+        {"options": "chains", "prices": "bars"},
+    )
+    return lake
+
+
+@query(
+    "load_rejects",
+    f"""
+WITH {views.EXCHANGE_QUOTES}
+SELECT CASE WHEN l_linenumber = 3 THEN 'no/good' END AS symbol,
+  CASE WHEN l_linenumber = 3 THEN 'invalid symbol' ELSE 'no symbol' END AS reason, count(*) AS n_rows,
+  max(last) AS last_max
+FROM quotes WHERE l_linenumber IN (3, 4) GROUP BY 1, 2""",
+)
+def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load could not store, by symbol and reason."""
+    rejects = _hard_load(spark, sf_dir).rejects("options")
+    return rejects.groupBy(F.col("underlying_symbol").alias("symbol"), "reason").agg(
+        F.count("*").alias("n_rows"), F.max("last").alias("last_max")
+    )
+
+
+@query(
+    "load_run_rows",
+    f"""
+WITH {views.EXCHANGE_QUOTES},
+usable AS (
+  SELECT * REPLACE (lower(option_type) AS option_type) FROM quotes WHERE l_linenumber NOT IN (3, 4)),
+ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY {views.KEYS}, l_orderkey) AS tied,
+    max(l_orderkey) OVER (PARTITION BY {views.KEYS}) AS newest FROM usable)
+SELECT {views.KEYS}, max(CASE WHEN tied = 1 THEN last END) AS last FROM ranked
+WHERE l_orderkey = newest GROUP BY ALL""",
+)
+def load_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows after that load. Where the page sequence ties, any of the tied rows may stand."""
+    stored = _hard_load(spark, sf_dir).scan("options")
+    keys = views.KEYS.split(", ")
+    quotes = views.exchange_quotes(spark, sf_dir).withColumn("option_type", F.lower("option_type"))
+    usable = quotes.filter(~F.col("l_linenumber").isin(3, 4))
+    counts = usable.groupBy(*keys, "l_orderkey").agg(F.count("*").alias("tied"))
+    newest = counts.groupBy(*keys).agg(F.max_by("tied", "l_orderkey").alias("tied"))
+    joined = stored.select(*keys, "last").join(newest, keys)
+    return joined.select(*keys, F.when(F.col("tied") == 1, F.col("last")).alias("last"))
+
+
+@query(
+    "stream_prices",
+    """
+WITH e AS (
+  SELECT upper(event_type) AS symbol, CAST(ts AS DATE) AS date, value, event_id FROM events
+  WHERE event_type <> 'error' AND NOT (event_type = 'view' AND value < 10))
+SELECT symbol, date, max_by(value, event_id) AS close, count(*) > 0 AS stored FROM e GROUP BY 1, 2""",
+)
+def stream_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices pages land as files and are streamed into a lake; the last page of a day stands."""
+    scratch = views.scratch_dir(spark, "stream-prices")
+    lake = views.scratch_lake(spark, "stream-prices-lake")
+    _priced_pages(spark, sf_dir).write.json(f"{scratch}/landing")
+    ingest_stream(read_landing(spark, f"{scratch}/landing"), lake, f"{scratch}/checkpoint").awaitTermination()
+    return lake.scan("prices").select("symbol", "date", "close", F.lit(True).alias("stored"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strikelake.operators import merge
+from strikelake.plans.quality import stored_schema
 from strikelake.sources.lake import purge_outcome, purge_rows
 from workload import views
 from workload.facts import catalog_status
@@ -80,7 +81,7 @@ SELECT {_OUT_SQL} FROM ranked WHERE recency = 1"""
 @query("options_upsert", upsert_sql())
 def options_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = views.scratch_lake(spark, "options-upsert")
-    quotes = views.spread(views.exchange_quotes(spark, sf_dir))
+    quotes = views.exchange_quotes(spark, sf_dir)
     lake.upsert_options(quotes, views.ARRIVAL)
     lake.upsert_options(_corrections(quotes), views.ARRIVAL)
     return lake.scan("options").select(*_OUT)
@@ -95,7 +96,7 @@ FROM ranked WHERE recency = 1 GROUP BY 1, 2, 3""",
 )
 def scan_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = views.scratch_lake(spark, "scan-quotes")
-    lake.upsert_options(views.spread(views.exchange_quotes(spark, sf_dir)), views.ARRIVAL)
+    lake.upsert_options(views.exchange_quotes(spark, sf_dir), views.ARRIVAL)
     return (
         lake.scan("options")
         .groupBy("underlying_symbol", "quote_date", "option_type")
@@ -223,3 +224,73 @@ def lake_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.status().select(
         "dataset", "symbol", "row_count", "date_min", "date_max", (F.col("size_bytes") > 0).alias("has_bytes")
     )
+
+
+@query("lake_expired", upsert_sql())
+def lake_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after two loads, once what no snapshot uses is gone."""
+    lake = views.scratch_lake(spark, "expired")
+    quotes = views.exchange_quotes(spark, sf_dir)
+    lake.upsert_options(quotes, views.ARRIVAL)
+    lake.upsert_options(_corrections(quotes), views.ARRIVAL)
+    lake.expire("options")
+    return lake.scan("options").select(*_OUT)
+
+
+@query(
+    "upsert_extras",
+    f"""
+WITH {views.EXCHANGE_QUOTES},
+loads AS (
+  SELECT *, 0 AS source FROM quotes WHERE l_linenumber < 4
+  UNION ALL SELECT *, 1 FROM quotes WHERE l_linenumber >= 4),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {views.KEYS} ORDER BY source DESC, {views.ARRIVAL_DESC})
+    AS recency FROM loads)
+SELECT {views.KEYS}, last, CASE WHEN source = 0 THEN CAST(l_suppkey AS VARCHAR) END AS venue
+FROM ranked WHERE recency = 1""",
+)
+def upsert_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load with a column that the table lacks, then one without it: the column survives the merge."""
+    lake = views.scratch_lake(spark, "extras")
+    quotes = views.exchange_quotes(spark, sf_dir)
+    early = quotes.filter("l_linenumber < 4").withColumn("venue", F.col("l_suppkey"))
+    lake.upsert_options(early, views.ARRIVAL)
+    lake.upsert_options(quotes.filter("l_linenumber >= 4"), views.ARRIVAL)
+    return lake.scan("options").select(*views.KEYS.split(", "), "last", F.col("extras")["venue"].alias("venue"))
+
+
+@query(
+    "lake_schema",
+    f"""
+WITH {views.EXCHANGE_QUOTES}
+SELECT underlying_symbol AS symbol,
+  CASE WHEN underlying_symbol = 'O' THEN 15 ELSE 14 END AS n_missing,
+  underlying_symbol = 'O' AS lacks_bid, 'WARN' AS status
+FROM quotes GROUP BY 1""",
+)
+def lake_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads of different columns give their symbols different verdicts, from the manifest alone."""
+    lake = views.scratch_lake(spark, "schema")
+    quotes = views.exchange_quotes(spark, sf_dir)
+    lake.upsert_options(quotes.filter("underlying_symbol = 'O'").drop("bid"), views.ARRIVAL)
+    lake.upsert_options(quotes.filter("underlying_symbol <> 'O'"), views.ARRIVAL)
+    verdicts = stored_schema(lake, "options")
+    return verdicts.select(
+        "symbol", F.col("observed").alias("n_missing"), F.contains("message", F.lit("'bid'")).alias("lacks_bid"), "status"
+    )
+
+
+@query(
+    "purge_options",
+    f"""
+WITH {views.EXCHANGE_QUOTES}, ranked AS (SELECT *, {_LATEST} FROM quotes)
+SELECT {_OUT_SQL} FROM ranked WHERE recency = 1 AND underlying_symbol <> (SELECT min(l_linestatus) FROM lineitem)""",
+)
+def purge_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of all symbols are stored, those of the first one purged, the rest read."""
+    lake = views.scratch_lake(spark, "purge-options")
+    lake.upsert_options(views.exchange_quotes(spark, sf_dir), views.ARRIVAL)
+    first = views.table(spark, sf_dir, "lineitem").agg(F.min("l_linestatus").alias("symbol"))
+    lake.purge(first.withColumn("dataset", F.lit("options")))
+    return lake.scan("options").select(*_OUT)

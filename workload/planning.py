@@ -264,8 +264,8 @@ loads AS (
 counts AS (SELECT count(*) AS n_loads, CAST(count_if(failed) AS BIGINT) AS n_failed FROM loads)
 SELECT n_loads, n_failed,
   CASE WHEN n_failed = n_loads THEN 'all' WHEN n_failed > 0 THEN 'some' ELSE 'none' END AS failed,
-  CASE WHEN n_failed = n_loads THEN 'All downloads failed'
-    WHEN n_failed > 0 THEN n_failed || ' of ' || n_loads || ' symbols failed' END AS message
+  CASE WHEN n_failed = n_loads THEN 'every load failed'
+    WHEN n_failed > 0 THEN n_failed || ' of ' || n_loads || ' loads failed' END AS message
 FROM counts""",
 )
 def load_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:

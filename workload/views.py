@@ -22,15 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over all cores where a table comes in fewer splits than there are cores.
-
-    For queries that compute much per row. A table of many splits is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _quotes(lineitem: DataFrame, symbol: Column) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
     flag = F.col("l_returnflag")
@@ -121,11 +112,16 @@ KEYS = "underlying_symbol, quote_date, expiration, strike, option_type, expirati
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the cluster's shared one; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder below the one that all executors share.
+
+    On one machine a temporary folder does where none is set; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="strikelake-")
-        spark.sparkContext.setCheckpointDir(base)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
