@@ -24,53 +24,48 @@ def normalised(text: str = "text"):
     return F.regexp_replace(text_or_empty(text), _RUN, " ")
 
 
-def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    """The rows with a number and their normalised text, written once so that both stay as they are."""
-    rows = docs.select("*", F.monotonically_increasing_id().alias("_row"), normalised(text).alias("_norm"))
-    return store(rows, "radix-rows")
+def _split(docs: DataFrame, text: str, *columns) -> DataFrame:
+    """The rows, written once, with a number, ``_size`` and, where length and first bytes are shared, ``_group``.
 
-
-def _groups(rows: DataFrame, ident: str) -> DataFrame:
+    Those rows alone carry their text on as ``_body``.
+    """
+    size = F.octet_length(normalised(text))
+    cut = F.substring(normalised(text).cast("binary"), 1, FIRST)
+    heads = docs.select(size.alias("_size"), cut.alias("_cut")).groupBy("_size", "_cut").agg(F.count("*").alias("_n"))
+    heads = store(heads.filter("_n > 1").select("_size", "_cut", F.monotonically_increasing_id().alias("_group")), "radix-heads")
+    body = normalised(text).cast("binary")
+    whole = docs.select(*columns, body.alias("_body"))
+    whole = whole.withColumns({"_size": F.octet_length("_body"), "_cut": F.substring("_body", 1, FIRST)})
+    # As many shared heads as copies: they are merged, at any size, not broadcast.
+    met = whole.join(heads.hint("merge"), ["_size", "_cut"], "left").drop("_cut")
+    named = met.withColumn("_body", F.when(F.col("_group").isNotNull(), F.col("_body")))
+    return store(named.withColumn("_row", F.monotonically_increasing_id()), "radix-rows")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
     """(row, first row, first id, size) of every row whose text occurs more than once."""
-    body, size = F.col("_norm").cast("binary"), F.octet_length("_norm")
-    heads = rows.select("_row", size.alias("_size"), F.substring(body, 1, FIRST).alias("_cut"))
-    same = store(
-        heads.groupBy("_size", "_cut")
-        .agg(F.count("*").alias("_n"), F.min("_row").alias("_group"))
-        .filter("_n > 1")
-        .drop("_n"),
-        "radix-heads",
-    )
-    shared = store(heads.join(same, ["_size", "_cut"]).select("_row", "_group", "_size"), "radix-members")
-    ended = [shared.filter(F.col("_size") <= FIRST).select("_row", "_group")]
-    going = shared.filter(F.col("_size") > FIRST)
-    at, width = FIRST, FIRST * GROWTH
-    going = store(going.join(rows.select("_row", body.alias("_body")), "_row"), "radix-alive")
-    while not going.isEmpty():
-        cut = going.withColumn("_cut", F.substring("_body", at + 1, width))
-        split = store(
-            cut.groupBy("_group", "_cut")
-            .agg(F.count("*").alias("_n"), F.min("_row").alias("_next"))
-            .filter("_n > 1")
-            .drop("_n"),
-            "radix-split",
-        )
-        at, width = at + width, width * GROWTH
-        left = cut.join(split, ["_group", "_cut"]).select(
-            "_row", F.col("_next").alias("_group"), "_size", F.when(F.col("_size") > at, F.col("_body")).alias("_body")
-        )
-        left = store(left, "radix-alive")
-        ended.append(left.filter(F.col("_size") <= at).select("_row", "_group"))
-        going = left.filter(F.col("_size") > at)
-    members = ended[0]
-    for more in ended[1:]:
-        members = members.unionByName(more)
-    named = members.join(rows.select("_row", F.col(ident).alias("_id")), "_row")
+    rows = rows.filter(F.col("_group").isNotNull())
+    going, at, width, turn = rows, FIRST, FIRST * GROWTH, 0
+    members = None
+    while True:
+        ended = going.filter(F.col("_size") <= at).select("_row", F.lit(turn).alias("_turn"), "_group")
+        members = ended if members is None else members.unionByName(ended)
+        going = going.filter(F.col("_size") > at)
+        if going.isEmpty():
+            break
+        cut = going.select("_row", "_group", "_size", "_body", F.substring("_body", at + 1, width).alias("_cut"))
+        split = cut.groupBy("_group", "_cut").agg(F.count("*").alias("_n"), F.min("_row").alias("_next"))
+        split = store(split.filter("_n > 1").drop("_n"), "radix-split")
+        at, width, turn = at + width, width * GROWTH, turn + 1
+        rest = F.when(F.col("_size") > at, F.col("_body")).alias("_body")
+        left = cut.join(split, ["_group", "_cut"]).select("_row", F.col("_next").alias("_group"), "_size", rest)
+        going = store(left, "radix-alive")
+    named = members.join(rows.select("_row", "_id"), "_row")
+    named = store(named, "radix-members")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    figures = store(
-        named.groupBy("_group").agg(F.count("*").alias("_copies"), first.alias("_first")), "radix-groups"
-    )
-    return members.join(figures, "_group").select("_row", "_first", "_copies")
+    figures = named.groupBy("_turn", "_group").agg(F.count("*").alias("_copies"), first.alias("_first"))
+    figures = store(figures.filter("_copies > 1"), "radix-groups")
+    return named.join(figures, ["_turn", "_group"]).select("_row", "_first", "_copies")
 
 
 def mark_copies(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,23 +75,29 @@ def mark_copies(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     the smallest id stays; a row without an id comes after those with one, and of several with the
     same id just one stays. Whole texts of any length are compared. No rows give no rows.
     """
-    rows = _numbered(docs.select(F.col(ident).alias(ident), F.col(text).alias("_text")), "_text")
-    narrow = rows.select("_row", ident, F.sha2(F.col("_norm"), 256).alias("text_sha256"))
-    groups = _groups(rows, ident)
-    return narrow.join(groups, "_row", "left").select(
-        ident,
-        F.when(F.col("_copies").isNull(), F.col(ident)).otherwise(F.col("_first.id")).alias("keep_id"),
-        F.coalesce("_copies", F.lit(1)).cast("bigint").alias("group_size"),
-        F.coalesce(F.col("_first.row") == F.col("_row"), F.lit(True)).alias("kept"),
-        "text_sha256",
+    digest = F.sha2(normalised(text), 256).alias("text_sha256")
+    rows = _split(docs, text, F.col(ident).alias("_id"), digest)
+    single = rows.filter(F.col("_group").isNull()).select(
+        F.col("_id").alias(ident), F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
+        F.lit(True).alias("kept"), "text_sha256",
+    )
+    shared = rows.filter(F.col("_group").isNotNull()).select("_row", F.col("_id").alias(ident), "text_sha256")
+    return single.unionByName(
+        shared.join(_groups(rows), "_row", "left").select(
+            ident,
+            F.when(F.col("_copies").isNull(), F.col(ident)).otherwise(F.col("_first.id")).alias("keep_id"),
+            F.coalesce("_copies", F.lit(1)).cast("bigint").alias("group_size"),
+            F.coalesce(F.col("_first.row") == F.col("_row"), F.lit(True)).alias("kept"),
+            "text_sha256",
+        )
     )
 
 
 def drop_copies(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that ``mark_copies`` keeps, with all their columns.
-
-    Columns named ``_row`` or ``_norm`` are the operator's own and not for the input to use.
-    """
-    rows = _numbered(docs, text)
-    dropped = _groups(rows, ident).filter(F.col("_first.row") != F.col("_row")).select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    """The rows that ``mark_copies`` keeps, with all their columns, whatever those are called."""
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_record")
+    rows = _split(docs, text, record, F.col(ident).alias("_id"))
+    dropped = _groups(rows).filter(F.col("_first.row") != F.col("_row")).select("_row")
+    single = rows.filter(F.col("_group").isNull()).select("_record")
+    shared = rows.filter(F.col("_group").isNotNull()).join(dropped, "_row", "left_anti").select("_record")
+    return single.unionByName(shared).select("_record.*")
