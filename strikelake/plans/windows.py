@@ -17,9 +17,9 @@ HISTORY_DAYS, WINDOW_REACH, ROW_CAP, MIN_SPAN = 730, 30, 10_000, 1
 def check_range(date_from: date | None, date_to: date | None) -> None:
     """An end needs a start, and the start comes first."""
     if date_to is not None and date_from is None:
-        raise ValueError("date_to requires date_from")
+        raise ValueError("an end without a start")
     if date_from is not None and date_to is not None and date_from > date_to:
-        raise ValueError(f"date_from ({date_from}) must be on or before date_to ({date_to})")
+        raise ValueError(f"the start {date_from} is later than the end {date_to}")
 
 
 def load_spans(
@@ -107,34 +107,40 @@ def split_windows(
     ``outcome`` is ``fits``, ``incomplete`` (too full at the smallest span) or ``strike_band`` (a
     single day with a known close, which is split by strike instead: see the strike columns).
 
-    Both inputs are read once: a span takes its day counts along, at most one per calendar day, and
-    hands each window its own. These become running totals, an array of at most 32 numbers, and the
-    halving is then arithmetic on one row, without a join or shuffle per level.
+    Both inputs are read once. Day counts are gathered by window, at most 31 each, ahead of anything
+    else; they become running totals, an array of at most 32 numbers, and the halving is then
+    arithmetic on one row, without a join or shuffle per level.
     """
     keys = ["symbol", "option_type", "window_no", "window_from", "window_to"]
     # Windows are numbered back from the end, so a day finds its window by arithmetic.
     number = F.floor(F.datediff("end", "date") / (WINDOW_REACH + 1)).cast("int")
     in_span = F.col("date").between(F.col("start"), F.col("end"))
+    span_keys = ["symbol", "option_type", "start", "end"]
     held = (
-        spans.select("symbol", "option_type", "start", "end")
+        spans.select(*span_keys)
         .join(day_counts, ["symbol", "option_type"], "left")
-        .groupBy("symbol", "option_type", "start", "end")
+        .groupBy(*span_keys, F.when(in_span, number).alias("no"))
+        .agg(F.collect_list(F.when(in_span, F.struct("date", "n"))).alias("days"))
+        .groupBy(*span_keys)
         .agg(
-            F.collect_list(F.when(in_span, F.struct(number.alias("no"), "date", "n"))).alias("_days")
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("no").isNotNull(), F.struct("no", "days")))
+            ).alias("_by_window")
         )
     )
-    windows = held.select(
-        "symbol",
-        "option_type",
-        "_days",
-        F.posexplode_outer(window_array(F.col("start"), F.col("end"))).alias("window_no", "_w"),
-    ).select(
+    # Each window is handed its own days inside the array, so that no row carries those of all.
+    dealt = F.transform(
+        window_array(F.col("start"), F.col("end")),
+        lambda w, i: F.struct(w.alias("w"), F.try_element_at("_by_window", i).alias("days")),
+    )
+    no_days = F.array().cast("array<struct<date:date,n:bigint>>")
+    windows = held.select("symbol", "option_type", F.posexplode_outer(dealt).alias("window_no", "_d")).select(
         "symbol",
         "option_type",
         "window_no",
-        F.col("_w")["from"].alias("window_from"),
-        F.col("_w")["to"].alias("window_to"),
-        F.filter("_days", lambda day: day["no"] == F.col("window_no")).alias("_days"),
+        F.col("_d.w")["from"].alias("window_from"),
+        F.col("_d.w")["to"].alias("window_to"),
+        F.coalesce("_d.days", no_days).alias("_days"),
     )
     span = F.datediff("window_to", "window_from")
     by_day = F.map_from_entries(

@@ -88,7 +88,7 @@ def load_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.load_windows(resume_plan(spark, sf_dir), AS_OF)
 
 
-SPLIT_FROM, ROW_CAP = date(1995, 1, 1), 20
+ROW_CAP = 20
 
 
 @query(
@@ -98,7 +98,7 @@ WITH RECURSIVE {views.EXCHANGE_QUOTES}, {views.EXCHANGE_PRICES},
 pairs AS (
   SELECT DISTINCT underlying_symbol AS symbol, s.option_type
   FROM quotes CROSS JOIN (SELECT 'call' AS option_type UNION ALL SELECT 'put') s),
-{_windows_sql("spans", f"DATE '1995-01-01' AS start, {_AS_OF} AS stop FROM pairs")},
+{_windows_sql("spans", f"(SELECT min(quote_date) FROM quotes) AS start, {_AS_OF} AS stop FROM pairs")},
 day_counts AS (
   SELECT underlying_symbol AS symbol,
     CASE lower(substring(option_type, 1, 1)) WHEN 'c' THEN 'call' ELSE 'put' END AS option_type,
@@ -110,7 +110,7 @@ running AS (
   FROM (
     SELECT p.symbol, p.option_type, CAST(d.day AS DATE) AS date, coalesce(c.n, 0) AS n
     FROM pairs p
-    CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1994-12-31', TIMESTAMP '2001-12-01',
+    CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1990-12-31', TIMESTAMP '2001-12-01',
       INTERVAL 1 DAY)) AS day) d
     LEFT JOIN day_counts c ON c.symbol = p.symbol AND c.option_type = p.option_type
       AND c.date = CAST(d.day AS DATE))),
@@ -143,7 +143,8 @@ FROM leaves""",
 )
 def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = views.exchange_quotes(spark, sf_dir)
-    spans = windows.load_spans(resume.resume_plan(quotes), AS_OF, SPLIT_FROM)
+    first = quotes.agg(F.min("quote_date")).first()[0]
+    spans = windows.load_spans(resume.resume_plan(quotes), AS_OF, first)
     return windows.split_windows(
         spans, windows.side_day_counts(quotes), views.exchange_prices(spark, sf_dir), ROW_CAP
     )
