@@ -16,9 +16,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strikelake.llm.shared import schema_with, with_columns
+from strikelake.llm.shared import schema_with, slices, with_columns
 
-_MEMORY = 300_000  # distinct words whose ids a task remembers; a speed-up, results don't depend on it
+_MEMORY = 150_000  # distinct words whose ids a task remembers; a speed-up, results don't depend on it
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -218,6 +218,29 @@ class Encoder:
         return [head_ids[cs[0]] + b"".join(map(inner, cs[1:])) for cs in cut]
 
 
+def _parts(batch: pa.RecordBatch, column: str, size: int):
+    """The batch in runs of rows of about ``size`` bytes in a column, so that few are unpacked at once."""
+    for lo, _, offsets in slices(batch.column(column), size):
+        yield batch.slice(lo, len(offsets) - 1)
+
+
+def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self._cuts(t) for t in texts]
+        heads = {cs[0] for cs in cut}
+        fresh: set[str] = set()
+        for cs in cut:
+            fresh.update(cs[1:])
+        if len(self.inner) + len(fresh) > _MEMORY:
+            self.inner = {}
+        fresh.difference_update(self.inner)
+        firsts, rest = list(heads), list(fresh)
+        ids = self._learn(firsts + [" " + c for c in rest])
+        head_ids = dict(zip(firsts, ids[: len(firsts)], strict=True))
+        self.inner.update(zip(rest, ids[len(firsts) :], strict=True))
+        inner = self.inner.__getitem__
+        return [head_ids[cs[0]] + b"".join(map(inner, cs[1:])) for cs in cut]
+
+
 def _groups(texts: list[str], size: int = 24 << 20):
     """Runs of texts of about ``size`` characters."""
     lo, n = 0, 0
@@ -243,9 +266,9 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, *, text: str = "t
     def run(batches):
         encoder = Encoder(vocabulary.value, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            ids = [x for part in _groups(texts) for x in encoder.encode(part)]
-            yield with_columns(batch, ids=pa.array(ids, pa.binary()))
+            for part in _parts(batch, text, 6 << 20):
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                yield with_columns(part, ids=pa.array(encoder.encode(texts), pa.binary()))
 
     return docs.mapInArrow(run, schema_with(docs, ids="binary"))
 
@@ -257,10 +280,11 @@ def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
     def run(batches):
         table = vocabulary.value
         for batch in batches:
-            texts = [
-                None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                for x in batch.column("ids").to_pylist()
-            ]
-            yield with_columns(batch, decoded=pa.array(texts, pa.binary()))
+            for part in _parts(batch, "ids", 1 << 20):
+                texts = [
+                    None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist()))
+                    for x in part.column("ids").to_pylist()
+                ]
+                yield with_columns(part, decoded=pa.array(texts, pa.binary()))
 
     return encoded.mapInArrow(run, schema_with(encoded, decoded="binary"))
