@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from strikelake.operators.facts import date_column, has_type
+from strikelake.functions import parse_date
 from strikelake.operators.merge import coerce
 from strikelake.schemas import dataset, empty_table
 
+# Names that a file's date column may have.
+DATE_COLUMNS = ("quote_date", "date")
+
 _LISTING = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("size_bytes", T.LongType())]
 )
@@ -22,20 +25,49 @@ def _symbol(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.parquet$", 1)
 
 
+def _forms(name: str) -> list[T.StructType]:
+    """The shapes a file may have: dates as dates or text, numbers as numbers or text."""
+    ds = dataset(name)
+    columns = [f for f in ds.schema if f.name not in (ds.symbol, "extras")]
+    columns += [T.StructField(c, T.DateType()) for c in DATE_COLUMNS if c not in ds.types]
+
+    def typed(f: T.StructField, text: tuple[type, ...]) -> T.StructField:
+        # As a decimal, whole numbers of any width are read, unsigned ones too.
+        kind = T.DecimalType(20, 0) if isinstance(f.dataType, T.LongType) else f.dataType
+        return T.StructField(f.name, T.StringType() if isinstance(f.dataType, text) else kind)
+
+    numbers = (T.DoubleType, T.LongType)
+    forms = ((), (T.DateType,), numbers, (T.DateType, *numbers))
+    return [T.StructType([typed(f, text) for f in columns]) for text in forms]
+
+
 def read_symbol_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     """All files of a dataset as one table with the lake's types, the symbol from the file name.
 
-    Files may differ in columns. No files give an empty table.
+    Files may differ in columns, in the name of their date column and in the types of dates and
+    numbers: each file is read in the first form that fits it, as Spark skips it in the others. A file
+    that fits none, or is damaged, gives no rows; :func:`symbol_file_status` shows it with zero rows.
+    No files give an empty table.
     """
     ds = dataset(name)
-    try:
-        files = spark.read.option("mergeSchema", "true").parquet(_pattern(root, name))
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return empty_table(spark, ds.schema)
-        raise
-    named = files.withColumn(ds.symbol, _symbol(F.col("_metadata.file_name")))
-    return coerce(named, ds)
+    if list_symbol_files(spark, root, name).isEmpty():
+        return empty_table(spark, ds.schema)
+    every = seen = None
+    for form in _forms(name):
+        files = spark.read.schema(form).option("ignoreCorruptFiles", "true").parquet(_pattern(root, name))
+        rows = files.withColumn(ds.symbol, _symbol(F.col("_metadata.file_name")))
+        # All columns are read to find the files that fit, whatever columns the caller asks for. A file
+        # that has few of them may fit several forms.
+        fits = rows.groupBy(ds.symbol).agg(F.max(F.xxhash64(*form.names)).alias("h")).filter("h IS NOT NULL").select(ds.symbol)
+        if seen is not None:
+            fits = fits.join(seen, ds.symbol, "left_anti")
+        seen = fits if seen is None else seen.unionByName(fits)
+        rows = rows.join(fits, ds.symbol, "left_semi")
+        day = F.coalesce(*[parse_date(F.col(c).cast("string")) for c in DATE_COLUMNS])
+        typed = coerce(rows.withColumn(ds.date, day).drop(*[c for c in DATE_COLUMNS if c != ds.date]), ds)
+        every = typed if every is None else every.unionByName(typed)
+    missing = {c: F.lit(None).cast(t) for c, t in ds.types.items() if c not in every.columns}
+    return every.withColumns(missing).select(*ds.schema.names)
 
 
 def list_symbol_files(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -50,39 +82,19 @@ def list_symbol_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return listing.select(_symbol(F.col("path")).alias("symbol"), F.col("length").alias("size_bytes"))
 
 
-def symbol_file_status(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """Bytes, rows and date range of each file; a file that cannot be read has zero rows.
-
-    ``schema`` is given, because a damaged file has none to merge.
-    """
+def symbol_file_status(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Bytes, rows and date range of each file; a file that cannot be read has zero rows."""
     ds = dataset(name)
-    listing = list_symbol_files(spark, root, name)
-    if listing.isEmpty():
-        return listing.select(
-            "symbol",
-            "size_bytes",
-            F.lit(0).cast("bigint").alias("row_count"),
-            F.lit(None).cast("date").alias("date_min"),
-            F.lit(None).cast("date").alias("date_max"),
-        )
-    files = (
-        spark.read.schema(schema)
-        .option("ignoreCorruptFiles", "true")
-        .parquet(_pattern(root, name))
-    )
-    column = date_column(files, ds.date)
-    usable = column is not None and has_type(files, column, T.DateType)
-    day = F.col(column) if usable else F.lit(None).cast("date")
     counted = (
-        files.select(_symbol(F.col("_metadata.file_name")).alias("symbol"), day.alias("_day"))
-        .groupBy("symbol")
+        read_symbol_files(spark, root, name)
+        .groupBy(F.col(ds.symbol).alias("symbol"))
         .agg(
             F.count("*").alias("row_count"),
-            F.min("_day").alias("date_min"),
-            F.max("_day").alias("date_max"),
+            F.min(ds.date).alias("date_min"),
+            F.max(ds.date).alias("date_max"),
         )
     )
-    return listing.join(counted, "symbol", "left").select(
+    return list_symbol_files(spark, root, name).join(counted, "symbol", "left").select(
         "symbol",
         "size_bytes",
         F.coalesce("row_count", F.lit(0)).alias("row_count"),

@@ -20,6 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 LAKE = {
     "load_run", "load_rejects", "load_run_rows", "stream_ingest", "stream_prices", "options_upsert", "scan_quotes",
     "lake_expired", "upsert_extras", "lake_schema", "purge_options", "prices_merge", "prices_overwrite", "lake_status",
+    "symbol_file_rows", "symbol_file_status",
 }
 
 

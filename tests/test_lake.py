@@ -303,10 +303,17 @@ def test_foreign_symbol_files(spark, tmp_path):
         ("SPY", 1, None), ("SPY", 2, None), ("QQQ", 1, 1.0), ("QQQ", 2, 2.0)
     }
     (folder / "BAD.parquet").write_bytes(b"not parquet at all")
-    status = symbol_files.symbol_file_status(spark, str(tmp_path), "prices", "date date, close double").collect()
+    status = symbol_files.symbol_file_status(spark, str(tmp_path), "prices").collect()
     got = {r["symbol"]: (r["size_bytes"], r["row_count"], r["date_min"], r["date_max"]) for r in status}
     assert got["BAD"] == (18, 0, None, None)
     assert got["SPY"] == (os.path.getsize(folder / "SPY.parquet"), 2, d("2024-01-01"), d("2024-01-02"))
+    pq.write_table(pa.table({"quote_date": ["2024-01-03"], "close": ["3.5"]}), folder / "TXT.parquet")
+    pq.write_table(pa.table({"close": [4.0]}), folder / "NODATE.parquet")
+    mixed = {(r["symbol"], r["date"], r["close"]) for r in symbol_files.read_symbol_files(spark, str(tmp_path), "prices").collect()}
+    assert {x for x in mixed if x[0] in ("TXT", "NODATE")} == {("TXT", d("2024-01-03"), 3.5), ("NODATE", None, 4.0)}
+    assert len(mixed) == 6
+    (folder / "TXT.parquet").unlink()
+    (folder / "NODATE.parquet").unlink()
     listed = symbol_files.list_symbol_files(spark, str(tmp_path), "prices")
     assert sorted(r["symbol"] for r in listed.collect()) == ["BAD", "QQQ", "SPY"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strikelake.operators import merge
 from strikelake.plans.quality import stored_schema
 from strikelake.sources.lake import purge_outcome, purge_rows
+from strikelake.sources.symbol_files import read_symbol_files, symbol_file_status
 from workload import views
 from workload.facts import catalog_status
 from workload.registry import query
@@ -294,3 +295,49 @@ def purge_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = views.table(spark, sf_dir, "lineitem").agg(F.min("l_linestatus").alias("symbol"))
     lake.purge(first.withColumn("dataset", F.lit("options")))
     return lake.scan("options").select(*_OUT)
+
+
+def _symbol_files(spark: SparkSession, sf_dir: str) -> str:
+    """Bars of all order states, one file each: F with typed columns, O with text, P with another date column."""
+    root = views.scratch_dir(spark, "symbol-files")
+    bars = views.exchange_prices(spark, sf_dir).repartition(1, "symbol")
+    plain = [F.col(c) for c in _BARS.split(", ")[1:]]
+    forms = {
+        "F": plain,
+        "O": [c.cast("string") for c in plain],
+        "P": [F.col("date").alias("quote_date"), *plain[1:5]],
+    }
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for symbol, columns in forms.items():
+        bars.filter(F.col("symbol") == symbol).select(*columns).coalesce(1).write.parquet(f"{root}/parts/{symbol}")
+        folder = hadoop(f"{root}/parts/{symbol}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        (part,) = [x.getPath() for x in fs.globStatus(hadoop(f"{root}/parts/{symbol}/part-*.parquet"))]
+        fs.mkdirs(hadoop(f"{root}/prices"))
+        fs.rename(part, hadoop(f"{root}/prices/{symbol}.parquet"))
+    return root
+
+
+@query(
+    "symbol_file_rows",
+    f"""
+WITH {views.EXCHANGE_PRICES}
+SELECT symbol, date, open, high, low, close,
+  CASE WHEN symbol <> 'P' THEN adjclose END AS adjclose, CASE WHEN symbol <> 'P' THEN volume END AS volume
+FROM prices""",
+)
+def symbol_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of differing columns and types as one table."""
+    return read_symbol_files(spark, _symbol_files(spark, sf_dir), "prices").select(*_BARS.split(", "))
+
+
+@query(
+    "symbol_file_status",
+    f"""
+WITH {views.EXCHANGE_PRICES}
+SELECT symbol, count(*) AS row_count, min(date) AS date_min, max(date) AS date_max, true AS has_bytes
+FROM prices GROUP BY 1""",
+)
+def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = symbol_file_status(spark, _symbol_files(spark, sf_dir), "prices")
+    return status.select("symbol", "row_count", "date_min", "date_max", (F.col("size_bytes") > 0).alias("has_bytes"))
