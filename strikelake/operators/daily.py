@@ -30,7 +30,7 @@ def coverage_inputs(df: DataFrame) -> str | None:
         ("option_type", T.StringType),
     ):
         if not has_type(df, column, kind):
-            return f"Missing or invalid {column} column"
+            return f"no usable {column} column"
     return None
 
 

@@ -231,15 +231,15 @@ def test_report_messages(spark):
     p = [bar("SPY", x) for x in ("2024-01-10", "2024-01-11", "2024-01-12")] + [bar("QQQ", "2024-01-01", 0.0), bar("QQQ", "2024-01-08")]
     got = report_of(spark, quotes(spark, o), prices(spark, p))
     text = {k: (r["status"], r["message"]) for k, r in got.items()}
-    assert text[("SPY", 1)] == ("WARN", "1 missing trading day(s): 2024-01-11")
-    assert text[("SPY", 2)] == ("WARN", "1 duplicate rows out of 12")
-    assert text[("SPY", 4)] == ("WARN", "1 nulls in strike; zero prices in bid(1, 8.3%); 2 rows with |delta| > 1.0")
-    assert text[("SPY", 5)] == ("WARN", "0.0% of dates have delta 0.2–0.8 coverage; ~11 strikes/day")
-    assert text[("SPY", 6)] == ("PASS", "Schema valid (7 columns)")
-    assert text[("SPY", 7)] == ("PASS", "No issues")
-    assert text[("SPY", 8)] == ("PASS", "No gaps > 3 trading days (0 total missing weekdays)")
-    assert text[("QQQ", 7)][1].startswith("1 zero/negative values in open (50.0%); ")
-    assert text[("QQQ", 8)] == ("WARN", "1 gap(s) > 3 trading days: 2024-01-02 to 2024-01-05 (4 days)")
+    assert text[("SPY", 1)] == ("WARN", "1 price day(s) without quotes: 2024-01-11")
+    assert text[("SPY", 2)] == ("WARN", "1 of 12 rows repeat a key")
+    assert text[("SPY", 4)] == ("WARN", "strike is null in 1 row(s); zeros: bid(1, 8.3%); delta beyond 1 in 2 row(s)")
+    assert text[("SPY", 5)] == ("WARN", "both sides span delta 0.2 to 0.8 on 0.0% of days, median 11 strikes")
+    assert text[("SPY", 6)] == ("PASS", "all 7 columns as expected")
+    assert text[("SPY", 7)] == ("PASS", "nothing found")
+    assert text[("SPY", 8)] == ("PASS", "no gap of over 3 weekdays, 0 missing in all")
+    assert text[("QQQ", 7)][1].startswith("open not above zero in 1 row(s) (50.0%); ")
+    assert text[("QQQ", 8)] == ("WARN", "1 gap(s) of over 3 weekdays: 2024-01-02 to 2024-01-05 (4 days)")
     assert not [k for k in text if k[0] == "QQQ" and k[1] <= 5]
 
 
@@ -247,16 +247,16 @@ def test_report_without_prices_dates_or_columns(spark):
     p = prices(spark, [bar("B", None)])
     o = quotes(spark, [quote("A"), quote("B")])
     got = report_of(spark, o, p)
-    assert got[("A", 1)]["message"] == "No prices cache to compare against"
-    assert got[("B", 1)]["message"] == "Could not extract dates for comparison"
-    assert got[("B", 7)]["message"] == "1 nulls in date"
-    assert got[("B", 8)]["message"] == "No dates found"
+    assert got[("A", 1)]["message"] == "no price bars to compare with"
+    assert got[("B", 1)]["message"] == "one side has no dates"
+    assert got[("B", 7)]["message"] == "date is null in 1 row(s)"
+    assert got[("B", 8)]["message"] == "no bars with a date"
     bare = report_of(spark, o.drop("delta", "strike"), p)
     assert bare[("A", 2)]["status"] == "FAIL" and "'strike'" in bare[("A", 2)]["message"]
-    assert bare[("A", 5)]["message"] == "Missing or invalid delta column"
-    assert bare[("A", 4)]["message"] == "No issues"
+    assert bare[("A", 5)]["message"] == "no usable delta column"
+    assert bare[("A", 4)]["message"] == "nothing found"
     undated = report_of(spark, o.withColumn("quote_date", F.lit("2024")), p)
-    assert undated[("A", 5)]["message"] == "Missing or invalid quote_date column"
+    assert undated[("A", 5)]["message"] == "no usable quote_date column"
     assert "quote_date is string, expected date" in undated[("A", 3)]["message"]
 
 

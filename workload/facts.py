@@ -223,7 +223,7 @@ def options_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {views.LISTING_PRICES}
 SELECT DISTINCT symbol, 'PASS' AS status, CAST(0 AS BIGINT) AS observed, CAST(7 AS BIGINT) AS total,
-  'Schema valid (7 columns)' AS message
+  'all 7 columns as expected' AS message
 FROM prices""",
 )
 def prices_schema(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,16 +29,16 @@ _ZEROS = [
 ]
 _ZERO_LIST = _joined(_ZEROS, ", ")
 _OPTION_FACTS = [
-    f"CASE WHEN null_{c} > 0 THEN null_{c} || ' nulls in {c}' END"
+    f"CASE WHEN null_{c} > 0 THEN '{c} is null in ' || null_{c} || ' row(s)' END"
     for c in ("quote_date", "underlying_symbol", "option_type", "expiration", "strike")
 ] + [
-    f"CASE WHEN {_ZERO_LIST} <> '' THEN 'zero prices in ' || {_ZERO_LIST} END",
-    "CASE WHEN outliers > 0 THEN outliers || ' rows with |delta| > 1.0' END",
+    f"CASE WHEN {_ZERO_LIST} <> '' THEN 'zeros: ' || {_ZERO_LIST} END",
+    "CASE WHEN outliers > 0 THEN 'delta beyond 1 in ' || outliers || ' row(s)' END",
 ]
 _PRICE_FACTS = [
-    f"CASE WHEN null_{c} > 0 THEN null_{c} || ' nulls in {c}' END" for c in ("date", "close")
+    f"CASE WHEN null_{c} > 0 THEN '{c} is null in ' || null_{c} || ' row(s)' END" for c in ("date", "close")
 ] + [
-    f"""CASE WHEN bad_{c} > 0 THEN bad_{c} || ' zero/negative values in {c} (' ||
+    f"""CASE WHEN bad_{c} > 0 THEN '{c} not above zero in ' || bad_{c} || ' row(s) (' ||
     {_percent(f'bad_{c}', 'n')} || '%)' END"""
     for c in _LEVELS
 ]
@@ -89,17 +89,17 @@ report AS (
   SELECT symbol, 'options' AS dataset, 1 AS position, 'Gaps' AS "check",
     CASE outcome WHEN 'ok' THEN 'PASS' ELSE 'WARN' END AS status,
     missing_days AS observed, trading_days AS total,
-    CASE outcome WHEN 'no_prices' THEN 'No prices cache to compare against'
-      WHEN 'no_overlap' THEN 'No overlapping date range between options and prices'
-      WHEN 'ok' THEN 'No gaps detected (' || trading_days || ' trading days)'
+    CASE outcome WHEN 'no_prices' THEN 'no price bars to compare with'
+      WHEN 'no_overlap' THEN 'quotes and bars do not overlap in time'
+      WHEN 'ok' THEN 'every one of ' || trading_days || ' price days has quotes'
       ELSE CASE WHEN missing_days <= 5
-        THEN missing_days || ' missing trading day(s): ' || missing_dates
-        ELSE missing_days || ' missing trading days out of ' || trading_days END END AS message
+        THEN missing_days || ' price day(s) without quotes: ' || missing_dates
+        ELSE missing_days || ' of ' || trading_days || ' price days without quotes' END END AS message
   FROM options_gaps
   UNION ALL
   SELECT symbol, 'options', 2, 'Duplicates', CASE WHEN d > 0 THEN 'WARN' ELSE 'PASS' END, d, n,
-    CASE WHEN d = 0 THEN 'No duplicates (' || n || ' rows)'
-      ELSE d || ' duplicate rows out of ' || n END
+    CASE WHEN d = 0 THEN 'all ' || n || ' rows differ in their keys'
+      ELSE d || ' of ' || n || ' rows repeat a key' END
   FROM duplicates
   UNION ALL
   SELECT o.symbol, 'options', 3, 'Schema', 'WARN', 14, c.n, '{_OPTION_ISSUES.replace("'", "''")}'
@@ -108,27 +108,27 @@ report AS (
   SELECT symbol, 'options', 4, 'Nulls/Outliers',
     CASE WHEN {_issue_count(_OPTION_FACTS)} > 0 THEN 'WARN' ELSE 'PASS' END,
     {_issue_count(_OPTION_FACTS)}, n,
-    CASE WHEN {_issue_count(_OPTION_FACTS)} = 0 THEN 'No issues' ELSE {_joined(_OPTION_FACTS)} END
+    CASE WHEN {_issue_count(_OPTION_FACTS)} = 0 THEN 'nothing found' ELSE {_joined(_OPTION_FACTS)} END
   FROM option_facts
   UNION ALL
   SELECT symbol, 'options', 5, 'Delta Coverage',
     CASE WHEN CAST(passing AS DOUBLE) / CAST(days AS DOUBLE) * 100.0 >= 80.0 THEN 'PASS' ELSE 'WARN' END,
     passing, days,
-    {_percent('passing', 'days')} || '% of dates have delta 0.2–0.8 coverage; ~' || median || ' strikes/day'
+    'both sides span delta 0.2 to 0.8 on ' || {_percent('passing', 'days')} || '% of days, median ' || median || ' strikes'
   FROM coverage
   UNION ALL
-  SELECT symbol, 'prices', 6, 'Schema', 'PASS', 0, 7, 'Schema valid (7 columns)' FROM price_facts
+  SELECT symbol, 'prices', 6, 'Schema', 'PASS', 0, 7, 'all 7 columns as expected' FROM price_facts
   UNION ALL
   SELECT symbol, 'prices', 7, 'Nulls/Outliers',
     CASE WHEN {_issue_count(_PRICE_FACTS)} > 0 THEN 'WARN' ELSE 'PASS' END,
     {_issue_count(_PRICE_FACTS)}, n,
-    CASE WHEN {_issue_count(_PRICE_FACTS)} = 0 THEN 'No issues' ELSE {_joined(_PRICE_FACTS)} END
+    CASE WHEN {_issue_count(_PRICE_FACTS)} = 0 THEN 'nothing found' ELSE {_joined(_PRICE_FACTS)} END
   FROM price_facts
   UNION ALL
   SELECT symbol, 'prices', 8, 'Gaps', CASE WHEN long_gaps > 0 THEN 'WARN' ELSE 'PASS' END,
     long_gaps, missing,
-    CASE WHEN long_gaps = 0 THEN 'No gaps > 3 trading days (' || missing || ' total missing weekdays)'
-      ELSE long_gaps || ' gap(s) > 3 trading days: ' || gap_list END
+    CASE WHEN long_gaps = 0 THEN 'no gap of over 3 weekdays, ' || missing || ' missing in all'
+      ELSE long_gaps || ' gap(s) of over 3 weekdays: ' || gap_list END
   FROM price_gaps)
 SELECT * FROM report {where}"""
 
