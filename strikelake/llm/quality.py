@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strikelake.llm.sample import labelled
-from strikelake.llm.shared import schema_with, slices, utf8, with_columns
+from strikelake.llm.shared import schema_with, slices, with_columns
 from strikelake.llm.words import Hasher, spans
 
 WORDS, DIMS, ONES, HIDDEN = 1 << 14, 64, 4, 32
@@ -55,16 +55,16 @@ def word_vectors(bucket: np.ndarray, shape: np.ndarray, rows: np.ndarray) -> np.
     for k in range(ONES):
         index[np.arange(len(index)), draw.integers(0, DIMS, len(index))] += draw.choice([-1, 1], len(index))
     vectors = np.zeros((WORDS + SHAPES, DIMS))
-    for lo in range(0, len(rows), 1 << 17):
-        a, z = max(0, lo - 2), min(len(rows), lo + (1 << 17) + 2)
-        own = index[bucket[a:z]] * 0.25 + index[WORDS + shape[a:z]]
+    for lo in range(0, len(rows), 1 << 15):
+        a, z = max(0, lo - 2), min(len(rows), lo + (1 << 15) + 2)
+        own = index[bucket[a:z]] * 0.25 + index[WORDS + shape[a:z].astype(np.int32)]
         context = np.zeros_like(own)
         for gap in (1, 2):
             near = (rows[a : z - gap] == rows[a + gap : z])[:, None]
             context[gap:] += own[:-gap] * near
             context[:-gap] += own[gap:] * near
-        mine = slice(lo - a, min(len(rows), lo + (1 << 17)) - a)
-        b, s = bucket[a:z][mine], shape[a:z][mine] + WORDS
+        mine = slice(lo - a, min(len(rows), lo + (1 << 15)) - a)
+        b, s = bucket[a:z][mine], shape[a:z][mine].astype(np.int32) + WORDS
         for d in range(DIMS):
             vectors[:, d] += np.bincount(b, context[mine, d], len(vectors))
             vectors[:, d] += np.bincount(s, context[mine, d] + own[mine, d], len(vectors))
@@ -103,7 +103,7 @@ def pooled(vectors: np.ndarray, bucket, shape, rows, n: int) -> np.ndarray:
             cut = np.concatenate([[lo], at[(at > lo) & (at < hi)]])
             who = rows[cut]
             out[who, :DIMS] += np.add.reduceat(vectors[bucket[lo:hi]], cut - lo)
-        seen = np.bincount(rows * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES)
+        seen = np.bincount(rows.astype(np.int64) * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES)
         out[:, DIMS : 2 * DIMS] = seen @ vectors[WORDS:]
         out /= np.maximum(count, 1)[:, None]
     out[:, -1] = np.log1p(count)
@@ -141,8 +141,11 @@ def fit(pairs: list[tuple[str, int]], *, steps: int = 300) -> Quality:
         width = 2 * DIMS + 1
         layers = [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.array([np.log(share / (1 - share))])]
         return Quality(np.zeros((WORDS + SHAPES, DIMS), np.float32), np.zeros(width), np.ones(width), layers, 1.0)
-    data, offsets = utf8(pa.array([t for t, _ in pairs], pa.large_string()))
-    bucket, shape, rows = terms(data, offsets, Hasher(31))
+    parts, hasher = [], Hasher(31)
+    for lo, data, offsets in slices(pa.array([t for t, _ in pairs], pa.large_string())):
+        b, s, r = terms(data, offsets, hasher)
+        parts.append((b.astype(np.int16), s.astype(np.int16), (r + lo).astype(np.int32)))
+    bucket, shape, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
     vectors = word_vectors(bucket, shape, rows)
     x = pooled(vectors, bucket, shape, rows, len(y)).astype(float)
     centre, scale = x.mean(0), x.std(0) + 1e-3

@@ -38,7 +38,7 @@ def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
 def features(text: str) -> np.ndarray:
     """Sorted distinct buckets of the text's n-grams, of all of it."""
     codes = _lowered(text)
-    return np.unique(np.concatenate([_buckets(codes, k) for k in ORDERS]))
+    return np.unique(np.concatenate([_buckets(codes, k) for k in ORDERS])).astype(np.int32)
 
 
 class Toxicity:
