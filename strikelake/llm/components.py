@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from strikelake.llm.shared import store
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one root and no root is a node itself."""
+    several = edges.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").select("u")
+    inner = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+    return several.unionByName(inner).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,8 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
     edges = store(edges.distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = store(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-star")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -28,7 +30,4 @@ def components(links: DataFrame) -> DataFrame:
         low = store(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
         moved = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = store(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        last, state = state, _state(edges)
-        if state == last:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

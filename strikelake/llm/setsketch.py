@@ -9,10 +9,12 @@ rest is confirmed on full shingle sets.
 
 With 32 bands of 4 registers a pair at a similarity of 0.8 is missed with a chance of 5e-8, and the
 estimate drops it with one of about 3e-7. Nothing is capped. Equal sets are one class from the start. A
-bucket first compares its members with one leader each and only while they are in different
-components, a number of pairs in proportion to its rows, for a few rounds with new leaders. Pairs
-that are still in different components are then compared where they agree on two bands (of pairs at 0.8,
-all but one in a million do).
+bucket first compares its members with one leader each, and only while they are in different
+components: a number of pairs in proportion to its rows, for a few rounds with new leaders. What is then
+still apart is bounded exactly: shingles that no other document in question has cannot be in an
+intersection, so a document with many of them has no partner, of whatever sizes its own and the
+partner's are. Those that may have one are compared with each other. Leaders are the documents with the
+fewest shingles of their own, to which a large group of near copies links at once.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from strikelake.llm.words import Hasher, mix, shingles, spans
 BASE, RATE, TOP = 1.001, 20.0, 65535
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-ROUNDS = 3
+ROUNDS = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -172,33 +174,63 @@ def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _leader_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """Each member of a bucket with the bucket's leader, where they are in different components."""
-    order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp")
+def _with_leaders(buckets: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the bucket's leader and its component.
+
+    The leader is the document with the smallest share of shingles of its own.
+    """
+    order = F.struct((F.col("own") / F.col("n")).alias("share"), F.xxhash64("rep").alias("h"), "rep", "comp")
     leaders = buckets.groupBy("key").agg(
         F.min(order).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    leaders = store(leaders.filter("lo < hi").select("key", "lead.rep", "lead.comp"), "near-leaders").select(
-        "key", F.col("rep").alias("lead"), F.col("comp").alias("lead_comp")
-    )
-    met = buckets.join(leaders, "key").filter("comp <> lead_comp")
+    leaders = leaders.filter("lo < hi").select("key", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp"))
+    return store(buckets.join(store(leaders, "near-leaders"), "key"), "near-buckets")
+
+
+def _leader_pairs(led: DataFrame) -> DataFrame:
+    """Each row with its bucket's leader, where they are in different components."""
+    met = led.filter("comp <> lead_comp")
     return met.select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v")).distinct()
 
 
-def _remaining_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs in different components that agree on two bands."""
-    open_keys = buckets.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    left = buckets.join(store(open_keys.select("key"), "near-open"), "key")
-    mine = left.groupBy("rep", "comp").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # one per band at most
-    two = F.expr(
-        "flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))"
-    )
-    fine = mine.filter("size(keys) > 1").select("rep", "comp", F.explode(two).alias("key"))
-    spans_ = fine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    fine = store(fine.join(store(spans_.select("key"), "near-open"), "key"), "near-fine")
-    a = fine.select("key", F.col("rep").alias("u"), F.col("comp").alias("cu"))
-    b = fine.select("key", F.col("rep").alias("v"), F.col("comp").alias("cv"))
-    return a.join(b, "key").filter("u < v AND cu <> cv").select("u", "v").distinct()
+def _own_shingles(buckets: DataFrame, full: DataFrame) -> DataFrame:
+    """(rep, own): how many of its shingles no other document of the buckets has."""
+
+    def run(batches):
+        for batch in batches:
+            sets_ = batch.column("set").to_pylist()
+            sizes = [len(x) // 8 for x in sets_]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column("rep").to_numpy(), sizes)),
+                    pa.array(np.frombuffer(b"".join(sets_), np.int64)),
+                ],
+                names=["rep", "shingle"],
+            )
+
+    members = buckets.select("rep").distinct()
+    each = full.join(members, "rep").select("rep", "set").mapInArrow(run, "rep bigint, shingle bigint")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
+    return store(alone.groupBy("rep").agg(F.count("*").alias("own")), "near-own")
+
+
+def _remaining_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components whose shared shingles may suffice.
+
+    Buckets are cut by size in steps of 5 percent; the larger of a pair visits the steps below it. With m
+    shingles that others have too and sizes p <= q, a similarity is at most m / (p + q - m).
+    """
+    limit, step = percent / 100, float(np.log(1.05))
+    mine = buckets.withColumn("m", F.col("n") - F.col("own")).withColumn("size", F.floor(F.log("n") / step))
+    small = mine.filter(F.col("m") >= limit * (2 * F.col("n") - F.col("m")) - 1e-6)
+    lowest = F.floor(F.log(F.col("n") * limit) / step) - 1
+    visits = mine.withColumn("size", F.explode(F.sequence(lowest, F.col("size"))))
+    least = F.floor(F.exp(F.col("size") * step) - 1e-6)
+    visits = visits.filter(F.col("m") >= limit * (least + F.col("n") - F.col("m")) - 1e-6)
+    a = small.select("key", "size", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    b = visits.select("key", "size", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    met = a.join(b, ["key", "size"]).filter("ca <> cb AND (na < nb OR (na = nb AND a < b))")
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def _classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -215,30 +247,27 @@ def _classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     )
     banded = reps.select("rep", F.explode("bands").alias("key"))
     shared = store(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-shared")
-    buckets = store(banded.join(shared, "key").withColumn("comp", F.col("rep")), "near-buckets")
+    sized = reps.select("rep", "n", F.lit(0).cast("bigint").alias("own"), F.explode("bands").alias("key"))
+    buckets = store(sized.join(shared, "key").withColumn("comp", F.col("rep")), "near-buckets")
     members = buckets.select(F.col("rep").alias("_row")).distinct()
     full = store(_full_sets(rows.join(members, "_row"), k).withColumnRenamed("_row", "rep"), "near-sets")
-    links = None
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        likely = store(_likely(_joined(pairs, reps, "n", "regs"), percent), "near-likely")
-        return store(_confirmed(_joined(likely, full, "set"), percent), "near-links")
-
-    roots = None
+    links = roots = None
     for turn in range(ROUNDS + 1):
-        pairs = _leader_pairs(buckets, turn) if turn < ROUNDS else _remaining_pairs(buckets)
-        found = confirm(pairs)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        named = roots.select(F.col("node").alias("rep"), "root")
-        buckets = store(
-            buckets.drop("comp").join(named, "rep", "left").select(
-                "key", "rep", F.coalesce("root", "rep").alias("comp")
-            ),
-            "near-buckets",
-        )
+        if turn:
+            buckets = led.drop("lead", "lead_comp")
+        if turn == 1:
+            buckets = buckets.drop("own").join(_own_shingles(buckets, full), "rep", "left").fillna(0, ["own"])
+        if turn and roots is not None:
+            named = roots.select(F.col("node").alias("rep"), "root")
+            buckets = buckets.drop("comp").join(named, "rep", "left")
+            buckets = buckets.withColumn("comp", F.coalesce("root", "rep")).drop("root")
+        led = _with_leaders(store(buckets, "near-buckets") if turn else buckets)
+        pairs = _leader_pairs(led) if turn < ROUNDS else _remaining_pairs(led, percent)
+        likely = _likely(_joined(pairs, reps, "n", "regs"), percent)
+        found = store(_confirmed(_joined(likely, full, "set"), percent), "near-links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
     if roots is None:
         return sketches, reps.select("set_a", "set_b", "first")
     named = roots.select(F.col("node").alias("rep"), "root")
