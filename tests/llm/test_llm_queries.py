@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strikelake.llm import queries, shared
+from strikelake.llm import mixing, queries, shared
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SMALL = "/root/testdata/sf0.01"
@@ -74,6 +74,21 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
 
 
+def test_pipeline_keeps_the_mixed_order_over_several_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        left = spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("doc_id").isin([r.doc_id for r in rows]))
+        mixed = mixing.mix(left).orderBy("position").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.doc_id for r in rows] == [r.doc_id for r in mixed]
+    assert [(r.mix_slot, r.position) for r in rows] == [(r.mix_slot, r.position) for r in mixed]
+
+
 def test_pipeline_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
