@@ -2,7 +2,7 @@
 
 The method's verdict rests on the minimum-covariance-determinant estimate of each (language, source):
 centre and spread of the three quarters of its documents that lie closest together, found by
-concentration steps from a start of medians and median deviations. A document goes when its
+concentration steps from three starts, of which the least determinant counts. A document goes when its
 transformed statistics lie too far out by Mahalanobis distance. Estimates come from all documents by
 sums that every task adds up on its own, so a hot source is no trouble.
 """
@@ -22,8 +22,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 # Transformed statistics: log words, log characters per word, and square roots of the shares of
-# symbols, repeated lines, repeated words and capitals. Below these scales a spread counts as this.
-FLOORS = (0.5, 0.08, 0.035, 0.2, 0.2, 0.08)
+# symbols, repeated lines, repeated words and capitals. The squares of these are added to every
+# estimate's variances, as statistics without any spread have no inverse. A share's root may differ by
+# 1, so a floor has to stay far below sqrt(1 / CUTOFF) = 0.17 for its statistic to reject by itself.
+FLOORS = (0.1, 0.04, 0.035, 0.08, 0.08, 0.04)
 DIMS = len(FLOORS)
 SHARE, STEPS = 0.75, 3
 # Chi-square of 6 degrees of freedom at 0.99999, and what a spread of the inner 75 % is to be multiplied by.
@@ -135,35 +137,71 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _inverted(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre and inverse spread of each group, mixed with the pooled ones. One row per group."""
+def _inverted(moments: DataFrame) -> DataFrame:
+    """Centre, inverse spread and log determinant of each group and start, mixed with its start's pooled ones."""
     moments = store(moments, "rules-moments")
     parts = [F.sum(F.col("sums")[i]) for i in range(DIMS)] + [F.sum(F.col("products")[i]) for i in range(len(_PAIRS))]
-    pooled = moments.agg(F.sum("n").alias("n"), F.array(*parts[:DIMS]).alias("s"), F.array(*parts[DIMS:]).alias("p")).first()
-    total = pooled["n"] or 1.0
-    centre = np.array(pooled["s"], float) / total if pooled["n"] else np.zeros(DIMS)
-    spread = _covariance(total, centre * total, np.array(pooled["p"], float)) if pooled["n"] else np.zeros((DIMS, DIMS))
+    totals = moments.groupBy("_start").agg(
+        F.sum("n").alias("n"), F.array(*parts[:DIMS]).alias("s"), F.array(*parts[DIMS:]).alias("p")
+    )
+    pooled = {}
+    for row in totals.collect():  # one row per start
+        sums = np.array(row["s"], float)
+        pooled[row["_start"]] = sums / row["n"], _covariance(row["n"], sums, np.array(row["p"], float))
     least = np.diag(np.square(FLOORS))
 
     def run(batches):
         for batch in batches:
-            means, inverses = [], []
-            columns = [batch.column(c).to_pylist() for c in ("n", "sums", "products")]
-            for n, sums, products in zip(*columns, strict=True):
+            means, inverses, sizes = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("_start", "n", "sums", "products")]
+            for start, n, sums, products in zip(*columns, strict=True):
+                centre, spread = pooled[start]
                 own = np.array(sums)
                 mean = (own + PRIOR * centre) / (n + PRIOR)
                 cov = (n * _covariance(n, own, np.array(products)) + PRIOR * spread) / (n + PRIOR)
+                full = CONSISTENCY * cov + least
                 means.append(mean.tolist())
-                inverses.append(np.linalg.inv(CONSISTENCY * cov + least).ravel().tolist())
+                inverses.append(np.linalg.inv(full).ravel().tolist())
+                sizes.append(float(np.linalg.slogdet(full)[1]))
             kind = pa.list_(pa.float64())
             yield with_columns(
-                batch, ("n", "sums", "products"), _mean=pa.array(means, kind), _inverse=pa.array(inverses, kind)
+                batch,
+                ("n", "sums", "products"),
+                _mean=pa.array(means, kind),
+                _inverse=pa.array(inverses, kind),
+                _logdet=pa.array(sizes, pa.float64()),
             )
 
-    ddl = schema_with(moments, ("n", "sums", "products"), _mean="array<double>", _inverse="array<double>")
+    kinds = {"_mean": "array<double>", "_inverse": "array<double>", "_logdet": "double"}
+    ddl = schema_with(moments, ("n", "sums", "products"), **kinds)
     return store(moments.mapInArrow(run, ddl), "rules-estimates")
 
 
+def _starts(good: DataFrame, names: list[str]) -> DataFrame:
+    """Three starts of each group: medians with median deviations or alone, means with deviations."""
+    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
+    x = [F.col(f"_x{i}") for i in range(DIMS)]
+    centres = good.groupBy(*names).agg(
+        F.array(*[middle(c) for c in x]).alias("_mean"),
+        F.array(*[F.avg(c) for c in x]).alias("_average"),
+        F.array(*[F.stddev_pop(c) for c in x]).alias("_deviation"),
+    )
+    centres = store(centres, "rules-medians")
+    deviations = _near(good, centres, names).groupBy(*names).agg(
+        F.array(*[1.4826 * middle(F.abs(c - F.col("_mean")[i])) for i, c in enumerate(x)]).alias("_off")
+    )
+
+    def start(number: int, mean: str, scale: str | None) -> F.Column:
+        floors = [F.lit(f) for f in FLOORS]
+        wide = [F.greatest(F.col(scale)[i], f) if scale else f for i, f in enumerate(floors)]
+        flat = [1 / (wide[i] * wide[i]) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)]
+        return F.struct(F.lit(number).alias("_start"), F.col(mean).alias("_mean"), F.array(*flat).alias("_inverse"))
+
+    each = F.array(start(0, "_mean", "_off"), start(1, "_mean", None), start(2, "_average", "_deviation"))
+    table = _near(centres, deviations, names).select(*names, F.explode(each).alias("_s"))
+    return store(table.select(*names, "_s.*"), "rules-start")
+
+
 def _near(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """The rows with a group table's columns; null keys match one another."""
     same = [rows[k].eqNullSafe(table[k]) for k in keys]
@@ -192,22 +230,15 @@ def judge(docs: DataFrame, *, keys: tuple[str, ...] = ("lang", "source"), text:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = store(measure(docs, text).withColumn("base_failed", failed), "rules-counts")
     good = rows.filter("NOT base_failed").select(*names, *[f"_x{i}" for i in range(DIMS)])
-    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    medians = good.groupBy(*names).agg(F.array(*[middle(f"_x{i}") for i in range(DIMS)]).alias("_mean"))
-    medians = store(medians, "rules-medians")
-    off = _near(good, medians, names)
-    deviations = off.groupBy(*names).agg(
-        *[middle(F.abs(F.col(f"_x{i}") - F.col("_mean")[i])).alias(f"_d{i}") for i in range(DIMS)]
-    )
-    scale = [F.greatest(1.4826 * F.col(f"_d{i}"), F.lit(FLOORS[i])) for i in range(DIMS)]
-    flat = [1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)]
-    start = _near(medians, deviations, names).select(*names, "_mean", F.array(*flat).alias("_inverse"))
-    estimate = store(start, "rules-start")
+    estimate, keys = _starts(good, names), [*names, "_start"]
+    tried = good.withColumn("_start", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     for _ in range(STEPS):
-        measured = _near(good, estimate, names).withColumn("_d2", _distance())
-        within = measured.groupBy(*names).agg(F.percentile_approx("_d2", SHARE, 1000).alias("_limit"))
-        inner = _near(measured, store(within, "rules-limits"), names).filter("_d2 <= _limit")
-        estimate = _inverted(_moments(inner, names), names)
+        measured = _near(tried, estimate, keys).withColumn("_d2", _distance())
+        within = measured.groupBy(*keys).agg(F.percentile_approx("_d2", SHARE, 1000).alias("_limit"))
+        inner = _near(measured, store(within, "rules-limits"), keys).filter("_d2 <= _limit")
+        estimate = _inverted(_moments(inner, keys))
+    least = F.min_by(F.struct("_mean", "_inverse"), F.struct("_logdet", "_start")).alias("_best")
+    estimate = store(estimate.groupBy(*names).agg(least).select(*names, "_best.*"), "rules-best")
     final = _near(rows, estimate, names)
     distance = F.when(~F.col("base_failed"), F.sqrt(_distance()))
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= math.sqrt(CUTOFF))

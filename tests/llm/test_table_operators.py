@@ -275,3 +275,19 @@ def test_rules_keep_the_usual_and_reject_the_odd(spark):
     assert {d for d, r in out.items() if r.base_failed} == {901, 902, 903, 904}
     assert rules.judge(docs.limit(0)).count() == 0
     assert rules.judge(docs.filter("doc_id = 901")).first().kept is False
+
+
+@pytest.mark.parametrize("share", [0.5, 0.7, 0.95])
+def test_rules_reject_repeated_lines_in_a_clean_group(spark, share):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randint(4, 6)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line(10) for _ in range(draw.randint(6, 25))), "en", "a") for i in range(120)]
+    for i in range(5):  # 20 lines of one word, most of them alike, among 120 other words
+        same, again = word(), round(share * 21) + 1
+        short = [same] * again + [word() for _ in range(20 - again)]
+        rows.append((900 + i, "\n".join([line(120), *short]), "en", "a"))
+    out = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert all(out[900 + i].n_dup_lines >= share * 20 - 1 for i in range(5))
+    assert [d for d, r in sorted(out.items()) if not r.kept] == [900, 901, 902, 903, 904]
