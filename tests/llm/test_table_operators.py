@@ -95,6 +95,26 @@ def test_mixing_keeps_every_source_within_a_block(spark, weights):
     assert order == sorted(order)
 
 
+@pytest.mark.parametrize("extra", [0, 300])
+def test_mixing_of_more_sources_than_a_period_has_slots(spark, extra):
+    rows = [(i, f"t{i}", "en", f"s{i % 61}") for i in range(61 * 9)] + [(-1 - i, "x", "en", "big") for i in range(extra)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS), block_rows=2, period=40).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    order = sorted(out, key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(len(rows)))
+    assert [r.mix_slot for r in order] == sorted(r.mix_slot for r in out)
+    slots = {r.mix_slot: (r.source, r.block) for r in out}
+    assert len(slots) == len({(r.source, r.block) for r in out})
+    small = next(r.quota for r in out if r.source != "big")
+    share = {r.source: r.quota / 40 / (1 if r.source == "big" else 61) for r in out}
+    assert abs(sum(share.values()) - 1) < 1e-9 and (not extra or 1 <= small < 40)
+    ends = min(max(t for t, (s, _) in slots.items() if s == name) for name in share)
+    done = Counter()
+    for t in range(ends + 1):
+        done[slots[t][0]] += 1
+        assert all(abs(done[s] - (t + 1) * share[s]) < 1 for s in share)
+
+
 def test_mixing_of_nothing_and_of_hard_rows(spark):
     docs = hard(spark)
     assert mixing.mix(docs.limit(0)).count() == 0
