@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strikelake.llm import bpe, exact, langid, mixing, quality, repeats, rules, setsketch, sharding, toxicity
+from strikelake.llm import bpe, exact, langid, merkle, mixing, quality, repeats, rules, setsketch, sharding, toxicity
 from strikelake.llm.sample import remainder
 
 QUERIES = {}
@@ -167,3 +167,88 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return rules.judge(docs).select("doc_id", *rules.COUNTS, "base_failed", "kept", "distance")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text: its bits, one after the other."""
+    bit = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce(range(8), lambda c, i: {bit}, xor(a, b))"
+    codes = f"[CAST(ord(x) AS BIGINT) FOR x IN string_split({text}, '') IF x <> '']"
+    return f"xor(list_reduce({codes}, lambda a, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+_LEAF_SQL = " || ".join(_field_sql(c) for c in _LEAF_COLUMNS)
+_TAMPERED_SQL = _LEAF_SQL.replace("CAST(text", f"CAST(translate(text, '{_UPPER}', '{_LOWER}')")
+
+
+@query(
+    "op12_merkle",
+    f"""
+WITH RECURSIVE leaves AS (
+  SELECT lang, doc_id, sha256({_LEAF_SQL}) AS leaf, CASE WHEN {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} % 3 = 0
+    THEN sha256({_TAMPERED_SQL}) ELSE sha256({_LEAF_SQL}) END AS shown FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes AS (
+  SELECT 0 AS level, lang, pos, leaf AS h FROM placed
+  UNION ALL
+  SELECT level + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM nodes) WHERE n > 1 GROUP BY level, lang, pos // 8),
+tops AS (SELECT lang, max(level) AS height FROM nodes GROUP BY lang),
+subs AS (
+  SELECT n.lang, h AS subroot, height, row_number() OVER (ORDER BY encode(n.lang) NULLS FIRST) - 1 AS pos
+  FROM nodes n JOIN tops t ON n.lang IS NOT DISTINCT FROM t.lang AND level = height),
+high AS (
+  SELECT 0 AS level, pos, subroot AS h FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY level, pos // 8),
+peak AS (SELECT max(level) AS height FROM high),
+runs AS (
+  SELECT level, lang, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM nodes GROUP BY ALL),
+high_runs AS (SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM high GROUP BY ALL),
+steps AS (
+  SELECT p.lang, p.pos, r.level, list_filter(hs, lambda x, i: i <= (p.pos >> (3 * r.level)) % 8) AS b,
+    list_filter(hs, lambda x, i: i > (p.pos >> (3 * r.level)) % 8 + 1) AS a
+  FROM placed p JOIN tops t ON p.lang IS NOT DISTINCT FROM t.lang
+  JOIN runs r ON r.lang IS NOT DISTINCT FROM p.lang AND r.level < height AND run = p.pos >> (3 * r.level + 3)
+  UNION ALL
+  SELECT p.lang, p.pos, s.height + r.level, list_filter(hs, lambda x, i: i <= (s.pos >> (3 * r.level)) % 8),
+    list_filter(hs, lambda x, i: i > (s.pos >> (3 * r.level)) % 8 + 1)
+  FROM placed p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang, peak k
+  JOIN high_runs r ON r.level < k.height AND run = s.pos >> (3 * r.level + 3)),
+joined AS (
+  SELECT lang, pos, level, array_to_string(b, '') AS before, array_to_string(a, '') AS after FROM steps),
+folds AS (
+  SELECT 0 AS level, lang, pos, shown AS h FROM placed
+  UNION ALL
+  SELECT f.level + 1, f.lang, f.pos, sha256(before || h || after)
+  FROM folds f JOIN joined j ON f.lang IS NOT DISTINCT FROM j.lang AND f.pos = j.pos AND f.level = j.level),
+folded AS (SELECT lang, pos, arg_max(h, level) AS h FROM folds GROUP BY lang, pos),
+proofs AS (
+  SELECT lang, pos, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM joined GROUP BY lang, pos)
+SELECT doc_id, leaf, subroot, g.h AS root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root,
+  f.h = g.h AS verified
+FROM placed p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang
+JOIN folded f ON f.lang IS NOT DISTINCT FROM p.lang AND f.pos = p.pos
+LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.pos = p.pos
+JOIN high g ON g.level = (SELECT height FROM peak)""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", _UPPER, _LOWER)
+    columns = [lowered if c == "text" else F.col(c) for c in _LEAF_COLUMNS]
+    shown = F.when(remainder("doc_id", 3) == 0, merkle.leaf(columns))
+    proofs = merkle.prove(
+        documents(spark, sf_dir), _LEAF_COLUMNS, carry={"doc_id": F.col("doc_id"), "shown": shown}
+    )
+    folded = merkle.fold(F.coalesce("shown", "leaf"), F.col("path")).alias("folded_root")
+    proof = F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256")
+    return proofs.select("doc_id", "leaf", "subroot", "root", proof, folded).withColumn(
+        "verified", F.col("folded_root") == F.col("root")
+    )

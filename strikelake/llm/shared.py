@@ -60,6 +60,34 @@ def prefix_sums(df: DataFrame, index: str, value: str, out: str, group: int = 40
     )
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
+    """Stored rows with ``_pos``, the place in their group from 0 by ``order``, and ``_total``, its size.
+
+    One range exchange by group and order cuts a hot group like any other rows; places inside a
+    partition come from the sort and those before it from one row per group and partition. Nulls are
+    a group and come first. Rows that ``order`` does not tell apart are numbered as the scan has them,
+    and are cut among partitions too.
+    """
+    spread = df.withColumn("_spread", F.monotonically_increasing_id())
+    keys = [F.asc_nulls_first(c) for c in [*group, *order, "_spread"]]
+    rows = spread.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_spread")
+    rows = store(rows.withColumn("_at", F.monotonically_increasing_id()), label)
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    piles = rows.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = piles.select(
+        F.col("_part").alias("_p"),
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(whole).alias("_total"),
+    )
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(starts, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("_pos"), "_total")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows; null is empty."""
     if pa.types.is_string(column.type):
