@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strikelake.llm import bpe, exact, langid, merkle, mixing, quality, repeats, rules, setsketch, sharding, toxicity
+from strikelake.llm import bpe, dialogue, exact, langid, merkle, mixing, quality, repeats, rules, setsketch, sharding, toxicity
 from strikelake.llm.sample import remainder
 
 QUERIES = {}
@@ -252,3 +252,101 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", proof, folded).withColumn(
         "verified", F.col("folded_root") == F.col("root")
     )
+
+
+_BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "op13_conversations",
+    rf"""
+WITH RECURSIVE original AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM original, (SELECT unnest([1, 2]) AS copy) WHERE k <> 0 AND (copy = 1 OR k = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, left(role, 1) AS r,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, rtrim(text, {_BLANK_SQL}) AS t
+  FROM numbered),
+faults AS (
+  SELECT *, t = '' AS blank, t <> '' AND nth > 1 AS again,
+    t <> '' AND nth = 1 AND right(t, 1) NOT IN ('.', '!', '?') AS short FROM placed),
+rows AS (
+  SELECT conv_id, i, role, text, blank OR again AS gone, CASE WHEN short THEN 3 ELSE 0 END AS s, r FROM faults),
+figures AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (short) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+ends AS (
+  SELECT conv_id, n + 1 AS i, CAST([0, 6, 3, 0] AS BIGINT[]) AS b FROM figures
+  UNION ALL
+  SELECT conv_id, i, [least(a[1], 3 + a[3], 6 + a[4]), least(a[2], 3 + a[3], 6 + a[4]), least(a[3], 3 + a[4]),
+    least(a[4], 3 + a[3])]
+  FROM (
+    SELECT e.conv_id, r.i, [
+      least(4 + b[1], CASE WHEN NOT gone THEN s + least(3 + b[3], CASE r WHEN 's' THEN b[2] WHEN 'u' THEN b[3] ELSE 99 + b[3] END) ELSE 99 + b[1] END),
+      least(4 + b[2], CASE WHEN NOT gone THEN s + least(3 + b[3], CASE r WHEN 'u' THEN b[3] ELSE 99 + b[3] END) ELSE 99 + b[2] END),
+      least(4 + b[3], CASE WHEN NOT gone THEN s + least(3 + b[4], CASE r WHEN 'a' THEN b[4] ELSE 99 + b[4] END) ELSE 99 + b[3] END),
+      least(4 + b[4], CASE WHEN NOT gone THEN s + least(3 + b[3], CASE r WHEN 'u' THEN b[3] ELSE 99 + b[3] END) ELSE 99 + b[4] END)
+    ] AS a
+    FROM ends e JOIN rows r ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = e.i - 1)),
+walk AS (
+  SELECT conv_id, CAST(1 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM figures
+  UNION ALL
+  SELECT conv_id, CASE WHEN x = 'I' THEN i ELSE i + 1 END,
+    CASE WHEN x = 'D' THEN q WHEN x = 'K' AND r = 's' THEN 2 WHEN q = 3 THEN 4 ELSE 3 END,
+    audit || x,
+    CASE x WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      ELSE list_append(lines, CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END || CASE WHEN x = 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT w.*, r.role, r.text, r.r, CASE
+      WHEN r.i IS NULL THEN CASE WHEN e.b[q] > 0 THEN 'I' END
+      WHEN 4 + f.b[q] = e.b[q] THEN 'D'
+      WHEN 3 + e.b[CASE WHEN q = 3 THEN 4 ELSE 3 END] = e.b[q] THEN 'I'
+      WHEN NOT gone AND (r.r = 's' AND q = 1 AND s + f.b[2] = e.b[q] OR r.r = 'u' AND q <> 3 AND s + f.b[3] = e.b[q]
+        OR r.r = 'a' AND q = 3 AND s + f.b[4] = e.b[q]) THEN 'K'
+      ELSE 'R' END AS x
+    FROM walk w JOIN ends e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i
+    LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+    LEFT JOIN ends f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)
+  WHERE x IS NOT NULL),
+best AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM walk GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.b[1], 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM every v LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM v.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM v.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM v.conv_id AND e.i = 1""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return dialogue.repair(damaged(talks), talks).drop("repaired_rows")
+
+
+def damaged(talks: DataFrame) -> DataFrame:
+    """Conversations with the faults of the contract, by a hash of conversation and turn."""
+    part = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    told = talks.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit(" ")).alias("role"),
+        F.coalesce("text", F.lit(" ")).alias("text"),
+        (F.crc32(F.concat(part[0], F.lit(":"), part[1]).cast("binary")) % 20).alias("fault"),
+    )
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return told.filter("fault <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        copies.alias("copy"),
+    ).drop("copy")
