@@ -18,6 +18,7 @@ from strikelake.llm.shared import ranked, store
 
 ARITY, STRIDE = 8, 3
 BLOCK = ARITY**STRIDE
+NODES_A_FILE = 1 << 18
 _POWERS = [ARITY**i for i in range(21)]
 
 
@@ -95,13 +96,15 @@ def _grow(rows: DataFrame, order: list[str], group: list[str], label: str) -> Tr
     placed = ranked(rows, group, order, f"{label}-order")
     powers = F.array(*[F.lit(p).cast("bigint") for p in _POWERS])
     height = F.size(F.filter(powers, lambda p: p < F.col("_total")))
-    nodes = placed.select("g", height.alias("height"), F.col("_pos").alias("pos"), "hash", "record")
-    levels = [store(nodes, f"{label}-level0")]
-    top = levels[0].agg(F.max("height")).first()[0] or 0
-    for low in range(0, top, STRIDE):
+    # The sorted leaves are what is stored; their places follow from a small table at each reading.
+    levels = [placed.select("g", height.alias("height"), F.col("_pos").alias("pos"), "hash", "record")]
+    top, nodes = levels[0].agg(F.max("height"), F.count("*")).first()
+    for low in range(0, top or 0, STRIDE):
         grown = _regrown(_blocks(levels[-1], low), low)
         node = grown.select("g", "height", F.col("block").alias("pos"), F.element_at(f"l{STRIDE}", 1).alias("hash"))
-        levels.append(store(node, f"{label}-level{low + STRIDE}"))
+        # A level has about a 512th of the rows below, and files in proportion.
+        nodes = nodes // BLOCK
+        levels.append(store(node.repartition(1 + nodes // NODES_A_FILE), f"{label}-level{low + STRIDE}"))
     return Tree(levels)
 
 
