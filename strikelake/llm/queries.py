@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strikelake.llm import bpe, dialogue, exact, langid, merkle, mixing, quality, repeats, rules, setsketch, sharding, toxicity
+from strikelake.llm import (
+    bpe,
+    dialogue,
+    exact,
+    langid,
+    licenses,
+    merkle,
+    mixing,
+    quality,
+    repeats,
+    rules,
+    setsketch,
+    sharding,
+    toxicity,
+)
 from strikelake.llm.sample import remainder
 
 QUERIES = {}
@@ -169,6 +183,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs).select("doc_id", *rules.COUNTS, "base_failed", "kept", "distance")
 
 
+@query("op11_licenses")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned crc32 of an ASCII text: its bits, one after the other."""
     bit = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"

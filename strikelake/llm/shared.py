@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -117,8 +117,7 @@ def with_columns(batch: pa.RecordBatch, drop: tuple[str, ...] = (), **columns) -
     )
 
 
-def schema_with(df: DataFrame, drop: tuple[str, ...] = (), **columns: str) -> str:
-    """The DDL of ``with_columns``' result."""
+def schema_with(df: DataFrame, drop: tuple[str, ...] = (), **columns: str) -> T.StructType:
+    """The schema of ``with_columns``' result; types of the input's columns are handed on as they are."""
     kept = [f for f in df.schema.fields if f.name not in columns and f.name not in drop]
-    fields = [(f.name, f.dataType.simpleString()) for f in kept] + list(columns.items())
-    return ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in fields)
+    return T.StructType([*kept, *[T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns.items()]])
