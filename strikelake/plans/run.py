@@ -62,8 +62,8 @@ def load_pages(
     by_set = {name: pages.filter(F.col("dataset") == name) for name in ("options", "prices")}
     options = _staged(identified_quotes(by_set["options"]), f"{staging}/options")
     quotes = _staged(quotes_of(page_rows(by_set["prices"])), f"{staging}/quotes")
-    lake.upsert_options(options.drop("symbol"), ARRIVAL)
-    lake.write_prices(prices_from_quotes(quotes), ARRIVAL, price_mode)
+    lake.upsert_options(options.drop("symbol"), ARRIVAL, staged=True)
+    lake.write_prices(prices_from_quotes(quotes), ARRIVAL, price_mode, staged=True)
 
     broken = unreadable_pages(pages).groupBy("dataset", "symbol").agg(F.count("*").alias("n_broken"))
     asked = pages.select("dataset", "symbol").distinct()

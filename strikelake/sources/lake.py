@@ -1,30 +1,38 @@
-"""The Parquet lake: scan, upsert, overwrite, purge, status.
+"""The Parquet lake: scan, upsert, overwrite, purge, compact, changes, status.
 
 Layout below the root, per dataset::
 
     by_<part>_<buckets>/data/version=<n>/bucket=<b>/period=<yyyymm>/*.parquet
-    by_<part>_<buckets>/manifest/snapshot=<n>/*.parquet   one row per symbol of a live (bucket, period)
+    by_<part>_<buckets>/manifest/write=<n>/*.parquet      one row per symbol of a (version, bucket, period)
+    by_<part>_<buckets>/log/snapshot=<n>                  the state after the n-th commit
     by_<part>_<buckets>/rejects/version=<n>/*.parquet     rows that could not be stored, with the reason
 
 A symbol's bucket is a hash of it, so parts number buckets times periods, however many symbols there
-are and however often is loaded. A read takes the directories of the live parts from the manifest and
-lists those alone: no row is joined to find out whether it is live. A write puts the touched parts
-into a new version directory and then writes a new manifest. Spark's ``_SUCCESS`` marker of the
-manifest is the commit: readers see the old state until it exists and the new state after, over all
-parts at once, and data that is being read is never overwritten. Each dataset has one writer at a
-time; a second one fails on the existing directory. Everything lives on the file system of the root,
-reachable by all executors.
+are and however often is loaded. A load is added beside what a part holds and reads nothing of it: its
+cost does not depend on the history. A read takes the directories of live versions from the manifest and
+lists those alone; where several versions of a part hold a symbol's same days, the newest row of a key
+counts. ``compact`` folds a part's versions into one.
+
+Writers need no lock. Each takes a version number of its own, writes, and claims the next snapshot by
+creating its log file, which fails if it exists. Who loses looks at what the others did: an added load
+goes behind theirs as it is; a rewrite (compaction, purge, overwrite) stands where none of the
+versions it replaces is gone, and is worked out again from the new state where one is. Readers see a
+state as a whole, over all parts at once, and data that is being read is never overwritten. Everything
+lives on the file system of the root, reachable by all executors.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from strikelake.operators.calendar import date_range
-from strikelake.operators.merge import STORED_FIRST, coerce, keep_last
+from strikelake.operators.merge import coerce, keep_last
 from strikelake.operators.symbols import is_valid_symbol, restrict_symbols
 from strikelake.schemas import OPTIONS, PRICES, Dataset, dataset, empty_table
 
@@ -37,33 +45,61 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("row_count", T.LongType()),
         T.StructField("date_min", T.DateType()),
         T.StructField("date_max", T.DateType()),
+        T.StructField("undated", T.LongType()),
         T.StructField("n_files", T.LongType()),
         T.StructField("size_bytes", T.LongType()),
         T.StructField("lacks", T.ArrayType(T.StringType())),
     ]
 )
 _PART = ["bucket", "period"]
-_ARRIVAL, _REASON = "_arrival", "reason"
+_PARTS_DDL = "bucket int, period int, version bigint"
+_ARRIVAL, _REASON, _RANK = "_arrival", "reason", "_rank"
+
+Part = tuple[int, int]
+
+
+class Outdated(Exception):
+    """Another writer has replaced what a rewrite started from."""
+
+
+@dataclass(frozen=True)
+class State:
+    """A snapshot: where its manifest lies, its versions from old to new, and the batches it holds."""
+
+    number: int = 0
+    manifests: tuple[str, ...] = ()
+    order: tuple[int, ...] = ()
+    batches: dict[str, int] = field(default_factory=dict)
+
+    def holds(self, batch: tuple[str, int] | None) -> bool:
+        return batch is not None and self.batches.get(batch[0], -1) >= batch[1]
 
 
 class Lake:
     """A lake under one root path.
 
-    ``part`` is how far option rows are split in time: by ``month``, which keeps the rewrite of a daily
-    load small, or by ``year`` for lakes with few rows. ``buckets`` is how many groups of symbols there
-    are. Both are fixed for a lake. A part of more than ``slice_rows`` rows is written by several tasks.
+    ``part`` is how far option rows are split in time: by ``month``, or by ``year`` for lakes with few
+    rows. ``buckets`` is how many groups of symbols there are. Both are fixed for a lake. A part of more
+    than ``slice_rows`` rows is written by several tasks. Once a dataset has more than ``fold_after``
+    versions, a load ends by compacting the parts that have more than that.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, part: str = "month", buckets: int = 16, slice_rows: int = 4_000_000
+        self,
+        spark: SparkSession,
+        root: str,
+        part: str = "month",
+        buckets: int = 16,
+        slice_rows: int = 4_000_000,
+        fold_after: int = 32,
     ):
         if part not in ("month", "year"):
             raise ValueError(f"unknown part: {part!r}")
         self.spark, self.root = spark, root.rstrip("/")
-        self.part, self.buckets, self.slice_rows = part, buckets, slice_rows
-        fs, pattern = self._fs(f"{self.root}/*/by_*/manifest/snapshot=*/_SUCCESS")
+        self.part, self.buckets, self.slice_rows, self.fold_after = part, buckets, slice_rows, fold_after
+        fs, pattern = self._fs(f"{self.root}/*/by_*/log/snapshot=*")
         for found in fs.globStatus(pattern) or []:
-            layout = re.search(r"/(by_[^/]+)/manifest/", str(found.getPath())).group(1)
+            layout = re.search(r"/(by_[^/]+)/log/", str(found.getPath())).group(1)
             if layout != self._layout():
                 raise ValueError(f"the lake at {root} is stored {layout.replace('_', ' ')}")
 
@@ -90,44 +126,131 @@ class Lake:
         fs, hadoop_path = self._fs(path)
         fs.delete(hadoop_path, True)
 
-    def _snapshots(self, ds: Dataset) -> list[int]:
-        return self._numbers(self._dir(ds, "manifest", "snapshot=*", "_SUCCESS"))
+    def discard(self, path: str) -> None:
+        """Remove a staging folder below the root."""
+        if not path.startswith(f"{self.root}/"):
+            raise ValueError(f"{path} is not in the lake")
+        self._delete(path)
 
-    def _next_version(self, ds: Dataset) -> int:
-        """Above everything on disk, so that leftovers of a failed write are never reused."""
-        used = [n for kind in ("data", "stage", "rejects") for n in self._numbers(self._dir(ds, kind, "version=*"))]
-        used += self._numbers(self._dir(ds, "manifest", "snapshot=*"))
-        return max(used, default=0) + 1
+    def _claim(self, path: str, text: str) -> bool:
+        """Put a small file at ``path`` unless there is one: whole at once, and for one of several writers.
 
-    # --- manifest ---
+        The text is written under a name of its own first. On a local disk a hard link then gives it
+        the wanted name, on other file systems a rename; both fail where the name is taken.
+        """
+        jvm = self.spark.sparkContext._jvm
+        fs, target = self._fs(path)
+        fs.mkdirs(target.getParent())
+        draft = target.getParent().suffix(f"/.{target.getName()}.{jvm.java.util.UUID.randomUUID()}")
+        out = fs.create(draft, False)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        try:
+            if fs.getUri().getScheme() == "file":
+                named = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)]
+                jvm.java.nio.file.Files.createLink(*named)
+                return True
+            return not fs.exists(target) and bool(fs.rename(draft, target))
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(draft, False)
+
+    def _take_version(self, ds: Dataset) -> int:
+        """A version number that no writer has or had."""
+        number = max(self._numbers(self._dir(ds, "claims", "version=*")), default=0)
+        while True:
+            number += 1
+            if self._claim(self._dir(ds, "claims", f"version={number}"), ""):
+                return number
+
+    # --- states ---
+
+    def snapshots(self, name: str) -> list[int]:
+        """Numbers of the snapshots that can be read."""
+        return self._numbers(self._dir(dataset(name), "log", "snapshot=*"))
+
+    def state(self, name: str, snapshot: int | None = None) -> State:
+        """A snapshot, the newest unless one is named; number 0 before the first write."""
+        ds, known = dataset(name), self.snapshots(name)
+        if snapshot == 0 or (snapshot is None and not known):
+            return State()
+        number = known[-1] if snapshot is None else snapshot
+        if number not in known:
+            raise ValueError(f"no snapshot {number} of {name}")
+        fs, path = self._fs(self._dir(ds, "log", f"snapshot={number}"))
+        stream = fs.open(path)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        found = json.loads(text)
+        return State(number, tuple(found["manifests"]), tuple(found["order"]), found["batches"])
 
     def manifest(self, name: str, snapshot: int | None = None) -> DataFrame:
-        """Symbols of the live parts of a dataset; empty before the first write."""
-        ds = dataset(name)
-        if snapshot is None:
-            snapshot = max(self._snapshots(ds), default=None)
-        if snapshot is None:
+        """Symbols of the live versions of a dataset's parts; empty before the first write."""
+        return self._manifest(dataset(name), self.state(name, snapshot))
+
+    def _manifest(self, ds: Dataset, state: State) -> DataFrame:
+        if not state.manifests:
             return empty_table(self.spark, MANIFEST_SCHEMA)
-        path = self._dir(ds, "manifest", f"snapshot={snapshot}")
-        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+        paths = [self._dir(ds, "manifest", m) for m in state.manifests]
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(*paths)
 
-    def _commit(self, ds: Dataset, manifest: DataFrame, version: int) -> None:
-        (
-            manifest.select(*MANIFEST_SCHEMA.names)
-            .hint("rebalance")
-            .write.mode("errorifexists")
-            .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
-            .parquet(self._dir(ds, "manifest", f"snapshot={version}"))
-        )
+    def _commit(
+        self,
+        ds: Dataset,
+        read: State,
+        version: int,
+        gone: Iterable[tuple[int, int, int]] = (),
+        batch: tuple[str, int] | None = None,
+    ) -> None:
+        """Make a written version part of the state, and take ``gone`` (bucket, period, version) out of it.
 
-    def _figures(self, ds: Dataset, paths: list[str]) -> DataFrame:
-        """Manifest rows of parts just written; of their columns symbol and date are read.
+        ``read`` is the state that the write started from. A version that replaces others ranks behind
+        all that it saw and before what came since; an added one ranks last.
+        """
+        own, gone = f"write={version}", sorted(gone)
+        while True:
+            head = self.state(ds.name)
+            if head.holds(batch):
+                return
+            manifests, order, attempt = (*head.manifests, own), (*head.order, version), head.number + 1
+            if gone or len(head.manifests) >= self.fold_after:
+                rows = self._manifest(ds, head)
+                if gone:
+                    listed = F.broadcast(self.spark.createDataFrame(gone, _PARTS_DDL))
+                    if read.number != head.number:
+                        still = rows.join(listed, [*_PART, "version"], "left_semi").select(*_PART, "version")
+                        if still.distinct().count() < len(gone):
+                            raise Outdated(f"{ds.name}: parts of snapshot {read.number} have been replaced")
+                    rows = rows.join(listed, [*_PART, "version"], "left_anti")
+                kept = f"kept={version}-{attempt}"
+                rows.select(*MANIFEST_SCHEMA.names).hint("rebalance").write.mode("overwrite").parquet(
+                    self._dir(ds, "manifest", kept)
+                )
+                alive = {r[0] for r in rows.select("version").distinct().collect()}
+                seen = [v for v in head.order if v in read.order] if gone else list(head.order)
+                place = 1 + max((head.order.index(v) for v in seen), default=-1)
+                order = tuple(v for v in (*head.order[:place], version, *head.order[place:]) if v in alive or v == version)
+                manifests = (kept, own)
+            batches = head.batches if batch is None else {**head.batches, batch[0]: batch[1]}
+            record = {"manifests": manifests, "order": order, "batches": batches}
+            if self._claim(self._dir(ds, "log", f"snapshot={attempt}"), json.dumps(record)):
+                return
+
+    def _written(self, ds: Dataset, version: int) -> list[str]:
+        base = self._dir(ds, "data", f"version={version}")
+        fs, pattern = self._fs(f"{base}/bucket=*/period=*")
+        return sorted(str(s.getPath()) for s in fs.globStatus(pattern) or [])
+
+    def _note(self, ds: Dataset, version: int, lacks: DataFrame | Column) -> None:
+        """Write the manifest rows of a version; of its columns symbol and date are read.
 
         Files are counted first, so that a file's size is shared out among its symbols by rows.
         """
-        written = self._read(ds, paths).select(
-            "bucket",
-            "period",
+        written = self._read(ds, self._written(ds, version)).select(
+            *_PART,
             "version",
             F.col(ds.symbol).alias("symbol"),
             F.col(ds.date).alias("_date"),
@@ -135,20 +258,29 @@ class Lake:
             F.col("_metadata.file_size").alias("_size"),
         )
         per_file = written.groupBy(*_PART, "version", "symbol", "_file", "_size").agg(
-            F.count("*").alias("n"), F.min("_date").alias("lo"), F.max("_date").alias("hi")
+            F.count("*").alias("n"),
+            F.min("_date").alias("lo"),
+            F.max("_date").alias("hi"),
+            F.count_if(F.col("_date").isNull()).alias("nulls"),
         )
         share = F.col("_size") * F.col("n") / F.sum("n").over(Window.partitionBy("_file"))
-        return (
+        rows = (
             per_file.withColumn("share", share)
             .groupBy(*_PART, "version", "symbol")
             .agg(
                 F.sum("n").alias("row_count"),
                 F.min("lo").alias("date_min"),
                 F.max("hi").alias("date_max"),
+                F.sum("nulls").alias("undated"),
                 F.count("*").alias("n_files"),
                 F.round(F.sum("share")).cast("bigint").alias("size_bytes"),
             )
         )
+        if isinstance(lacks, Column):
+            rows = rows.withColumn("lacks", lacks)
+        else:
+            rows = rows.join(lacks, [*_PART, "symbol"], "left")
+        rows.select(*MANIFEST_SCHEMA.names).write.mode("errorifexists").parquet(self._dir(ds, "manifest", f"write={version}"))
 
     # --- reading ---
 
@@ -164,13 +296,38 @@ class Lake:
             .parquet(*paths)
         )
 
+    def _path(self, ds: Dataset, bucket: int, period: int, version: int) -> str:
+        return self._dir(ds, "data", f"version={version}", f"bucket={bucket}", f"period={period}")
+
     def _paths(self, ds: Dataset, manifest: DataFrame) -> list[str]:
-        """Directories of the manifest's parts: buckets times periods of them at most."""
-        parts = manifest.select("version", *_PART).distinct().collect()
-        return [
-            self._dir(ds, "data", f"version={r['version']}", f"bucket={r['bucket']}", f"period={r['period']}")
-            for r in sorted(parts)
-        ]
+        """Directories of the manifest's versions of parts."""
+        return [self._path(ds, *r) for r in sorted(manifest.select(*_PART, "version").distinct().collect())]
+
+    def _live(self, manifest: DataFrame) -> dict[Part, tuple[tuple[int, ...], bool]]:
+        """Per part its versions, and whether a symbol may have one key in several of them.
+
+        That takes days in common: loads that go on where the last one ended need no merge.
+        """
+        marked = manifest.withColumn("clash", _clash())
+        found: dict[Part, tuple[tuple[int, ...], bool]] = {}
+        for r in sorted(marked.groupBy(*_PART, "version").agg(F.max("clash").alias("clash")).collect()):
+            versions, clash = found.get((r["bucket"], r["period"]), ((), False))
+            found[r["bucket"], r["period"]] = (*versions, r["version"]), clash or r["clash"]
+        return found
+
+    def _rows(self, ds: Dataset, state: State, parts: dict[Part, tuple[tuple[int, ...], bool]]) -> DataFrame | None:
+        """The rows of parts with their ``bucket`` and ``period``, of every key the newest."""
+        plain = [self._path(ds, *p, v) for p, (versions, clash) in parts.items() if not clash for v in versions]
+        mixed = [(p, v) for p, (versions, clash) in parts.items() if clash for v in versions]
+        found = self._read(ds, plain).drop("version") if plain else None
+        if mixed:
+            used = sorted({v for _, v in mixed}, key=state.order.index)
+            rank = F.create_map(*[x for i, v in enumerate(used) for x in (F.lit(v).cast("bigint"), F.lit(i))])
+            rows = self._read(ds, [self._path(ds, *p, v) for p, v in mixed])
+            ranked = rows.withColumn(_RANK, F.element_at(rank, F.col("version")))
+            newest = keep_last(ranked, (ds.symbol, *ds.keys), [_RANK]).drop(_RANK, "version")
+            found = newest if found is None else found.unionByName(newest)
+        return found
 
     def scan(
         self,
@@ -178,35 +335,58 @@ class Lake:
         symbols: Sequence[str] | None = None,
         date_from: str | None = None,
         date_to: str | None = None,
+        snapshot: int | None = None,
     ) -> DataFrame:
-        """A dataset, lazily; empty with its schema if nothing is stored.
+        """A dataset, lazily, as of a snapshot; empty with its schema if nothing is stored.
 
         Symbols and dates choose the directories that are read at all, and reach the row groups of
-        their files, which are sorted by symbol and date.
+        their files, which are sorted by symbol and date. Rows move only in parts where loads with
+        days in common have not been compacted.
         """
-        ds = dataset(name)
-        parts = restrict_symbols(self.manifest(name), symbols)
+        ds, state = dataset(name), self.state(name, snapshot)
+        parts = restrict_symbols(self._manifest(ds, state), symbols)
         if date_from is not None:
             parts = parts.filter(F.col("date_max") >= F.lit(date_from).cast("date"))
         if date_to is not None:
             parts = parts.filter(F.col("date_min") <= F.lit(date_to).cast("date"))
-        paths = self._paths(ds, parts)
-        if not paths:
+        rows = self._rows(ds, state, self._live(parts))
+        if rows is None:
             return empty_table(self.spark, ds.schema)
-        rows = restrict_symbols(self._read(ds, paths), symbols, ds.symbol)
+        rows = restrict_symbols(rows, symbols, ds.symbol)
         return date_range(rows, ds.date, date_from, date_to).select(*ds.schema.names)
 
     def symbols(self, name: str) -> DataFrame:
         """Stored symbols in order, from the manifest alone."""
         return self.manifest(name).select("symbol").distinct().orderBy("symbol")
 
+    def _counts(self, ds: Dataset) -> DataFrame:
+        """Manifest rows whose ``row_count`` may be added up.
+
+        Where versions have days in common, the keys of the symbols concerned are read and counted.
+        """
+        state = self.state(ds.name)
+        marked = self._manifest(ds, state).withColumn("clash", F.max(_clash()).over(Window.partitionBy(*_PART, "symbol")))
+        mixed = sorted(marked.filter("clash").select(*_PART, "version").distinct().collect())
+        if not mixed:
+            return marked.drop("clash")
+        asked = marked.filter("clash").select(*_PART, F.col("symbol").alias(ds.symbol)).distinct()
+        keys = [*_PART, ds.symbol, *ds.keys]
+        rows = self._read(ds, [self._path(ds, *r) for r in mixed]).join(asked, [*_PART, ds.symbol], "left_semi")
+        counted = rows.select(*keys).distinct().groupBy(*_PART, F.col(ds.symbol).alias("symbol"))
+        counted = counted.agg(F.count("*").alias("counted")).withColumnsRenamed({"bucket": "_b", "period": "_p", "symbol": "_s"})
+        first = F.row_number().over(Window.partitionBy(*_PART, "symbol").orderBy("version")) == 1
+        same = (F.col("bucket") == F.col("_b")) & (F.col("period") == F.col("_p")) & (F.col("symbol") == F.col("_s"))
+        count = F.when(F.col("clash"), F.when(F.col("first"), F.col("counted")).otherwise(0)).otherwise(F.col("row_count"))
+        return marked.withColumn("first", first).join(counted, same, "left").withColumn("row_count", count)
+
     def status(self) -> DataFrame:
-        """Rows, dates, files and bytes per dataset and symbol, without touching the data.
+        """Rows, dates, files and bytes per dataset and symbol, from the manifest wherever that tells.
 
-        A file may hold several symbols; each has the share of its bytes that it has of its rows.
+        A file may hold several symbols; each has the share of its bytes that it has of its rows. Files
+        and bytes are those on disk, loads that are not compacted yet included.
         """
         per_dataset = [
-            self.manifest(ds.name)
+            self._counts(ds)
             .groupBy("symbol")
             .agg(
                 F.sum("row_count").alias("row_count"),
@@ -239,6 +419,51 @@ class Lake:
             return empty_table(self.spark, schema)
         return self.spark.read.schema(schema).parquet(*[self._dir(ds, "rejects", f"version={v}") for v in versions])
 
+    # --- changes ---
+
+    def changed_parts(self, name: str, since: int, until: int | None = None) -> tuple[dict, dict]:
+        """Parts whose live versions differ between two snapshots: as they were, and as they are."""
+        ds = dataset(name)
+        old, new = (self._live(self._manifest(ds, self.state(name, n))) for n in (since, until))
+        differ = {p for p in old.keys() | new.keys() if old.get(p, ((),))[0] != new.get(p, ((),))[0]}
+        return {p: v for p, v in old.items() if p in differ}, {p: v for p, v in new.items() if p in differ}
+
+    def part_rows(self, name: str, parts: dict, snapshot: int | None = None) -> DataFrame:
+        """The rows of parts as ``changed_parts`` gives them, with ``bucket`` and ``period``."""
+        ds = dataset(name)
+        rows = self._rows(ds, self.state(name, snapshot), parts)
+        schema = T.StructType([*ds.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("period", T.IntegerType())])
+        return empty_table(self.spark, schema) if rows is None else rows.select(*schema.names)
+
+    def changes(self, name: str, since: int, until: int | None = None) -> DataFrame:
+        """Rows ``inserted``, ``changed`` or ``removed`` between two snapshots, as ``change`` says.
+
+        A changed row has its new values, a removed one its last. Only parts whose versions differ are
+        read; their rows meet by key in one exchange. ``since`` 0 is the empty lake.
+        """
+        ds = dataset(name)
+        old, new = self.changed_parts(name, since, until)
+        keys = [ds.symbol, *ds.keys]
+        sides = []
+        for parts, at, side in ((old, since, "old"), (new, until, "new")):
+            rows = self.part_rows(name, parts, at).select(*ds.schema.names)
+            if "extras" in ds.types:
+                rows = rows.withColumn("extras", F.array_sort(F.map_entries("extras")))
+            row = F.struct(*[F.col(c) for c in rows.columns])
+            sides.append(rows.select(*keys, *[(row if side == s else F.lit(None).cast(T.StructType(rows.schema.fields))).alias(s) for s in ("old", "new")]))
+        met = sides[0].unionByName(sides[1]).groupBy(*keys)
+        met = met.agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
+        kind = (
+            F.when(F.col("old").isNull(), "inserted")
+            .when(F.col("new").isNull(), "removed")
+            .when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+        )
+        told = met.select(kind.alias("change"), F.coalesce("new", "old").alias("row")).filter("change IS NOT NULL")
+        told = told.select("row.*", "change")
+        if "extras" in ds.types:
+            told = told.withColumn("extras", F.map_from_entries("extras"))
+        return told.select(*ds.schema.names, "change")
+
     # --- writing ---
 
     def _conform(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -272,123 +497,180 @@ class Lake:
             .withColumn("bucket", F.pmod(F.xxhash64(ds.symbol), F.lit(self.buckets)).cast("int"))
         )
 
-    def _stage(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str], version: int) -> DataFrame:
-        """The load, computed once and written; returns what can be stored. The rest goes to the rejects."""
-        path = self._dir(ds, "stage", f"version={version}")
-        conformed = self._conform(ds, rows, order_by)
-        conformed.write.mode("errorifexists").parquet(path)
-        staged = self.spark.read.schema(conformed.schema).parquet(path)
-        rejected = staged.filter(F.col(_REASON).isNotNull())
-        if not rejected.isEmpty():
-            rejected.select(*ds.schema.names, _REASON).write.parquet(self._dir(ds, "rejects", f"version={version}"))
-        return staged.filter(F.col(_REASON).isNull())
-
-    def _publish(
-        self, ds: Dataset, rows: DataFrame, sizes: dict[tuple[int, int], int], lacks: DataFrame, version: int
-    ) -> None:
-        """Write ``rows`` as the new state of the parts in ``sizes`` and commit it.
+    def _stage(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str], version: int, staged: bool) -> tuple[DataFrame, int]:
+        """What can be stored of a load and how many rows that is. The rest goes to the rejects.
 
-        Rows come with ``_source_rank``; of a key the highest stays. One exchange serves both the
-        choice and the files: it goes by part, and by a hash of the key where a part has many rows.
+        The load is computed once and written, unless it is a stored table already; both counts come
+        with that one pass.
         """
-        before = self.manifest(ds.name)
-        slices = [(*part, 1 + n // self.slice_rows) for part, n in sizes.items()]
-        touched = F.broadcast(self.spark.createDataFrame(slices, "bucket int, period int, slices bigint"))
-        keys = [ds.symbol, *ds.keys]
-        placed = rows.join(touched, _PART).withColumn("slice", F.pmod(F.xxhash64(*keys), F.col("slices")))
-        newest = Window.partitionBy(*_PART, "slice", *keys).orderBy(F.desc(STORED_FIRST))
-        chosen = (
-            placed.repartition(*_PART, "slice")
-            .withColumn("_recency", F.row_number().over(newest))
-            .filter("_recency = 1")
-        )
+        counts = [F.count_if(F.col(_REASON).isNull()).alias("good"), F.count_if(F.col(_REASON).isNotNull()).alias("bad")]
+        conformed = self._conform(ds, rows, order_by)
+        if staged:
+            found = conformed.agg(*counts).first().asDict()
+        else:
+            path, seen = self._dir(ds, "stage", f"version={version}"), Observation()
+            conformed.observe(seen, *counts).write.mode("errorifexists").parquet(path)
+            conformed, found = self.spark.read.schema(conformed.schema).parquet(path), seen.get
+        if found["bad"]:
+            bad = conformed.filter(F.col(_REASON).isNotNull())
+            bad.select(*ds.schema.names, _REASON).write.parquet(self._dir(ds, "rejects", f"version={version}"))
+        return conformed.filter(F.col(_REASON).isNull()), found["good"]
+
+    def _store(self, ds: Dataset, rows: DataFrame, total: int, version: int) -> None:
+        """Write rows as a version: one exchange by part, and by a hash of the key where a part has many rows."""
+        slices = F.lit(1)
+        if total > self.slice_rows:
+            # One row per part: buckets times periods at most.
+            sizes = [(*r[:2], 1 + r[2] // self.slice_rows) for r in rows.groupBy(*_PART).count().collect()]
+            counted = F.broadcast(self.spark.createDataFrame(sizes, "bucket int, period int, slices bigint"))
+            rows, slices = rows.join(counted, _PART), F.col("slices")
+        placed = rows.withColumn("slice", F.pmod(F.xxhash64(ds.symbol, *ds.keys), slices))
         (
-            chosen.select(*ds.schema.names, *_PART)
+            placed.repartition(*_PART, "slice")
+            .sortWithinPartitions(*_PART, ds.symbol, ds.date)
+            .select(*ds.schema.names, *_PART)
             .write.mode("errorifexists")
             .partitionBy(*_PART)
             .parquet(self._dir(ds, "data", f"version={version}"))
         )
-        kept = before.join(touched, _PART, "left_anti")
-        written = [
-            self._dir(ds, "data", f"version={version}", f"bucket={b}", f"period={p}")
-            for b in self._numbers(self._dir(ds, "data", f"version={version}", "bucket=*"))
-            for p in self._numbers(self._dir(ds, "data", f"version={version}", f"bucket={b}", "period=*"))
-        ]
-        if written:
-            new = self._figures(ds, written).join(lacks, [*_PART, "symbol"], "left")
-            kept = kept.select(*MANIFEST_SCHEMA.names).unionByName(new.select(*MANIFEST_SCHEMA.names))
-        self._commit(ds, kept, version)
-        self._delete(self._dir(ds, "stage", f"version={version}"))
 
-    def _stored(self, ds: Dataset, parts: Iterable[tuple[int, int]]) -> tuple[DataFrame | None, DataFrame]:
-        """Stored rows of parts, and their manifest rows."""
-        live = self.manifest(ds.name)
-        listed = self.spark.createDataFrame(list(parts), "bucket int, period int")
-        live = live.join(F.broadcast(listed), _PART, "left_semi")
-        paths = self._paths(ds, live)
-        return (self._read(ds, paths).drop("version") if paths else None), live
-
-    def _load(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str], replace: bool = False) -> None:
-        version = self._next_version(ds)
-        new = self._stage(ds, rows, order_by, version)
-        # One row per part: buckets times periods at most.
-        sizes = {(r["bucket"], r["period"]): r["count"] for r in new.groupBy(*_PART).count().collect()}
-        if replace and sizes:  # all parts that hold one of the symbols, for bars one per bucket
-            loaded = new.select(F.col(ds.symbol).alias("symbol")).distinct()
-            had = self.manifest(ds.name).join(loaded, "symbol", "left_semi").select(*_PART).distinct()
-            for r in had.collect():
-                sizes.setdefault((r["bucket"], r["period"]), 0)
-        if not sizes:
-            self._delete(self._dir(ds, "stage", f"version={version}"))
+    def _load(
+        self,
+        ds: Dataset,
+        rows: DataFrame,
+        order_by: Sequence[str],
+        replace: bool = False,
+        batch: tuple[str, int] | None = None,
+        staged: bool = False,
+    ) -> None:
+        state = self.state(ds.name)
+        if state.holds(batch):
             return
-        stored, live = self._stored(ds, sizes)
-        for r in live.groupBy(*_PART).agg(F.sum("row_count").alias("n")).collect():
-            sizes[r["bucket"], r["period"]] += r["n"]
-        columns = [*ds.schema.names, *_PART]
-        order = [*order_by, _ARRIVAL]
-        latest = keep_last(new, (ds.symbol, *ds.keys), order).select(*columns, F.lit(1).alias(STORED_FIRST))
-        both = latest
-        told = live.select(*_PART, "symbol", F.col("lacks").alias("_old"))
-        if replace:
-            gone = new.select(ds.symbol).distinct()
-            told = told.join(gone.withColumnRenamed(ds.symbol, "symbol"), "symbol", "left_anti")
-        if stored is not None:
+        version = self._take_version(ds)
+        new, total = self._stage(ds, rows, order_by, version, staged)
+        absent = F.array(*[F.lit(c) for c in ds.schema.names if c not in rows.columns and c != "extras"])
+        absent = absent.cast("array<string>")
+        if total:
+            latest = keep_last(new, (ds.symbol, *ds.keys), [*order_by, _ARRIVAL]).select(*ds.schema.names, *_PART)
             if replace:
-                stored = stored.join(gone, ds.symbol, "left_anti")
-            both = stored.select(*columns, F.lit(0).alias(STORED_FIRST)).unionByName(latest)
-        absent = [c for c in ds.schema.names if c not in rows.columns and c != "extras"]
-        brought = new.select(*_PART, F.col(ds.symbol).alias("symbol")).distinct()
-        brought = brought.withColumn("_new", F.array(*[F.lit(c) for c in absent]).cast("array<string>"))
-        lacks = told.join(brought, [*_PART, "symbol"], "full").select(
-            *_PART,
-            "symbol",
-            F.when(F.col("_old").isNull(), F.col("_new"))
-            .when(F.col("_new").isNull(), F.col("_old"))
-            .otherwise(F.array_intersect("_old", "_new"))
-            .alias("lacks"),
-        )
-        self._publish(ds, both, sizes, lacks, version)
+                loaded = new.select(F.col(ds.symbol).alias("symbol")).distinct()
+                brought = new.select(*_PART, F.col(ds.symbol).alias("symbol")).distinct().withColumn("lacks", absent)
+                self._rewrite(ds, lambda m: m.join(loaded, "symbol", "left_semi"), loaded, latest, brought, batch)
+            else:
+                self._store(ds, latest, total, version)
+                self._note(ds, version, absent)
+                self._commit(ds, state, version, batch=batch)
+        elif batch is not None:
+            self._commit_batch(ds, batch)
+        self._delete(self._dir(ds, "stage", f"version={version}"))
+        if total and len(self.state(ds.name).order) > self.fold_after:
+            self.compact(ds.name, self.fold_after)
+
+    def _commit_batch(self, ds: Dataset, batch: tuple[str, int]) -> None:
+        """Note a batch that brought nothing, so that it is known as done."""
+        while True:
+            head = self.state(ds.name)
+            if head.holds(batch):
+                return
+            record = {"manifests": head.manifests, "order": head.order, "batches": {**head.batches, batch[0]: batch[1]}}
+            if self._claim(self._dir(ds, "log", f"snapshot={head.number + 1}"), json.dumps(record)):
+                return
+
+    def _rewrite(
+        self,
+        ds: Dataset,
+        hit: Callable[[DataFrame], DataFrame],
+        doomed: DataFrame | None = None,
+        added: DataFrame | None = None,
+        brought: DataFrame | None = None,
+        batch: tuple[str, int] | None = None,
+    ) -> None:
+        """Replace the versions of the parts that ``hit`` picks from the manifest by one.
 
-    def upsert_options(self, rows: DataFrame, order_by: Sequence[str]) -> None:
+        Symbols in ``doomed`` go, the rows ``added`` come (``brought`` has their lacks). Worked out anew
+        while other writers replace the same parts first.
+        """
+        while True:
+            read = self.state(ds.name)
+            if read.holds(batch):
+                return
+            live = self._manifest(ds, read)
+            picked = [(r[0], r[1]) for r in hit(live).select(*_PART).distinct().collect()]
+            listed = self.spark.createDataFrame(picked, "bucket int, period int") if picked else None
+            own = live.join(F.broadcast(listed), _PART, "left_semi") if listed is not None else live.limit(0)
+            parts = self._live(own)
+            if not parts and added is None:
+                return
+            rows = self._rows(ds, read, parts)
+            told = own.select(*_PART, "symbol", "lacks")
+            if doomed is not None:
+                told = told.join(doomed, "symbol", "left_anti")
+                if rows is not None:
+                    rows = rows.join(doomed.withColumnRenamed("symbol", ds.symbol), ds.symbol, "left_anti")
+            # Of a symbol's loads into a part, columns that all of them lacked are still lacking.
+            common = F.aggregate(F.collect_list("lacks"), F.first("lacks"), lambda a, b: F.array_intersect(a, b))
+            lacks = told.groupBy(*_PART, "symbol").agg(common.alias("lacks"))
+            if added is not None:
+                lacks = lacks.unionByName(brought)
+                rows = added if rows is None else rows.select(*added.columns).unionByName(added)
+            version = self._take_version(ds)
+            total = sum(r[0] or 0 for r in own.agg(F.sum("row_count")).collect())
+            self._store(ds, rows, total + (self.slice_rows if added is not None else 0), version)
+            if self._written(ds, version):
+                self._note(ds, version, lacks)
+            else:
+                empty_table(self.spark, MANIFEST_SCHEMA).write.parquet(self._dir(ds, "manifest", f"write={version}"))
+            try:
+                self._commit(ds, read, version, [(*p, v) for p, (versions, _) in parts.items() for v in versions], batch)
+                return
+            except Outdated:
+                continue
+
+    def upsert_options(
+        self, rows: DataFrame, order_by: Sequence[str], batch: tuple[str, int] | None = None, staged: bool = False
+    ) -> None:
         """Merge new option rows into the stored ones; new beat stored, later beat earlier.
 
         ``order_by`` names the arrival order of the new rows; a null comes before all numbers, and of
         rows that it does not tell apart the one that stands later in ``rows`` wins. The load is
-        computed once. Only the parts that it falls into are read and rewritten. Rows without a
-        valid symbol go to :meth:`rejects`. Stored data that cannot be read fails the write.
+        computed once, unless ``staged`` says that it is a stored table, and put beside what its parts
+        hold. Rows without a valid symbol go to :meth:`rejects`. Of several writers at once, the one
+        that commits later is the newer. A ``batch`` (name, number) is stored once: with one that the
+        lake holds already, of that name and this number or a higher one, nothing happens.
         """
-        self._load(OPTIONS, rows, order_by)
+        self._load(OPTIONS, rows, order_by, batch=batch, staged=staged)
 
-    def write_prices(self, rows: DataFrame, order_by: Sequence[str] = (), mode: str = "merge") -> None:
+    def write_prices(
+        self,
+        rows: DataFrame,
+        order_by: Sequence[str] = (),
+        mode: str = "merge",
+        batch: tuple[str, int] | None = None,
+        staged: bool = False,
+    ) -> None:
         """Store price bars per symbol.
 
         ``overwrite`` replaces all that a loaded symbol had; ``merge`` keeps the days that the
-        load lacks, so that a short refresh does not cost the history. One bar per day is kept, the
-        last one by ``order_by`` and then by its place in ``rows``.
+        load lacks, so that a short refresh costs neither the history nor a look at it. One bar per day
+        is kept, the last one by ``order_by`` and then by its place in ``rows``. ``batch`` and
+        ``staged`` are those of :meth:`upsert_options`.
         """
         if mode not in ("merge", "overwrite"):
             raise ValueError(f"unknown mode: {mode!r}")
-        self._load(PRICES, rows, order_by, replace=mode == "overwrite")
+        self._load(PRICES, rows, order_by, replace=mode == "overwrite", batch=batch, staged=staged)
+
+    def compact(self, name: str, most: int = 1) -> int:
+        """Fold the versions of every part that has more than ``most`` into one; returns how many parts."""
+        ds = dataset(name)
+
+        def crowded(manifest: DataFrame) -> DataFrame:
+            versions = manifest.groupBy(*_PART).agg(F.count_distinct("version").alias("n"))
+            return versions.filter(F.col("n") > most)
+
+        n = crowded(self.manifest(name)).count()
+        if n:
+            self._rewrite(ds, crowded)
+        return n
 
     def purge(self, requests: DataFrame) -> DataFrame:
         """Drop datasets of symbols. ``requests`` has ``symbol`` and ``dataset``.
@@ -400,18 +682,7 @@ class Lake:
         outcome = purge_outcome(self.status().select("dataset", "symbol", "row_count"), wanted)
         for ds in (OPTIONS, PRICES):
             doomed = wanted.filter(F.col("dataset") == ds.name).select("symbol")
-            hit = self.manifest(ds.name).join(doomed, "symbol", "left_semi").select(*_PART).distinct()
-            parts = [(r["bucket"], r["period"]) for r in hit.collect()]
-            if not parts:
-                continue
-            stored, live = self._stored(ds, parts)
-            left = live.join(doomed, "symbol", "left_anti")
-            sizes = dict.fromkeys(parts, 0)
-            for r in left.groupBy(*_PART).agg(F.sum("row_count").alias("n")).collect():
-                sizes[r["bucket"], r["period"]] = r["n"]
-            rows = stored.join(doomed.withColumnRenamed("symbol", ds.symbol), ds.symbol, "left_anti")
-            rows = rows.withColumn(STORED_FIRST, F.lit(0))
-            self._publish(ds, rows, sizes, left.select(*_PART, "symbol", "lacks"), self._next_version(ds))
+            self._rewrite(ds, lambda m, doomed=doomed: m.join(doomed, "symbol", "left_semi"), doomed)
         return outcome
 
     def expire(self, name: str, keep: int = 1) -> int:
@@ -421,9 +692,10 @@ class Lake:
         and no writer is at work.
         """
         ds = dataset(name)
-        snapshots = self._snapshots(ds)
-        old, kept = snapshots[:-keep], snapshots[-keep:]
-        live = {p for n in kept for p in self._paths(ds, self.manifest(name, n))}
+        snapshots = self.snapshots(name)
+        states = [self.state(name, n) for n in snapshots[-keep:]]
+        live = {p for s in states for p in self._paths(ds, self._manifest(ds, s))}
+        named = {m for s in states for m in s.manifests}
         removed = 0
         for v in self._numbers(self._dir(ds, "data", "version=*")):
             base = self._dir(ds, "data", f"version={v}")
@@ -435,11 +707,23 @@ class Lake:
             removed += len(dead)
         for v in self._numbers(self._dir(ds, "stage", "version=*")):
             self._delete(self._dir(ds, "stage", f"version={v}"))
-        for n in old:
-            self._delete(self._dir(ds, "manifest", f"snapshot={n}"))
+        for n in snapshots[:-keep]:
+            self._delete(self._dir(ds, "log", f"snapshot={n}"))
+        fs, pattern = self._fs(self._dir(ds, "manifest", "*"))
+        for found in fs.globStatus(pattern) or []:
+            if found.getPath().getName() not in named:
+                self._delete(str(found.getPath()))
         return removed
 
 
+def _clash() -> Column:
+    """Whether an older or equal start of days of the same symbol and part reaches into a version's days."""
+    own = Window.partitionBy(*_PART, "symbol")
+    before = own.orderBy("date_min", "version").rowsBetween(Window.unboundedPreceding, -1)
+    undated = (F.sum((F.col("undated") > 0).cast("int")).over(own) > 1) & (F.col("undated") > 0)
+    return F.coalesce(F.max("date_max").over(before) >= F.col("date_min"), F.lit(False)) | undated
+
+
 def purge_outcome(stored: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: rows that go, and a warning when nothing is stored under it."""
     return requests.join(stored, ["dataset", "symbol"], "left").select(

@@ -1,11 +1,13 @@
 """Landing directory to lake as a file stream.
 
 No watermark: a late page is merged like any other, and a key that comes again replaces the
-older row. A micro-batch that is replayed after a failure writes the same rows again.
+older row. Each dataset notes the micro-batches it holds in the commit that stores them, so a batch that
+is replayed after a failure changes nothing, whichever of the datasets it had reached.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,18 +37,34 @@ def quotes_of(rows: DataFrame) -> DataFrame:
 
 def identified_quotes(pages: DataFrame) -> DataFrame:
     """Normalised quotes of options pages; a record that names no symbol has that of its page."""
-    quotes = normalize_quotes(page_rows(pages))
+    return identified(page_rows(pages))
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """The same of records."""
+    quotes = normalize_quotes(rows)
     return quotes.withColumn("underlying_symbol", F.coalesce("underlying_symbol", "symbol"))
 
 
-def write_batch(lake: Lake, price_mode: str = "merge") -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` body: options pages are upserted, price pages stored."""
+def write_batch(lake: Lake, stream: str, price_mode: str = "merge") -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` body: options pages are upserted, price pages stored.
+
+    Pages are parsed once, into a staging table that both datasets load from. ``stream`` names the query
+    whose batches these are; a batch that both datasets hold is not even parsed.
+    """
 
     def write(pages: DataFrame, batch_id: int) -> None:
-        # The lake computes each load once, into its staging folder.
-        lake.upsert_options(identified_quotes(pages.filter(F.col("dataset") == "options")).drop("symbol"), ARRIVAL)
-        prices = prices_from_quotes(quotes_of(page_rows(pages.filter(F.col("dataset") == "prices"))))
-        lake.write_prices(prices, ARRIVAL, price_mode)
+        batch, names = (stream, batch_id), ("options", "prices")
+        if all(lake.state(n).holds(batch) for n in names):
+            return
+        path = f"{lake.root}/staging/{uuid.uuid4().hex}"
+        rows = page_rows(pages.filter(F.col("dataset").isin(*names)))
+        rows.write.partitionBy("dataset").parquet(path)
+        stored = lake.spark.read.schema(rows.schema).parquet(path)
+        options, prices = (stored.filter(F.col("dataset") == n).drop("dataset") for n in names)
+        lake.upsert_options(identified(options).drop("symbol"), ARRIVAL, batch, staged=True)
+        lake.write_prices(prices_from_quotes(quotes_of(prices)), ARRIVAL, price_mode, batch, staged=True)
+        lake.discard(path)
 
     return write
 
@@ -60,9 +78,12 @@ def read_landing(spark: SparkSession, landing: str, max_files: int = 1000) -> Da
 def ingest_stream(
     pages: DataFrame, lake: Lake, checkpoint: str, price_mode: str = "merge"
 ) -> StreamingQuery:
-    """Write every page that has landed, then stop; run it again for what lands later."""
+    """Write every page that has landed, then stop; run it again for what lands later.
+
+    The checkpoint's path stands for the query in the lake's log.
+    """
     return (
-        pages.writeStream.foreachBatch(write_batch(lake, price_mode))
+        pages.writeStream.foreachBatch(write_batch(lake, checkpoint, price_mode))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
