@@ -105,10 +105,10 @@ def scan_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BARS = "symbol, date, open, high, low, close, adjclose, volume"
+BARS = "symbol, date, open, high, low, close, adjclose, volume"
 
 
-def _shipment_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipment_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second source of bars, for the symbols O and F only."""
     return views.table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_linestatus").alias("symbol"), F.col("l_shipdate").cast("date").alias("date")
@@ -119,7 +119,7 @@ def _shipment_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SHIPMENTS = """shipments AS (
+SHIPMENTS = """shipments AS (
   SELECT l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS open,
     max(l_extendedprice) AS high, min(l_extendedprice) AS low, max(l_extendedprice) AS close,
     max(l_extendedprice) AS adjclose, count(*) AS volume
@@ -129,17 +129,17 @@ _SHIPMENTS = """shipments AS (
 def _two_price_loads(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     lake = views.scratch_lake(spark, f"prices-{mode}")
     lake.write_prices(views.exchange_prices(spark, sf_dir), mode=mode)
-    lake.write_prices(_shipment_prices(spark, sf_dir), mode=mode)
-    return lake.scan("prices").select(*_BARS.split(", "))
+    lake.write_prices(shipment_prices(spark, sf_dir), mode=mode)
+    return lake.scan("prices").select(*BARS.split(", "))
 
 
 @query(
     "prices_overwrite",
     f"""
-WITH {views.EXCHANGE_PRICES}, {_SHIPMENTS}
-SELECT {_BARS} FROM shipments
+WITH {views.EXCHANGE_PRICES}, {SHIPMENTS}
+SELECT {BARS} FROM shipments
 UNION ALL
-SELECT {_BARS} FROM prices WHERE symbol NOT IN (SELECT symbol FROM shipments)""",
+SELECT {BARS} FROM prices WHERE symbol NOT IN (SELECT symbol FROM shipments)""",
 )
 def prices_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_price_loads(spark, sf_dir, "overwrite")
@@ -148,10 +148,10 @@ def prices_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "prices_merge",
     f"""
-WITH {views.EXCHANGE_PRICES}, {_SHIPMENTS}
-SELECT {_BARS} FROM shipments
+WITH {views.EXCHANGE_PRICES}, {SHIPMENTS}
+SELECT {BARS} FROM shipments
 UNION ALL
-SELECT {_BARS} FROM prices p WHERE NOT EXISTS (
+SELECT {BARS} FROM prices p WHERE NOT EXISTS (
   SELECT 1 FROM shipments s WHERE s.symbol = p.symbol AND s.date = p.date)""",
 )
 def prices_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,12 +194,12 @@ def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     "purge_rows",
     f"""
 WITH {views.LISTING_PRICES}, {_REQUESTS}
-SELECT {_BARS} FROM prices
+SELECT {BARS} FROM prices
 WHERE symbol NOT IN (SELECT symbol FROM requests WHERE dataset = 'prices')""",
 )
 def purged_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = views.listing_prices(spark, sf_dir)
-    return purge_rows(prices, _requests(spark, sf_dir), "prices").select(*_BARS.split(", "))
+    return purge_rows(prices, _requests(spark, sf_dir), "prices").select(*BARS.split(", "))
 
 
 @query(
@@ -301,7 +301,7 @@ def _symbol_files(spark: SparkSession, sf_dir: str) -> str:
     """Bars of all order states, one file each: F with typed columns, O with text, P with another date column."""
     root = views.scratch_dir(spark, "symbol-files")
     bars = views.exchange_prices(spark, sf_dir).repartition(1, "symbol")
-    plain = [F.col(c) for c in _BARS.split(", ")[1:]]
+    plain = [F.col(c) for c in BARS.split(", ")[1:]]
     forms = {
         "F": plain,
         "O": [c.cast("string") for c in plain],
@@ -328,7 +328,7 @@ FROM prices""",
 )
 def symbol_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of differing columns and types as one table."""
-    return read_symbol_files(spark, _symbol_files(spark, sf_dir), "prices").select(*_BARS.split(", "))
+    return read_symbol_files(spark, _symbol_files(spark, sf_dir), "prices").select(*BARS.split(", "))
 
 
 @query(
