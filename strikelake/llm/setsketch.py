@@ -10,11 +10,12 @@ rest is confirmed on full shingle sets.
 With 32 bands of 4 registers a pair at a similarity of 0.8 is missed with a chance of 5e-8, and the
 estimate drops it with one of about 3e-7. Nothing is capped. Equal sets are one class from the start. A
 bucket first compares its members with one leader each, and only while they are in different
-components: a number of pairs in proportion to its rows, for a few rounds with new leaders. What is then
-still apart is bounded exactly: shingles that no other document in question has cannot be in an
-intersection, so a document with many of them has no partner, of whatever sizes its own and the
-partner's are. Those that may have one are compared with each other. Leaders are the documents with the
-fewest shingles of their own, to which a large group of near copies links at once.
+components: a number of pairs in proportion to its rows, for a few rounds with new leaders. Leaders are
+the documents with the fewest shingles of their own, to which a large group of near copies links at
+once. What is then still apart is bounded exactly: each member is described by what it lacks of its
+leader and has beyond it, two members can only be linked if they share enough of these differences,
+and differences that no other document has cannot be shared. The few pairs for which that leaves room
+are compared.
 """
 
 from __future__ import annotations
@@ -177,9 +178,11 @@ def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
 def _with_leaders(buckets: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, with the bucket's leader and its component.
 
-    The leader is the document with the smallest share of shingles of its own.
+    The leader is the document with the most shingles that others have, less those of its own: the text
+    that a group was copied from, rather than a changed or a shortened copy. Before those are counted
+    (``own`` is null) it is any.
     """
-    order = F.struct((F.col("own") / F.col("n")).alias("share"), F.xxhash64("rep").alias("h"), "rep", "comp")
+    order = F.struct((2 * F.col("own") - F.col("n")).alias("less"), F.xxhash64("rep").alias("h"), "rep", "comp")
     leaders = buckets.groupBy("key").agg(
         F.min(order).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
@@ -194,7 +197,7 @@ def _leader_pairs(led: DataFrame) -> DataFrame:
 
 
 def _own_shingles(buckets: DataFrame, full: DataFrame) -> DataFrame:
-    """(rep, own): how many of its shingles no other document of the buckets has."""
+    """(rep, own, alone): how many of its shingles no other document of the buckets has, and which."""
 
     def run(batches):
         for batch in batches:
@@ -211,26 +214,103 @@ def _own_shingles(buckets: DataFrame, full: DataFrame) -> DataFrame:
     members = buckets.select("rep").distinct()
     each = full.join(members, "rep").select("rep", "set").mapInArrow(run, "rep bigint, shingle bigint")
     alone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
-    return store(alone.groupBy("rep").agg(F.count("*").alias("own")), "near-own")
+    # At most the document's own set.
+    return store(alone.groupBy("rep").agg(F.count("*").alias("own"), F.collect_list("shingle").alias("alone")), "near-own")
 
 
-def _remaining_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components whose shared shingles may suffice.
+def _against_leaders(led: DataFrame, full: DataFrame) -> DataFrame:
+    """(rep, lead, l, common): size of each bucket's leader and what its members have in common with it."""
 
-    Buckets are cut by size in steps of 5 percent; the larger of a pair visits the steps below it. With m
-    shingles that others have too and sizes p <= q, a similarity is at most m / (p + q - m).
+    def run(batches):
+        for batch in batches:
+            size, common = [], []
+            for x, y in zip(batch.column("u_set").to_pylist(), batch.column("v_set").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                size.append(len(y))
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u"), batch.column("v"), pa.array(size, pa.int64()), pa.array(common, pa.int64())],
+                names=["rep", "lead", "l", "common"],
+            )
+
+    pairs = led.filter("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
+    return _joined(pairs, full, "set").mapInArrow(run, "rep bigint, lead bigint, l bigint, common bigint")
+
+
+def _difference_tokens(members: DataFrame, full: DataFrame, own: DataFrame) -> DataFrame:
+    """The first ``prefix`` of what each member has beyond its leader or lacks of it, added ones first."""
+
+    def run(batches):
+        for batch in batches:
+            at, tokens = [], []
+            columns = [batch.column(c).to_pylist() for c in ("set", "lead_set", "alone", "prefix")]
+            for i, (x, y, alone, n) in enumerate(zip(*columns, strict=True)):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                shared = np.setdiff1d(x, np.array(alone or [], np.int64), assume_unique=True)
+                added = np.sort(np.setdiff1d(shared, y, assume_unique=True))
+                found = np.concatenate([added, np.sort(np.setdiff1d(y, x, assume_unique=True))])[:n]
+                at.append(np.full(len(found), i))
+                tokens.append(found)
+            at = pa.array(np.concatenate([np.empty(0, np.int64), *at]))
+            kept = [batch.column(c).take(at) for c in names]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))], names=[*names, "token"]
+            )
+
+    names = ["rep", "lead", "n", "m", "comp", "e", "slack"]
+    sets_ = full.select(F.col("rep").alias("lead"), F.col("set").alias("lead_set"))
+    met = members.join(full, "rep").join(sets_, "lead").join(own.select("rep", "alone"), "rep", "left")
+    return met.select(*names, "prefix", "set", "lead_set", "alone").mapInArrow(
+        run, ", ".join(f"{c} bigint" for c in [*names, "token"])
+    )
+
+
+def _last_pairs(led: DataFrame, full: DataFrame, own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of leaders, and pairs of a bucket in different components that can still be linked.
+
+    A member lacks r of its leader's l shingles and has a others. Two members share c of these
+    differences, and with t as the limit they are linked just if (1 + t) c >= w + w' - (1 - t) l, where
+    w = r + t a. Differences that are a document's own cannot be shared, so c is at most s = r + a - own
+    of either. Members within the limit of the leader are linked to it already; each of the others,
+    with an excess e = w - (1 - t) l above 0, needs a partner whose slack (1 + t) s - w is no less.
+
+    As w is at least t c, an excess asks for c >= e, and of a linked member's partner, which has one,
+    for (1 + t) c >= w + e. So of two linked documents' s differences each, in whatever common order, one
+    is among the first s - c + 1 of both: pairs meet there. Added ones stand first, since in a group of
+    copies it is what was taken out that many have in common.
     """
-    limit, step = percent / 100, float(np.log(1.05))
-    mine = buckets.withColumn("m", F.col("n") - F.col("own")).withColumn("size", F.floor(F.log("n") / step))
-    small = mine.filter(F.col("m") >= limit * (2 * F.col("n") - F.col("m")) - 1e-6)
-    lowest = F.floor(F.log(F.col("n") * limit) / step) - 1
-    visits = mine.withColumn("size", F.explode(F.sequence(lowest, F.col("size"))))
-    least = F.floor(F.exp(F.col("size") * step) - 1e-6)
-    visits = visits.filter(F.col("m") >= limit * (least + F.col("n") - F.col("m")) - 1e-6)
-    a = small.select("key", "size", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    b = visits.select("key", "size", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    met = a.join(b, ["key", "size"]).filter("ca <> cb AND (na < nb OR (na = nb AND a < b))")
-    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    near = store(_against_leaders(led, full), "near-to-leaders")
+    mine = (
+        led.select("rep", "n", "own", "comp", "lead", "lead_comp")
+        .distinct()
+        .join(near, ["rep", "lead"])
+        .withColumn("own", F.coalesce("own", F.lit(0)))
+        .withColumn("s", F.expr("l + n - 2 * common - own"))
+        .withColumn("w", F.expr(f"100 * (l - common) + {percent} * (n - common)"))
+        .withColumn("e", F.expr(f"w - {100 - percent} * l"))
+        .withColumn("slack", F.expr(f"{100 + percent} * s - w"))
+        .withColumn("m", F.expr("n - own"))
+    )
+    mine = store(mine, "near-differences")
+    linked = mine.filter("e <= 0 AND comp <> lead_comp")
+    links = linked.select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v")).distinct()
+    usable = mine.filter(f"100 * m >= {percent} * n")
+    most = usable.groupBy("lead").agg(F.max("slack").alias("most"))
+    least = usable.filter("e > 0").join(most, "lead").filter("e <= most").groupBy("lead").agg(F.min("e").alias("least"))
+    fewest = F.expr(f"if(e > 0, ceil(e / 100), ceil((w + least) / {100 + percent}))")
+    kept = (
+        usable.join(least, "lead")
+        .filter("slack >= least OR e > 0")
+        .withColumn("prefix", F.expr("s + 1") - F.greatest(fewest, F.lit(1)))
+        .filter("prefix > 0")
+    )
+    tokens = store(_difference_tokens(kept, full, own), "near-tokens")
+    other = {c: f"{c}_b" for c in ("rep", "n", "m", "comp", "e", "slack")}
+    met = tokens.filter("e > 0").join(tokens.withColumnsRenamed(other), ["lead", "token"]).filter(
+        "comp <> comp_b AND slack_b >= e AND slack >= e_b"
+        f" AND 100 * least(m, m_b) >= {percent} * (n + n_b - least(m, m_b))"
+    )
+    return links, met.select(F.least("rep", "rep_b").alias("u"), F.greatest("rep", "rep_b").alias("v")).distinct()
 
 
 def _classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +327,7 @@ def _classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     )
     banded = reps.select("rep", F.explode("bands").alias("key"))
     shared = store(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-shared")
-    sized = reps.select("rep", "n", F.lit(0).cast("bigint").alias("own"), F.explode("bands").alias("key"))
+    sized = reps.select("rep", "n", F.lit(None).cast("bigint").alias("own"), F.explode("bands").alias("key"))
     buckets = store(sized.join(shared, "key").withColumn("comp", F.col("rep")), "near-buckets")
     members = buckets.select(F.col("rep").alias("_row")).distinct()
     full = store(_full_sets(rows.join(members, "_row"), k).withColumnRenamed("_row", "rep"), "near-sets")
@@ -256,15 +336,17 @@ def _classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         if turn:
             buckets = led.drop("lead", "lead_comp")
         if turn == 1:
-            buckets = buckets.drop("own").join(_own_shingles(buckets, full), "rep", "left").fillna(0, ["own"])
+            own = _own_shingles(buckets, full)
+            buckets = buckets.drop("own").join(own.select("rep", "own"), "rep", "left").fillna(0, ["own"])
         if turn and roots is not None:
             named = roots.select(F.col("node").alias("rep"), "root")
             buckets = buckets.drop("comp").join(named, "rep", "left")
             buckets = buckets.withColumn("comp", F.coalesce("root", "rep")).drop("root")
         led = _with_leaders(store(buckets, "near-buckets") if turn else buckets)
-        pairs = _leader_pairs(led) if turn < ROUNDS else _remaining_pairs(led, percent)
+        direct, pairs = (None, _leader_pairs(led)) if turn < ROUNDS else _last_pairs(led, full, own, percent)
         likely = _likely(_joined(pairs, reps, "n", "regs"), percent)
-        found = store(_confirmed(_joined(likely, full, "set"), percent), "near-links")
+        found = _confirmed(_joined(likely, full, "set"), percent)
+        found = store(found if direct is None else found.unionByName(direct), "near-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = components(links)
