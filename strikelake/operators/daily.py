@@ -6,6 +6,8 @@ symbols x calendar days however many rows a symbol has.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strikelake.functions import is_call, percent, upper_median
@@ -54,12 +56,15 @@ def _coverage_aggregates() -> list[Column]:
     ]
 
 
-def options_daily(df: DataFrame) -> DataFrame:
-    """Rows, nulls, zeros, outliers and coverage of each symbol and quote date."""
+def options_daily(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Rows, nulls, zeros, outliers and coverage of each symbol and quote date.
+
+    ``also`` names columns that are one for all rows of a symbol and day and are kept.
+    """
     usable = has_type(df, "quote_date", T.DateType)
     day = F.col("quote_date") if usable else F.lit(None).cast("date")
     coverage = _coverage_aggregates() if coverage_inputs(df) is None else []
-    return df.groupBy(F.col("underlying_symbol").alias("symbol"), day.alias("day")).agg(
+    return df.groupBy(F.col("underlying_symbol").alias("symbol"), day.alias("day"), *also).agg(
         F.count("*").alias("n_rows"),
         *null_counts(df, OPTION_REQUIRED),
         *zero_counts(df),
@@ -68,11 +73,11 @@ def options_daily(df: DataFrame) -> DataFrame:
     )
 
 
-def prices_daily(df: DataFrame) -> DataFrame:
-    """Rows, nulls and non-positive levels of each symbol and price date."""
+def prices_daily(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Rows, nulls and non-positive levels of each symbol and price date, with the columns ``also``."""
     usable = has_type(df, "date", T.DateType)
     day = F.col("date") if usable else F.lit(None).cast("date")
-    return df.groupBy("symbol", day.alias("day")).agg(
+    return df.groupBy("symbol", day.alias("day"), *also).agg(
         F.count("*").alias("n_rows"), *null_counts(df, PRICE_REQUIRED), *nonpositive_counts(df)
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strikelake.functions import side
 from strikelake.operators.strikes import band_edges, close_by_day
@@ -82,6 +82,29 @@ def side_day_counts(options: DataFrame) -> DataFrame:
     )
 
 
+def strike_grid(options: DataFrame) -> DataFrame:
+    """Per symbol, side and day the strikes in order, each with the rows up to and with it.
+
+    Rows are added up per strike first, so what is gathered of a day are its distinct strikes. Rows
+    without a strike are in no grid.
+    """
+    per_strike = (
+        options.select(
+            F.col("underlying_symbol").alias("symbol"),
+            side(F.col("option_type")).alias("option_type"),
+            F.col("quote_date").alias("date"),
+            "strike",
+        )
+        .filter(F.col("option_type").isNotNull() & F.col("date").isNotNull() & (F.col("strike") < float("inf")))
+        .groupBy("symbol", "option_type", "date", "strike")
+        .agg(F.count("*").alias("n"))
+    )
+    of_day = Window.partitionBy("symbol", "option_type", "date").orderBy("strike")
+    running = per_strike.withColumn("upto", F.sum("n").over(of_day))
+    listed = F.array_sort(F.collect_list(F.struct("strike", "upto")))
+    return running.groupBy("symbol", "option_type", "date").agg(listed.alias("grid"))
+
+
 def _halve(node: Column) -> Column:
     """Two halves of a node; an odd day goes to the first."""
     middle = node["lo"] + F.floor((node["hi"] - node["lo"]) / 2).cast("int")
@@ -100,6 +123,8 @@ def split_windows(
     day_counts: DataFrame,
     prices: DataFrame | None = None,
     row_cap: int = ROW_CAP,
+    grids: DataFrame | None = None,
+    strike_halvings: int = 1,
 ) -> DataFrame:
     """Halve every window with more than ``row_cap`` rows until it fits or spans two days.
 
@@ -107,6 +132,11 @@ def split_windows(
     ``outcome`` is ``fits``, ``incomplete`` (too full at the smallest span) or ``strike_band`` (a
     single day with a known close, which is split by strike instead: see the strike columns).
 
+    With the ``grids`` of :func:`strike_grid` such a day is split on that axis too: ``strike_part`` is
+    the ``lower`` or ``upper`` half of its band or what lies ``outside``, each with a range, rows and an
+    outcome of its own. A half begins above ``strike_low`` (the lower one with it) and ends with
+    ``strike_high``; while it is too full it is halved again, ``strike_halvings`` times in all.
+
     Both inputs are read once. Day counts are gathered by window, at most 31 each, ahead of anything
     else; they become running totals, an array of at most 32 numbers, and the halving is then
     arithmetic on one row, without a join or shuffle per level.
@@ -197,9 +227,67 @@ def split_windows(
         F.date_add("window_from", F.col("_n")["hi"]).alias("load_to"),
         _rows_in(F.col("_totals"), F.col("_n")).alias("n_rows"),
     )
+    if grids is not None:
+        return _by_strike_halves(leaves, prices, grids, row_cap, strike_halvings)
     return _by_strike(leaves, prices, row_cap)
 
 
+def _by_strike_halves(
+    leaves: DataFrame, prices: DataFrame | None, grids: DataFrame, row_cap: int, halvings: int
+) -> DataFrame:
+    """Leaves, those of a single day with a known close as parts of its strikes."""
+    if prices is None:
+        raise ValueError("a band needs prices")
+    days = close_by_day(prices).withColumnRenamed("date", "load_from")
+    single = F.col("load_from") == F.col("load_to")
+    met = leaves.join(days, ["symbol", "load_from"], "left").join(
+        grids.withColumnRenamed("date", "load_from"), ["symbol", "option_type", "load_from"], "left"
+    )
+    low, mid, high = band_edges(F.col("close"))
+    no_grid = F.array().cast("array<struct<strike:double,upto:bigint>>")
+
+    def upto(edge: Column, with_edge: Column) -> Column:
+        reached = F.filter(
+            F.coalesce("grid", no_grid), lambda g: (g["strike"] < edge) | (with_edge & (g["strike"] == edge))
+        )
+        return F.coalesce(F.try_element_at(reached, F.lit(-1))["upto"], F.lit(0).cast("bigint"))
+
+    def part(name: Column, lo: Column, hi: Column, closed: Column) -> Column:
+        n = upto(hi, F.lit(True)) - upto(lo, ~closed)
+        return F.struct(name.alias("part"), lo.alias("lo"), hi.alias("hi"), closed.alias("closed"), n.alias("n"))
+
+    def halved(node: Column) -> Column:
+        middle = (node["lo"] + node["hi"]) / 2
+        both = F.array(
+            part(node["part"], node["lo"], middle, node["closed"]), part(node["part"], middle, node["hi"], F.lit(False))
+        )
+        return F.when((node["n"] > row_cap) & (node["lo"] < middle) & (middle < node["hi"]), both).otherwise(F.array(node))
+
+    banded = single & F.col("close").isNotNull()
+    halves = F.array(
+        part(F.lit("lower"), low, mid, F.lit(True)), part(F.lit("upper"), mid, high, F.lit(False))
+    )
+    nodes = met.withColumn("_nodes", F.when(banded, halves))
+    nodes = nodes.withColumn(
+        "_rest", F.col("n_rows") - F.aggregate("_nodes", F.lit(0).cast("bigint"), lambda total, x: total + x["n"])
+    )
+    for _ in range(halvings - 1):
+        nodes = nodes.withColumn("_nodes", F.flatten(F.transform("_nodes", halved)))
+    none = F.lit(None).cast("double")
+    kind = "struct<part:string,lo:double,hi:double,closed:boolean,n:bigint>"
+    outside = F.struct(F.lit("outside"), none, none, F.lit(False), F.col("_rest")).cast(kind)
+    whole = F.array(F.struct(F.lit(None), none, none, F.lit(False), F.col("n_rows")).cast(kind))
+    every = F.coalesce(F.concat("_nodes", F.array(outside)), whole)
+    return nodes.select(*[c for c in leaves.columns if c != "n_rows"], F.explode(every).alias("_n")).select(
+        *[c for c in leaves.columns if c != "n_rows"],
+        F.col("_n.part").alias("strike_part"),
+        F.col("_n.lo").alias("strike_low"),
+        F.col("_n.hi").alias("strike_high"),
+        F.col("_n.n").alias("n_rows"),
+        F.when(F.col("_n.n") > row_cap, "incomplete").otherwise("fits").alias("outcome"),
+    )
+
+
 def _by_strike(leaves: DataFrame, prices: DataFrame | None, row_cap: int) -> DataFrame:
     too_full = F.when(F.col("n_rows") > row_cap, "incomplete").otherwise("fits")
     if prices is None:

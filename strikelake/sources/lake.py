@@ -126,6 +126,14 @@ class Lake:
         fs, hadoop_path = self._fs(path)
         fs.delete(hadoop_path, True)
 
+    def read_text(self, path: str) -> str:
+        """The text of a small file."""
+        fs, hadoop_path = self._fs(path)
+        stream = fs.open(hadoop_path)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text
+
     def discard(self, path: str) -> None:
         """Remove a staging folder below the root."""
         if not path.startswith(f"{self.root}/"):
@@ -180,11 +188,7 @@ class Lake:
         number = known[-1] if snapshot is None else snapshot
         if number not in known:
             raise ValueError(f"no snapshot {number} of {name}")
-        fs, path = self._fs(self._dir(ds, "log", f"snapshot={number}"))
-        stream = fs.open(path)
-        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        found = json.loads(text)
+        found = json.loads(self.read_text(self._dir(ds, "log", f"snapshot={number}")))
         return State(number, tuple(found["manifests"]), tuple(found["order"]), found["batches"])
 
     def manifest(self, name: str, snapshot: int | None = None) -> DataFrame:

@@ -75,8 +75,8 @@ def test_report_reads_quotes_twice_and_prices_once(spark):
 
 def test_plans_do_not_read_a_table_twice_for_one_answer(spark):
     assert plan_of(spark, "resume_plan").count("FileScan parquet") == 2
-    # Resume dates and day counts of the quotes, and the closes.
-    assert plan_of(spark, "split_windows").count("FileScan parquet") == 3
+    # Resume dates, day counts and strikes of the quotes, and the closes.
+    assert plan_of(spark, "split_windows").count("FileScan parquet") == 4
 
 
 def test_json_is_not_parsed_again_by_a_derived_filter(spark):

@@ -146,6 +146,36 @@ def test_split_matches_the_definition(spark):
     assert unpriced.columns == leaves.columns and unpriced.filter("outcome = 'strike_band'").count() == 0
 
 
+def test_split_on_both_axes_matches_the_definition(spark):
+    """Single days with a close: rows and outcome of each half of the band, halved on while too full."""
+    draw = random.Random(4)
+    end, cap, days = d("2024-03-01"), 6, [d("2024-02-29"), d("2024-03-01")]
+    strikes_of = {day: [draw.choice([None, 1.0, 34.9, 35.0, 60.0, 92.5, 149.9, 150.0, 150.01, 200.0, 265.0, 400.0]) for _ in range(60)] for day in days}
+    rows = [quote("A", str(day), strike=k) for day, ks in strikes_of.items() for k in ks]
+    plan = spark.createDataFrame([("A", "call", day) for day in days] + [("B", "call", end)], "symbol string, option_type string, resume_date date")
+    spans = windows.load_spans(plan, end).filter("start = end")
+    p = prices(spark, [bar("A", str(end), 100.0), bar("B", str(end), 100.0)])
+    o = quotes(spark, rows)
+
+    def halves(name, lo, hi, closed, depth):
+        n = sum(k is not None and (lo < k <= hi or (closed and k == lo)) for k in strikes_of[end])
+        if n > cap and depth > 1:
+            middle = (lo + hi) / 2
+            return halves(name, lo, middle, closed, depth - 1) + halves(name, middle, hi, False, depth - 1)
+        return [(name, lo, hi, n, "incomplete" if n > cap else "fits")]
+
+    for depth in (1, 2, 4):
+        leaves = windows.split_windows(spans, windows.side_day_counts(o), p, cap, windows.strike_grid(o), depth)
+        got = {(r["symbol"], r["strike_part"], r["strike_low"], r["strike_high"], r["n_rows"], r["outcome"]) for r in leaves.collect()}
+        want = halves("lower", 35.0, 150.0, True, depth) + halves("upper", 150.0, 265.0, False, depth)
+        rest = len(strikes_of[end]) - sum(k is not None and 35.0 <= k <= 265.0 for k in strikes_of[end])
+        want.append(("outside", None, None, rest, "incomplete" if rest > cap else "fits"))
+        empty = {("B", "lower", 35.0, 150.0, 0, "fits"), ("B", "upper", 150.0, 265.0, 0, "fits"), ("B", "outside", None, None, 0, "fits")}
+        assert got == {("A", *w) for w in want} | empty
+    with pytest.raises(ValueError):
+        windows.split_windows(spans, windows.side_day_counts(o), None, cap, windows.strike_grid(o))
+
+
 def test_strike_band(spark):
     rows = [quote(strike=s) for s in (34.9, 35.0, 150.0, 150.005, 150.01, 265.0, 265.1)] + [quote("X", strike=1.0)]
     p = prices(spark, [bar(level=100.0), bar(level=200.0, day=None), ("SPY", d("2024-01-10"), 1.0, 1.0, 1.0, None, 1.0, 1)])

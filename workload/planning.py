@@ -131,22 +131,36 @@ tree AS (
   JOIN running a ON a.symbol = h.symbol AND a.option_type = h.option_type AND a.date = h.lo - 1
   JOIN running b ON b.symbol = h.symbol AND b.option_type = h.option_type AND b.date = h.hi),
 leaves AS (
-  SELECT t.*, CASE WHEN t.lo = t.hi THEN p.close END AS close FROM tree t
+  SELECT t.*, CASE WHEN t.lo = t.hi THEN p.close * 0.0001::DOUBLE END AS close FROM tree t
   LEFT JOIN prices p ON p.symbol = t.symbol AND p.date = t.lo
-  WHERE t.hi - t.lo <= 1 OR t.n_rows <= {ROW_CAP})
-SELECT symbol, option_type, window_no, lo AS load_from, hi AS load_to, n_rows,
-  CASE WHEN close IS NOT NULL THEN 'strike_band' WHEN n_rows > {ROW_CAP} THEN 'incomplete'
-    ELSE 'fits' END AS outcome,
-  close * 0.35::DOUBLE AS strike_low,
-  (close * 0.35::DOUBLE + close * 2.65::DOUBLE) / 2 AS strike_mid, close * 2.65::DOUBLE AS strike_high
-FROM leaves""",
+  WHERE t.hi - t.lo <= 1 OR t.n_rows <= {ROW_CAP}),
+banded AS (
+  SELECT *, close * 0.35::DOUBLE AS low, (close * 0.35::DOUBLE + close * 2.65::DOUBLE) / 2 AS mid,
+    close * 2.65::DOUBLE AS high FROM leaves WHERE close IS NOT NULL),
+halves AS (
+  SELECT b.*, count(*) FILTER (q.strike BETWEEN low AND mid) AS n_lower,
+    count(*) FILTER (q.strike > mid AND q.strike <= high) AS n_upper
+  FROM banded b LEFT JOIN quotes q ON q.underlying_symbol = b.symbol AND q.quote_date = b.lo
+    AND CASE lower(substring(q.option_type, 1, 1)) WHEN 'c' THEN 'call' ELSE 'put' END = b.option_type
+  GROUP BY ALL),
+parts AS (
+  SELECT symbol, option_type, window_no, lo, hi, NULL AS strike_part, CAST(NULL AS DOUBLE) AS strike_low,
+    CAST(NULL AS DOUBLE) AS strike_high, n_rows FROM leaves WHERE close IS NULL
+  UNION ALL SELECT symbol, option_type, window_no, lo, hi, 'lower', low, mid, n_lower FROM halves
+  UNION ALL SELECT symbol, option_type, window_no, lo, hi, 'upper', mid, high, n_upper FROM halves
+  UNION ALL SELECT symbol, option_type, window_no, lo, hi, 'outside', NULL, NULL, n_rows - n_lower - n_upper FROM halves)
+SELECT symbol, option_type, window_no, lo AS load_from, hi AS load_to, strike_part, strike_low, strike_high, n_rows,
+  CASE WHEN n_rows > {ROW_CAP} THEN 'incomplete' ELSE 'fits' END AS outcome
+FROM parts""",
 )
 def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows halved by day, single days with a close by strike; closes are scaled to the strikes' size."""
     quotes = views.exchange_quotes(spark, sf_dir)
     first = quotes.agg(F.min("quote_date")).first()[0]
     spans = windows.load_spans(resume.resume_plan(quotes), AS_OF, first)
+    prices = views.exchange_prices(spark, sf_dir).withColumn("close", F.col("close") * 0.0001)
     return windows.split_windows(
-        spans, windows.side_day_counts(quotes), views.exchange_prices(spark, sf_dir), ROW_CAP
+        spans, windows.side_day_counts(quotes), prices, ROW_CAP, windows.strike_grid(quotes)
     )
 
 
@@ -204,7 +218,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.listing_quotes(spark, sf_dir)
         .groupBy(F.col("underlying_symbol").alias("symbol"), side.alias("option_type"))
         .agg(F.count("*").alias("new_rows"))
-        .withColumn("error", F.when(F.col("new_rows") > 15, "offset cap hit"))
+        .withColumn("error", F.when(F.col("new_rows") > 15, "row limit reached"))
     )
     none = F.array().cast("array<string>")
     options = loads.rows_loaded(per_side).select(
@@ -216,7 +230,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "warnings",
     )
     bars = views.listing_prices(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
-    failed = F.array(F.lit("Request failed"), F.lit("timeout"))
+    failed = F.array(F.lit("no answer"), F.lit("timeout"))
     prices = bars.select(
         "symbol",
         F.lit("bars").alias("provider"),
@@ -239,7 +253,7 @@ sides AS (
   FROM quotes GROUP BY 1, 2),
 o AS (
   SELECT symbol, CAST(sum(n) AS BIGINT) AS n, min(lo) AS lo, max(hi) AS hi,
-    string_agg(CASE WHEN n > 15 THEN option_type || ': offset cap hit' END, '; ' ORDER BY option_type) AS w
+    string_agg(CASE WHEN n > 15 THEN option_type || ': row limit reached' END, '; ' ORDER BY option_type) AS w
   FROM sides GROUP BY 1),
 p AS (SELECT symbol, count(*) AS n, min(date) AS lo, max(date) AS hi FROM prices GROUP BY 1)
 SELECT symbol, 'chains' AS provider, 'options' AS category, n AS new_rows, n AS total_rows,
@@ -247,7 +261,7 @@ SELECT symbol, 'chains' AS provider, 'options' AS category, n AS new_rows, n AS
   coalesce(w, '') AS message FROM o
 UNION ALL
 SELECT symbol, 'bars', 'prices', CASE WHEN n < 6 THEN 0 ELSE n END, n, lo, hi,
-  CASE WHEN n < 6 THEN 'FAILED' ELSE 'OK' END, CASE WHEN n < 6 THEN 'Request failed; timeout' ELSE '' END
+  CASE WHEN n < 6 THEN 'FAILED' ELSE 'OK' END, CASE WHEN n < 6 THEN 'no answer; timeout' ELSE '' END
 FROM p""",
 )
 def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:

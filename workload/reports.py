@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strikelake.plans import quality
+from strikelake.plans import quality, quality_state
 from workload import views
 from workload.calendars import GAPS_SQL, OPTIONS_GAPS_SQL
 from workload.facts import _COVERED_DAYS, _OPTION_ISSUES
@@ -165,3 +165,36 @@ def issue_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.exchange_quotes(spark, sf_dir), views.exchange_prices(spark, sf_dir)
     )
     return quality.issues_only(report, whole_sections=True)
+
+
+_KEPT_QUOTES = f"""raw AS ({views.EXCHANGE_QUOTES.partition("AS (")[2][:-1]}),
+ranked_quotes AS (
+  SELECT *, row_number() OVER (PARTITION BY {views.KEYS} ORDER BY l_linenumber >= 4 DESC, {views.ARRIVAL_DESC}) AS recency
+  FROM raw),
+quotes AS (SELECT * FROM ranked_quotes WHERE recency = 1)"""
+_KEPT_PRICES = f"""every_price AS ({views.EXCHANGE_PRICES.partition("AS (")[2][:-1]}),
+prices AS (SELECT * FROM every_price WHERE symbol IN (SELECT l_linestatus FROM lineitem))"""
+_STORED_SCHEMA = (
+    "SELECT o.symbol, 'options', 3, 'Schema', 'PASS', 0, 25, 'all 25 columns as expected'\n  FROM option_facts o\n  UNION ALL"
+)
+
+
+def _stored_report_sql() -> str:
+    """The same definitions over what a lake holds, whose schema is whole."""
+    before, _, rest = report_sql(_KEPT_QUOTES, _KEPT_PRICES).partition("SELECT o.symbol, 'options', 3")
+    return before + _STORED_SCHEMA + rest.partition("UNION ALL")[2]
+
+
+@query("quality_report_incremental", _stored_report_sql())
+def quality_report_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report after a first load, then one after another load and a purge, from what those changed."""
+    lake = views.scratch_lake(spark, "quality")
+    quotes = views.exchange_quotes(spark, sf_dir)
+    lake.upsert_options(quotes.filter("l_linenumber < 4"), views.ARRIVAL)
+    lake.write_prices(views.exchange_prices(spark, sf_dir))
+    quality_state.QualityState(lake).refresh()
+    lake.upsert_options(quotes.filter("l_linenumber >= 4"), views.ARRIVAL)
+    shipped = quotes.select(F.col("underlying_symbol").alias("symbol")).distinct()
+    gone = lake.symbols("prices").join(shipped, "symbol", "left_anti")
+    lake.purge(gone.withColumn("dataset", F.lit("prices")))
+    return quality_state.quality_report_incremental(lake)
