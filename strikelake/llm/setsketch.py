@@ -10,9 +10,8 @@ rest is confirmed on full shingle sets.
 With 32 bands of 4 registers a pair at a similarity of 0.8 is missed with a chance of 5e-8, and the
 estimate drops it with one of about 3e-7. Nothing is capped. Equal sets are one class from the start. A
 bucket first compares its members with one leader each, and only while they are in different
-components: a number of pairs in proportion to its rows, for a few rounds with new leaders. Leaders are
-the documents with the fewest shingles of their own, to which a large group of near copies links at
-once. What is then still apart is bounded exactly: each member is described by what it lacks of its
+components: a number of pairs in proportion to its rows. New leaders are the documents with the most
+shingles that others have, to which a large group of near copies links at once. What is then still apart is bounded exactly: each member is described by what it lacks of its
 leader and has beyond it, two members can only be linked if they share enough of these differences,
 and differences that no other document has cannot be shared. The few pairs for which that leaves room
 are compared.
@@ -31,7 +30,7 @@ from strikelake.llm.words import Hasher, mix, shingles, spans
 BASE, RATE, TOP = 1.001, 20.0, 65535
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-ROUNDS = 2
+ROUNDS = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
