@@ -18,6 +18,7 @@ from strikelake.operators.facts import (
     null_counts,
     zero_counts,
 )
+from strikelake.operators.ranks import frequencies, order_statistics
 from strikelake.schemas import OPTION_REQUIRED, PRICE_REQUIRED
 
 # A side is covered when |delta| reaches from 0.2 to 0.8; share of days to pass.
@@ -110,6 +111,19 @@ def delta_coverage(df: DataFrame) -> DataFrame:
     )
 
 
+def strikes_per_quantile(df: DataFrame, shares: dict[str, tuple[int, int]]) -> DataFrame:
+    """Complete rows per day of each symbol: number of days, and the counts at shares of their order.
+
+    Days become counts of counts, which are few, so that no symbol's days are ever gathered.
+    """
+    complete = df.dropna(subset=["quote_date", "delta", "option_type"])
+    days = complete.groupBy(F.col("underlying_symbol").alias("symbol"), "quote_date").agg(
+        F.count("*").alias("rows_of_day")
+    )
+    found = order_statistics(frequencies(days, ["symbol"], "rows_of_day"), ["symbol"], "rows_of_day", shares)
+    return found.withColumnRenamed("n_values", "total_dates")
+
+
 def strikes_per_day(df: DataFrame) -> DataFrame:
     """Upper median of the complete rows per day; ``1`` and ``3`` give 3, not 2."""
     complete = df.dropna(subset=["quote_date", "delta", "option_type"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strikelake.operators import calendar
+from strikelake.operators import asof, calendar
 from workload import views
 from workload.registry import query
 
@@ -126,3 +126,18 @@ def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranged = calendar.date_range(lineitem, "l_shipdate", "1997-03-01", "1998-02-28")
     columns = views.KEYS.split(", ")
     return views.quotes_of(ranged).select(*columns, "bid", "ask", "last", "delta")
+
+
+@query(
+    "asof_forward",
+    f"""
+WITH {views.EXCHANGE_QUOTES}, {views.EXCHANGE_PRICES}
+SELECT {views.KEYS}, last, p.date AS settles
+FROM quotes q ASOF LEFT JOIN prices p ON p.symbol = q.underlying_symbol AND q.expiration <= p.date""",
+)
+def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first bar at or after each quote's expiration: as many candidates per symbol as it has quotes."""
+    quotes = views.exchange_quotes(spark, sf_dir)
+    candidates = quotes.select(*views.KEYS.split(", "), "last", F.col("underlying_symbol").alias("symbol"))
+    met = asof.next_date(candidates, views.exchange_prices(spark, sf_dir), "expiration", "settles")
+    return met.select(*views.KEYS.split(", "), "last", "settles")

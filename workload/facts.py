@@ -56,6 +56,29 @@ def strikes_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.strikes_per_day(views.listing_quotes(spark, sf_dir))
 
 
+SHARES = {"low": (1, 10), "median_strikes": (1, 2), "high": (9, 10), "most": (1, 1)}
+_AT_SHARES = ", ".join(
+    f"max(CASE WHEN place - 1 = least(n_days * {part} // {whole}, n_days - 1) THEN n END) AS {name}"
+    for name, (part, whole) in SHARES.items()
+)
+
+
+@query(
+    "strikes_per_quantile",
+    f"""
+WITH {views.LISTING_QUOTES},
+days AS (
+  SELECT underlying_symbol AS symbol, quote_date, count(*) AS n FROM quotes
+  WHERE quote_date IS NOT NULL AND delta IS NOT NULL AND option_type IS NOT NULL GROUP BY 1, 2),
+ranked AS (
+  SELECT symbol, n, row_number() OVER (PARTITION BY symbol ORDER BY n) AS place,
+    count(*) OVER (PARTITION BY symbol) AS n_days FROM days)
+SELECT symbol, max(n_days) AS total_dates, {_AT_SHARES} FROM ranked GROUP BY 1""",
+)
+def strikes_per_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.strikes_per_quantile(views.listing_quotes(spark, sf_dir), SHARES)
+
+
 @query(
     "options_duplicates",
     f"""
