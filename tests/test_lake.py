@@ -451,6 +451,8 @@ def test_foreign_symbol_files(spark, tmp_path):
     status = symbol_files.symbol_file_status(spark, str(tmp_path), "prices").collect()
     got = {r["symbol"]: (r["size_bytes"], r["row_count"], r["date_min"], r["date_max"]) for r in status}
     assert got["BAD"] == (18, 0, None, None)
+    problems = {r["symbol"]: r["problem"] for r in status}
+    assert "not a Parquet file" in problems["BAD"] and problems["SPY"] is None
     assert got["SPY"] == (os.path.getsize(folder / "SPY.parquet"), 2, d("2024-01-01"), d("2024-01-02"))
     pq.write_table(pa.table({"quote_date": ["2024-01-03"], "close": ["3.5"]}), folder / "TXT.parquet")
     pq.write_table(pa.table({"close": [4.0]}), folder / "NODATE.parquet")
@@ -463,6 +465,48 @@ def test_foreign_symbol_files(spark, tmp_path):
     assert sorted(r["symbol"] for r in listed.collect()) == ["BAD", "QQQ", "SPY"]
 
 
+def test_a_file_damaged_further_in_is_not_shortened(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "prices"
+    folder.mkdir()
+    n = 40_000
+    table = pa.table({"date": pa.array([d("2024-01-01")] * n), "close": pa.array([float(i * 7919 % n) for i in range(n)])})
+    pq.write_table(table, folder / "SPY.parquet", row_group_size=5000, compression="none", use_dictionary=False)
+    pq.write_table(table.slice(0, 10), folder / "QQQ.parquet")
+    footer = pq.ParquetFile(folder / "SPY.parquet").metadata
+    at = footer.row_group(6).column(1).data_page_offset
+    data = bytearray((folder / "SPY.parquet").read_bytes())
+    data[at : at + 40] = b"\xff" * 40
+    (folder / "SPY.parquet").write_bytes(bytes(data))
+    status = {r["symbol"]: r["row_count"] for r in symbol_files.symbol_file_status(spark, str(tmp_path), "prices").collect()}
+    assert status == {"SPY": n, "QQQ": 10}
+    with pytest.raises(Exception):
+        symbol_files.read_symbol_files(spark, str(tmp_path), "prices").agg(F.sum("close")).collect()
+
+
+def test_each_symbol_file_is_read_once(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "prices"
+    folder.mkdir()
+    for k, days in enumerate(([d("2024-01-01"), d("2024-01-05")], ["2024-02-01", "2024-02-03"], ["01 March 2024", None], [None, None])):
+        pq.write_table(pa.table({"date": days if k else pa.array(days), "close": [1.0, 2.0]}), folder / f"S{k}.parquet")
+    plan = symbol_files.read_symbol_files(spark, str(tmp_path), "prices")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == len({f.schema for f in symbol_files.footers(spark, str(tmp_path), "prices")})
+    status = symbol_files.symbol_file_status(spark, str(tmp_path), "prices")
+    got = {r["symbol"]: (r["row_count"], r["date_min"], r["date_max"]) for r in status.collect()}
+    assert got["S0"] == (2, d("2024-01-01"), d("2024-01-05")) and got["S1"] == (2, d("2024-02-01"), d("2024-02-03"))
+    assert got["S3"] == (2, None, None) and got["S2"][0] == 2
+    (folder / "S2.parquet").unlink()
+    (folder / "S3.parquet").unlink()
+    # All footers tell their dates: no file is scanned.
+    told = symbol_files.symbol_file_status(spark, str(tmp_path), "prices")
+    assert "FileScan" not in told._jdf.queryExecution().executedPlan().toString()
+
+
 def land(folder, name, *pages):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(json.dumps(p) for p in pages))
