@@ -191,14 +191,29 @@ def test_repeats_of_an_empty_table(spark):
         repeats.remove_repeats(docs, length=8)
 
 
-def test_toxic_features_do_not_depend_on_how_texts_are_grouped(monkeypatch):
+def test_toxic_scores_are_those_of_distinct_features():
     pairs = [(f"some quiet words {i}", 0) for i in range(30)] + [(f"you Foul beast {i}", 1) for i in range(30)]
     model = toxicity.fit(pairs)
     texts = ["", "a", "you FOUL beast", "quiet", "é" * 50, "yo", "u foul"] * 3
-    want = model.scores(texts)
-    monkeypatch.setattr(toxicity, "_PIECE", 5)
-    assert np.allclose(model.scores(texts), want)
-    assert want[2] > 0.5 > want[3]
+    got = model.scores(texts)
+    sums = [model.weight[toxicity.features(t)].sum() + model.bias for t in texts]
+    assert np.allclose(got, 1 / (1 + np.exp(-np.array(sums))), atol=1e-5)
+    assert np.allclose([model.scores([t])[0] for t in texts], got)
+    assert got[2] > 0.5 > got[3]
+
+
+def test_every_bucket_that_tells_something_has_a_weight():
+    """Each toxic text has a word of its own kind, far more kinds than any short list of features would hold."""
+    draw = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(draw.choices(letters, k=7))
+    plain, foul = [word() for _ in range(400)], [word() for _ in range(120)]
+    talk = lambda: " ".join(draw.choices(plain, k=30))
+    pairs = [(talk(), 0) for _ in range(600)] + [(f"{talk()} {foul[i % 120]} {talk()}", 1) for i in range(600)]
+    model = toxicity.fit(pairs)
+    held = [talk() for _ in range(100)] + [f"{talk()} {f} {talk()}" for f in foul]
+    found = model.scores(held) >= 0.5
+    assert found[100:].mean() > 0.95 and found[:100].mean() < 0.05
 
 
 def test_sha_of_kept_bytes_matches(spark):
