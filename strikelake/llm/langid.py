@@ -10,10 +10,10 @@ one number per language and n-gram bucket, whatever the corpus holds.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from strikelake.llm.shared import schema_with, slices, with_columns
@@ -23,7 +23,7 @@ ORDERS = (1, 2, 3)
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LOWER[:65] = 32  # digits, marks and white space up to '@' are one symbol
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 SHARPNESS = 12.0
 
 
@@ -59,7 +59,10 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     for _ in range(200):
         code = draw.choice(np.array([-1, 1], np.int8), (n, length))
         code[:, np.abs(code.sum(0)) == n] *= np.where(np.arange(n) % 2, -1, 1).astype(np.int8)[:, None]
-        near = min(int((code[a] != code[b]).sum()) for a, b in itertools.combinations(range(n), 2))
+        # Of two codewords of +1 and -1 the product is their length less twice what they differ in.
+        alike = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(alike, -length)
+        near = int(length - alike.max()) // 2
         if near > most:
             best, most = code, near
     return best
@@ -122,7 +125,9 @@ class Codes:
                 total[:, j] += np.bincount(rows, self.weights[:, j][hashed], n)
         margin = total / np.maximum(size, 1)[:, None]
         # Logistic loss of each bit of each codeword at the text's margins.
-        loss = np.log1p(np.exp(-SHARPNESS * margin[:, None, :] * self.code[None, :, :])) @ self.apart
+        # A bit is either +1 or -1, so both losses of each bit make up those of all codewords.
+        plus, minus = (np.log1p(np.exp(-SHARPNESS * sign * margin)) * self.apart for sign in (1, -1))
+        loss = plus @ (self.code.T > 0).astype(float) + minus @ (self.code.T < 0).astype(float)
         likely = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
         likely /= likely.sum(1, keepdims=True)
         best = likely.argmax(1)
