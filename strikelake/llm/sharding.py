@@ -1,9 +1,10 @@
 """Sharding: a uniform random order of all records, cut into shards of near equal row counts.
 
-Two passes. The first gives each record a bucket by a seeded hash and writes records and buckets to
-the shared folder, which fixes the draw for good. The second brings a bucket to one task, permutes it
-(Spark's ``shuffle`` is a Fisher-Yates shuffle with a seed) and reads off each record's place in the
-whole order: rows of earlier buckets plus its place in its own. A shard is a range of that order, so
+Two passes. The first numbers each record, gives it a bucket by a seeded hash and writes both to the
+shared folder, which fixes the draw for good. The second brings a bucket to one task in the order of those
+numbers, permutes it (Spark's ``shuffle`` is a Fisher-Yates shuffle with a seed, and starts anew in
+each task, whose buckets come in order) and reads off each record's place in the whole order: rows of
+earlier buckets plus its place in its own. A task that is run again so gives the same places. A shard is a range of that order, so
 a bucket's task writes straight into one or two shards. DataFrame functions only.
 """
 
@@ -31,11 +32,17 @@ def shuffle_shards(
     figures = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
     total, n_buckets = figures["n"], 1 + ((figures["b"] or 0) + 64 * figures["n"]) // bucket_bytes
     record = F.struct(*[F.col(f"`{c}`") for c in kept])
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(n_buckets))
-    scattered = store(docs.select(draw.alias("_bucket"), record.alias("_record")), "scatter")
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), record.alias("_record"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(n_buckets))
+    scattered = store(numbered.select("_row", draw.alias("_bucket"), "_record"), "scatter")
     sizes = scattered.groupBy("_bucket").agg(F.count("*").alias("_rows"))
     starts = prefix_sums(sizes, "_bucket", "_rows", "_first").select("_bucket", "_first")
-    piles = scattered.groupBy("_bucket").agg(F.shuffle(F.collect_list("_record"), seed).alias("_pile"))
+    # In the order of the numbers, in whatever order the blocks of the exchange arrive.
+    found = F.collect_list(F.struct("_row", "_record")).alias("_found")
+    place = F.sort_array(F.transform("_found", lambda x, i: F.struct(x["_row"].alias("row"), i.alias("i"))))
+    piles = scattered.groupBy("_bucket").agg(found).withColumn("_places", place).sortWithinPartitions("_bucket")
+    record_at = F.transform("_places", lambda p: F.get("_found", p["i"])["_record"])
+    piles = piles.withColumn("_pile", record_at).select("_bucket", F.shuffle("_pile", seed).alias("_pile"))
     # Whole numbers throughout, so that no shard is off by rounding.
     place = F.col("_first") + F.col("_at")
     shard = F.expr(f"(_first + _at) * {n_shards}L div {max(total, 1)}L")
