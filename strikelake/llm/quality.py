@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelake.llm.sample import labelled
 from strikelake.llm.shared import schema_with, slices, with_columns
@@ -180,3 +180,20 @@ def score(docs: DataFrame, model: Quality, *, text: str = "text") -> DataFrame:
             yield with_columns(batch, score=pa.array(np.concatenate([np.empty(0), *found])))
 
     return docs.mapInArrow(run, schema_with(docs, score="double"))
+
+
+def scorer(docs: DataFrame, model: Quality, *, text: str = "text") -> Column:
+    """The score as a column: only the text goes to Python, and only numbers come back.
+
+    Null, empty and whole texts count as in :func:`score`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(column: pa.Array) -> pa.Array:
+        hasher, found = Hasher(31), []
+        for _, data, offsets in slices(column):
+            bucket, shape, rows = terms(data, offsets, hasher)
+            found.append(shared.value.scores(shared.value.pooled(bucket, shape, rows, len(offsets) - 1)))
+        return pa.array(np.concatenate([np.empty(0), *found]))
+
+    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR)(F.col(f"`{text}`"))

@@ -140,6 +140,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         size.alias("n_removed"),
         F.size("span_lo").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (size > 0).alias("repeated"),
     )
 
 
