@@ -224,35 +224,6 @@ def _parts(batch: pa.RecordBatch, column: str, size: int):
         yield batch.slice(lo, len(offsets) - 1)
 
 
-def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cuts(t) for t in texts]
-        heads = {cs[0] for cs in cut}
-        fresh: set[str] = set()
-        for cs in cut:
-            fresh.update(cs[1:])
-        if len(self.inner) + len(fresh) > _MEMORY:
-            self.inner = {}
-        fresh.difference_update(self.inner)
-        firsts, rest = list(heads), list(fresh)
-        ids = self._learn(firsts + [" " + c for c in rest])
-        head_ids = dict(zip(firsts, ids[: len(firsts)], strict=True))
-        self.inner.update(zip(rest, ids[len(firsts) :], strict=True))
-        inner = self.inner.__getitem__
-        return [head_ids[cs[0]] + b"".join(map(inner, cs[1:])) for cs in cut]
-
-
-def _groups(texts: list[str], size: int = 24 << 20):
-    """Runs of texts of about ``size`` characters."""
-    lo, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= size:
-            yield texts[lo : i + 1]
-            lo, n = i + 1, 0
-    if lo < len(texts):
-        yield texts[lo:]
-
-
 def encode(docs: DataFrame, tokens: list[bytes], pattern: str, *, text: str = "text") -> DataFrame:
     """All rows with ``ids``: the text's token ids as little-endian unsigned 32-bit numbers.
 
