@@ -22,9 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier scores 0.7 or more, learned from all quality labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learn(docs, labels)
-    # The score travels next to the record, whatever columns that has.
-    record = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), "text")
-    return quality.score(record, model).filter(F.col("score") >= LEAST_QUALITY).select("record.*")
+    return docs.filter(quality.scorer(docs, model) >= LEAST_QUALITY)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
