@@ -241,7 +241,7 @@ def _difference_tokens(members: DataFrame, full: DataFrame, own: DataFrame) -> D
 
     def run(batches):
         for batch in batches:
-            at, tokens = [], []
+            at, tokens, places = [], [], []
             columns = [batch.column(c).to_pylist() for c in ("set", "lead_set", "alone", "prefix")]
             for i, (x, y, alone, n) in enumerate(zip(*columns, strict=True)):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
@@ -250,17 +250,16 @@ def _difference_tokens(members: DataFrame, full: DataFrame, own: DataFrame) -> D
                 found = np.concatenate([added, np.sort(np.setdiff1d(y, x, assume_unique=True))])[:n]
                 at.append(np.full(len(found), i))
                 tokens.append(found)
-            at = pa.array(np.concatenate([np.empty(0, np.int64), *at]))
+                places.append(np.arange(len(found)))
+            at, tokens, places = (pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (at, tokens, places))
             kept = [batch.column(c).take(at) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))], names=[*names, "token"]
-            )
+            yield pa.RecordBatch.from_arrays([*kept, tokens, places], names=[*names, "token", "place"])
 
-    names = ["rep", "lead", "n", "m", "comp", "e", "slack"]
+    names = ["rep", "lead", "n", "m", "comp", "s", "w", "e"]
     sets_ = full.select(F.col("rep").alias("lead"), F.col("set").alias("lead_set"))
     met = members.join(full, "rep").join(sets_, "lead").join(own.select("rep", "alone"), "rep", "left")
     return met.select(*names, "prefix", "set", "lead_set", "alone").mapInArrow(
-        run, ", ".join(f"{c} bigint" for c in [*names, "token"])
+        run, ", ".join(f"{c} bigint" for c in [*names, "token", "place"])
     )
 
 
@@ -275,8 +274,9 @@ def _last_pairs(led: DataFrame, full: DataFrame, own: DataFrame, percent: int) -
 
     As w is at least t c, an excess asks for c >= e, and of a linked member's partner, which has one,
     for (1 + t) c >= w + e. So of two linked documents' s differences each, in whatever common order, one
-    is among the first s - c + 1 of both: pairs meet there. Added ones stand first, since in a group of
-    copies it is what was taken out that many have in common.
+    is among the first s - c + 1 of both: pairs meet there, and only where enough differences can follow
+    if this is the first that they share. Added ones stand first, since in a group of copies it is what
+    was taken out that many have in common.
     """
     near = store(_against_leaders(led, full), "near-to-leaders")
     mine = (
@@ -304,9 +304,9 @@ def _last_pairs(led: DataFrame, full: DataFrame, own: DataFrame, percent: int) -
         .filter("prefix > 0")
     )
     tokens = store(_difference_tokens(kept, full, own), "near-tokens")
-    other = {c: f"{c}_b" for c in ("rep", "n", "m", "comp", "e", "slack")}
+    other = {c: f"{c}_b" for c in ("rep", "n", "m", "comp", "s", "w", "e", "place")}
     met = tokens.filter("e > 0").join(tokens.withColumnsRenamed(other), ["lead", "token"]).filter(
-        "comp <> comp_b AND slack_b >= e AND slack >= e_b"
+        f"comp <> comp_b AND {100 + percent} * least(s - place, s_b - place_b) >= w + e_b"
         f" AND 100 * least(m, m_b) >= {percent} * (n + n_b - least(m, m_b))"
     )
     return links, met.select(F.least("rep", "rep_b").alias("u"), F.greatest("rep", "rep_b").alias("v")).distinct()
@@ -342,10 +342,13 @@ def _classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
             buckets = buckets.drop("comp").join(named, "rep", "left")
             buckets = buckets.withColumn("comp", F.coalesce("root", "rep")).drop("root")
         led = _with_leaders(store(buckets, "near-buckets") if turn else buckets)
-        direct, pairs = (None, _leader_pairs(led)) if turn < ROUNDS else _last_pairs(led, full, own, percent)
-        likely = _likely(_joined(pairs, reps, "n", "regs"), percent)
-        found = _confirmed(_joined(likely, full, "set"), percent)
-        found = store(found if direct is None else found.unionByName(direct), "near-links")
+        if turn < ROUNDS:
+            likely = _likely(_joined(_leader_pairs(led), reps, "n", "regs"), percent)
+            found = _confirmed(_joined(likely, full, "set"), percent)
+        else:  # what the bounds leave is all but likely
+            direct, pairs = _last_pairs(led, full, own, percent)
+            found = _confirmed(_joined(pairs, full, "set"), percent).unionByName(direct)
+        found = store(found, "near-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = components(links)

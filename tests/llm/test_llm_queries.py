@@ -46,7 +46,7 @@ def test_held_out_languages(spark):
 
 def test_every_operator_has_a_query_over_all_rows(spark):
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     total = queries.documents(spark, SF).count()
     for name in ("op1_sharding", "op2_bpe", "op9_quality_rules"):
         assert queries.QUERIES[name](spark, SF).count() == total
