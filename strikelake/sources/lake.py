@@ -36,6 +36,17 @@ from strikelake.operators.merge import coerce, keep_last
 from strikelake.operators.symbols import is_valid_symbol, restrict_symbols
 from strikelake.schemas import OPTIONS, PRICES, Dataset, dataset, empty_table
 
+# Key columns of which a symbol's least and greatest value in each file is kept, beside its dates.
+ZONES = {"strike": T.DoubleType(), "expiration": T.DateType()}
+_FILE = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("date_min", T.DateType()),
+        T.StructField("date_max", T.DateType()),
+        *[T.StructField(f"{c}_{end}", kind) for c, kind in ZONES.items() for end in ("min", "max")],
+    ]
+)
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("bucket", T.IntegerType()),
@@ -49,6 +60,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("n_files", T.LongType()),
         T.StructField("size_bytes", T.LongType()),
         T.StructField("lacks", T.ArrayType(T.StringType())),
+        T.StructField("files", T.ArrayType(_FILE)),
     ]
 )
 _PART = ["bucket", "period"]
@@ -249,10 +261,12 @@ class Lake:
         return sorted(str(s.getPath()) for s in fs.globStatus(pattern) or [])
 
     def _note(self, ds: Dataset, version: int, lacks: DataFrame | Column) -> None:
-        """Write the manifest rows of a version; of its columns symbol and date are read.
+        """Write the manifest rows of a version; of its columns symbol, date, strike and expiration are read.
 
-        Files are counted first, so that a file's size is shared out among its symbols by rows.
+        Files are counted first, so that a file's size is shared out among its symbols by rows. Each symbol
+        keeps its ranges in each of its files, whose number goes with its rows.
         """
+        zones = {c: F.col(c) if c in ds.types else F.lit(None).cast(kind) for c, kind in ZONES.items()}
         written = self._read(ds, self._written(ds, version)).select(
             *_PART,
             "version",
@@ -260,12 +274,21 @@ class Lake:
             F.col(ds.date).alias("_date"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_size").alias("_size"),
+            *[value.alias(c) for c, value in zones.items()],
         )
         per_file = written.groupBy(*_PART, "version", "symbol", "_file", "_size").agg(
             F.count("*").alias("n"),
             F.min("_date").alias("lo"),
             F.max("_date").alias("hi"),
             F.count_if(F.col("_date").isNull()).alias("nulls"),
+            *[end(c).alias(f"{c}_{name}") for c in ZONES for name, end in (("min", F.min), ("max", F.max))],
+        )
+        of_file = F.struct(
+            F.regexp_extract("_file", "[^/]+$", 0).alias("name"),
+            F.col("n").alias("rows"),
+            F.col("lo").alias("date_min"),
+            F.col("hi").alias("date_max"),
+            *[f"{c}_{end}" for c in ZONES for end in ("min", "max")],
         )
         share = F.col("_size") * F.col("n") / F.sum("n").over(Window.partitionBy("_file"))
         rows = (
@@ -278,6 +301,7 @@ class Lake:
                 F.sum("nulls").alias("undated"),
                 F.count("*").alias("n_files"),
                 F.round(F.sum("share")).cast("bigint").alias("size_bytes"),
+                F.collect_list(of_file).alias("files"),
             )
         )
         if isinstance(lacks, Column):
@@ -359,6 +383,39 @@ class Lake:
         rows = restrict_symbols(rows, symbols, ds.symbol)
         return date_range(rows, ds.date, date_from, date_to).select(*ds.schema.names)
 
+    def lookup(self, name: str, symbol: str, snapshot: int | None = None, **ranges: tuple) -> DataFrame:
+        """One symbol's rows with key columns in ranges: ``lookup("options", "SPY", strike=(90, 110))``.
+
+        ``ranges`` names the date column, ``strike`` or ``expiration`` with the least and the greatest
+        value, either None where that end is open. The ranges that the symbol has in each file decide
+        which files are opened; all those columns are part of the key, so a newer row of a key is in none
+        of the others. Rows without a value in a column asked for are left out.
+        """
+        ds, state = dataset(name), self.state(name, snapshot)
+        known = {ds.date, *(c for c in ZONES if c in ds.types)}
+        if not known.issuperset(ranges):
+            raise ValueError(f"no ranges of {sorted(set(ranges) - known)} are kept")
+        own = self._manifest(ds, state).filter(F.col("symbol") == symbol.upper())
+        files = own.select(*_PART, "version", F.explode("files").alias("f")).select(*_PART, "version", "f.*")
+        wanted = F.col(ds.symbol) == symbol.upper()
+        for column, (low, high) in ranges.items():
+            zone, kind = "date" if column == ds.date else column, ds.types[column]
+            wanted &= F.col(column).isNotNull()
+            if low is not None:
+                files = files.filter(F.col(f"{zone}_max") >= F.lit(low).cast(kind))
+                wanted &= F.col(column) >= F.lit(low).cast(kind)
+            if high is not None:
+                files = files.filter(F.col(f"{zone}_min") <= F.lit(high).cast(kind))
+                wanted &= F.col(column) <= F.lit(high).cast(kind)
+        found = sorted(files.select(*_PART, "version", "name").collect())
+        if not found:
+            return empty_table(self.spark, ds.schema)
+        rows = self._read(ds, [f"{self._path(ds, *r[:3])}/{r[3]}" for r in found]).filter(wanted)
+        if len({r[2] for r in found}) > 1:
+            rank = F.create_map(*[x for i, v in enumerate(state.order) for x in (F.lit(v).cast("bigint"), F.lit(i))])
+            rows = keep_last(rows.withColumn(_RANK, F.element_at(rank, F.col("version"))), (ds.symbol, *ds.keys), [_RANK])
+        return rows.select(*ds.schema.names)
+
     def symbols(self, name: str) -> DataFrame:
         """Stored symbols in order, from the manifest alone."""
         return self.manifest(name).select("symbol").distinct().orderBy("symbol")

@@ -161,6 +161,31 @@ def files_of(lake, name, version):
     return [os.path.join(d, f) for d, _, fs in os.walk(base) for f in fs if f.endswith(".parquet")]
 
 
+def test_lookup_opens_the_files_that_may_match(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path), part="year")
+    for k, strikes in enumerate(([1.0, 2.0], [50.0, 60.0], [2.0, 55.0])):
+        rows = [quote("A", f"2024-01-{10 + i:02}", strike=s, bid=float(10 * k + i)) for i, s in enumerate(strikes)]
+        lake.upsert_options(quotes(spark, [*rows, quote("A", "2024-02-01", strike=None, bid=0.0), quote("B", "2024-01-10", strike=1.0)]), ["seq"])
+
+    def found(**ranges):
+        rows = lake.lookup("options", "a", **ranges)
+        return {(str(r["quote_date"]), r["strike"], r["bid"]) for r in rows.collect()}, len(rows.inputFiles())
+
+    assert found(strike=(1.0, 1.5)) == ({("2024-01-10", 1.0, 0.0)}, 1)
+    assert found(strike=(None, 10.0))[0] == {("2024-01-10", 1.0, 0.0), ("2024-01-11", 2.0, 1.0), ("2024-01-10", 2.0, 20.0)}
+    assert found(strike=(51.0, None), quote_date=("2024-01-11", "2024-01-11"))[0] == {("2024-01-11", 60.0, 11.0), ("2024-01-11", 55.0, 21.0)}
+    assert found(strike=(100.0, None)) == (set(), 0) and found(expiration=("2025-01-01", None)) == (set(), 0)
+    # A key stored again counts once, in its newest form.
+    lake.upsert_options(quotes(spark, [quote("A", "2024-01-10", strike=1.0, bid=99.0)]), ["seq"])
+    assert found(strike=(1.0, 1.5)) == ({("2024-01-10", 1.0, 99.0)}, 2)
+    lake.compact("options")
+    assert found(strike=(1.0, 1.5))[0] == {("2024-01-10", 1.0, 99.0)}
+    lake.write_prices(prices(spark, [bar("A", "2024-01-01"), bar("A", "2024-01-02")]))
+    assert lake.lookup("prices", "A", date=("2024-01-02", None)).count() == 1
+    with pytest.raises(ValueError):
+        lake.lookup("options", "A", bid=(1, 2))
+
+
 def test_a_load_costs_nothing_of_the_history(spark, tmp_path):
     """Bytes of a one-day load do not depend on what is stored, and the stored rows are not even read."""
     sizes = []

@@ -97,3 +97,28 @@ def batch_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake.write_prices(shipment_prices(spark, sf_dir), batch=("orders", 0))
     found = lake.status().select("symbol", "row_count", "date_min", "date_max")
     return found.withColumn("snapshots", F.lit(len(lake.snapshots("prices"))))
+
+
+_RANGES = {"quote_date": ("1995-01-01", "1995-03-31"), "strike": (10.0, 20.0), "expiration": ("1995-02-01", None)}
+
+
+@query(
+    "lookup_quotes",
+    f"""
+WITH {views.EXCHANGE_QUOTES}, loads AS (
+  SELECT *, 0 AS source FROM quotes WHERE l_linenumber < 4
+  UNION ALL SELECT *, 1 FROM quotes WHERE l_linenumber >= 4),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {views.KEYS} ORDER BY source DESC, {views.ARRIVAL_DESC}) AS recency
+  FROM loads)
+SELECT {", ".join(_OUT)} FROM ranked WHERE recency = 1 AND underlying_symbol = 'F'
+  AND quote_date BETWEEN DATE '1995-01-01' AND DATE '1995-03-31' AND strike BETWEEN 10 AND 20
+  AND expiration >= DATE '1995-02-01'""",
+)
+def lookup_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of one symbol in ranges of date, strike and expiration, from the files that may hold them."""
+    lake = views.scratch_lake(spark, "lookup")
+    quotes = views.exchange_quotes(spark, sf_dir)
+    lake.upsert_options(quotes.filter("l_linenumber < 4"), views.ARRIVAL)
+    lake.upsert_options(quotes.filter("l_linenumber >= 4"), views.ARRIVAL)
+    return lake.lookup("options", "F", **_RANGES).select(*_OUT)
