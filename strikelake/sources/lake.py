@@ -26,7 +26,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
@@ -63,6 +63,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("files", T.ArrayType(_FILE)),
     ]
 )
+_WIDER = {"int": ("bigint", "double"), "float": ("double",)}
 _PART = ["bucket", "period"]
 _PARTS_DDL = "bucket int, period int, version bigint"
 _ARRIVAL, _REASON, _RANK = "_arrival", "reason", "_rank"
@@ -82,6 +83,20 @@ class State:
     manifests: tuple[str, ...] = ()
     order: tuple[int, ...] = ()
     batches: dict[str, int] = field(default_factory=dict)
+    columns: dict[str, str] = field(default_factory=dict)
+
+    def record(self) -> str:
+        """The text of its log file."""
+        return json.dumps(
+            {"manifests": self.manifests, "order": self.order, "batches": self.batches, "columns": self.columns}
+        )
+
+    def table(self, ds: Dataset) -> Dataset:
+        """The dataset with the columns that have become part of it, ahead of ``extras``."""
+        own = [T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in self.columns.items()]
+        rest = [f for f in ds.schema if f.name not in self.columns]
+        at = len(rest) - (rest[-1].name == "extras")
+        return replace(ds, schema=T.StructType([*rest[:at], *own, *rest[at:]]))
 
     def holds(self, batch: tuple[str, int] | None) -> bool:
         return batch is not None and self.batches.get(batch[0], -1) >= batch[1]
@@ -201,7 +216,7 @@ class Lake:
         if number not in known:
             raise ValueError(f"no snapshot {number} of {name}")
         found = json.loads(self.read_text(self._dir(ds, "log", f"snapshot={number}")))
-        return State(number, tuple(found["manifests"]), tuple(found["order"]), found["batches"])
+        return State(number, tuple(found["manifests"]), tuple(found["order"]), found["batches"], found["columns"])
 
     def manifest(self, name: str, snapshot: int | None = None) -> DataFrame:
         """Symbols of the live versions of a dataset's parts; empty before the first write."""
@@ -251,8 +266,8 @@ class Lake:
                 order = tuple(v for v in (*head.order[:place], version, *head.order[place:]) if v in alive or v == version)
                 manifests = (kept, own)
             batches = head.batches if batch is None else {**head.batches, batch[0]: batch[1]}
-            record = {"manifests": manifests, "order": order, "batches": batches}
-            if self._claim(self._dir(ds, "log", f"snapshot={attempt}"), json.dumps(record)):
+            following = replace(head, manifests=manifests, order=order, batches=batches)
+            if self._claim(self._dir(ds, "log", f"snapshot={attempt}"), following.record()):
                 return
 
     def _written(self, ds: Dataset, version: int) -> list[str]:
@@ -318,11 +333,18 @@ class Lake:
             T.StructField("bucket", T.IntegerType()),
             T.StructField("period", T.IntegerType()),
         ]
-        return (
+        rows = (
             self.spark.read.schema(T.StructType([*ds.schema.fields, *partitions]))
             .option("basePath", self._dir(ds, "data"))
             .parquet(*paths)
         )
+        taken = [c for c in ds.schema.names if c not in dataset(ds.name).types]
+        if not taken:
+            return rows
+        # What older loads have of a column that became part of the table is in their extras.
+        told = {c: F.coalesce(F.col(c), F.try_element_at("extras", F.lit(c)).try_cast(ds.types[c])) for c in taken}
+        left = F.map_filter("extras", lambda k, _: ~k.isin(*taken))
+        return rows.withColumns({**told, "extras": F.when(F.size(left) > 0, left)})
 
     def _path(self, ds: Dataset, bucket: int, period: int, version: int) -> str:
         return self._dir(ds, "data", f"version={version}", f"bucket={bucket}", f"period={period}")
@@ -371,7 +393,8 @@ class Lake:
         their files, which are sorted by symbol and date. Rows move only in parts where loads with
         days in common have not been compacted.
         """
-        ds, state = dataset(name), self.state(name, snapshot)
+        state = self.state(name, snapshot)
+        ds = state.table(dataset(name))
         parts = restrict_symbols(self._manifest(ds, state), symbols)
         if date_from is not None:
             parts = parts.filter(F.col("date_max") >= F.lit(date_from).cast("date"))
@@ -391,7 +414,8 @@ class Lake:
         which files are opened; all those columns are part of the key, so a newer row of a key is in none
         of the others. Rows without a value in a column asked for are left out.
         """
-        ds, state = dataset(name), self.state(name, snapshot)
+        state = self.state(name, snapshot)
+        ds = state.table(dataset(name))
         known = {ds.date, *(c for c in ZONES if c in ds.types)}
         if not known.issuperset(ranges):
             raise ValueError(f"no ranges of {sorted(set(ranges) - known)} are kept")
@@ -491,8 +515,9 @@ class Lake:
 
     def part_rows(self, name: str, parts: dict, snapshot: int | None = None) -> DataFrame:
         """The rows of parts as ``changed_parts`` gives them, with ``bucket`` and ``period``."""
-        ds = dataset(name)
-        rows = self._rows(ds, self.state(name, snapshot), parts)
+        state = self.state(name, snapshot)
+        ds = state.table(dataset(name))
+        rows = self._rows(ds, state, parts)
         schema = T.StructType([*ds.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("period", T.IntegerType())])
         return empty_table(self.spark, schema) if rows is None else rows.select(*schema.names)
 
@@ -502,12 +527,14 @@ class Lake:
         A changed row has its new values, a removed one its last. Only parts whose versions differ are
         read; their rows meet by key in one exchange. ``since`` 0 is the empty lake.
         """
-        ds = dataset(name)
+        ds = self.state(name, until).table(dataset(name))
         old, new = self.changed_parts(name, since, until)
         keys = [ds.symbol, *ds.keys]
         sides = []
         for parts, at, side in ((old, since, "old"), (new, until, "new")):
-            rows = self.part_rows(name, parts, at).select(*ds.schema.names)
+            # Both sides with the columns of the later one.
+            rows = self._rows(ds, self.state(name, at), parts)
+            rows = empty_table(self.spark, ds.schema) if rows is None else rows.select(*ds.schema.names)
             if "extras" in ds.types:
                 rows = rows.withColumn("extras", F.array_sort(F.map_entries("extras")))
             row = F.struct(*[F.col(c) for c in rows.columns])
@@ -605,6 +632,7 @@ class Lake:
         staged: bool = False,
     ) -> None:
         state = self.state(ds.name)
+        ds = state.table(ds)
         if state.holds(batch):
             return
         version = self._take_version(ds)
@@ -633,8 +661,32 @@ class Lake:
             head = self.state(ds.name)
             if head.holds(batch):
                 return
-            record = {"manifests": head.manifests, "order": head.order, "batches": {**head.batches, batch[0]: batch[1]}}
-            if self._claim(self._dir(ds, "log", f"snapshot={head.number + 1}"), json.dumps(record)):
+            following = replace(head, batches={**head.batches, batch[0]: batch[1]})
+            if self._claim(self._dir(ds, "log", f"snapshot={head.number + 1}"), following.record()):
+                return
+
+    def promote(self, name: str, column: str, kind: str) -> None:
+        """Make a key of ``extras`` a column of the table: ``promote("options", "venue", "string")``.
+
+        Loads from then on store the column as such; rows from before give it from their extras, where
+        text that does not fit the type is null. A column can be widened later: int to bigint or double,
+        float to double. Only the log changes. Purely textual extras of the same name go into the column.
+        """
+        ds = dataset(name)
+        wanted = T.DataType.fromDDL(kind).simpleString()
+        if "extras" not in ds.types or column in ds.types:
+            raise ValueError(f"{name} cannot take up a column {column!r}")
+        if wanted not in ("string", "date", "boolean", "int", "bigint", "float", "double"):
+            raise ValueError(f"{column!r} cannot be {kind}")
+        while True:
+            head = self.state(name)
+            had = head.columns.get(column)
+            if had == wanted:
+                return
+            if had is not None and wanted not in _WIDER.get(had, ()):
+                raise ValueError(f"{column!r} is {had} and cannot become {wanted}")
+            following = replace(head, columns={**head.columns, column: wanted})
+            if self._claim(self._dir(ds, "log", f"snapshot={head.number + 1}"), following.record()):
                 return
 
     def _rewrite(
@@ -653,6 +705,7 @@ class Lake:
         """
         while True:
             read = self.state(ds.name)
+            ds = read.table(dataset(ds.name))
             if read.holds(batch):
                 return
             live = self._manifest(ds, read)
@@ -673,6 +726,7 @@ class Lake:
             lacks = told.groupBy(*_PART, "symbol").agg(common.alias("lacks"))
             if added is not None:
                 lacks = lacks.unionByName(brought)
+                added = added.withColumns({c: F.lit(None).cast(ds.types[c]) for c in ds.schema.names if c not in added.columns})
                 rows = added if rows is None else rows.select(*added.columns).unionByName(added)
             version = self._take_version(ds)
             total = sum(r[0] or 0 for r in own.agg(F.sum("row_count")).collect())

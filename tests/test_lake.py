@@ -354,6 +354,38 @@ def test_columns_the_table_lacks_are_kept(spark, tmp_path):
     assert "gamma" in missing["B"]
 
 
+def test_a_key_of_extras_becomes_a_column(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    load = lambda rows, **more: lake.upsert_options(quotes(spark, rows).withColumns({k: F.lit(v) for k, v in more.items()}), ["seq"])
+    load([quote("A"), quote("B")], lot="7", venue="x")
+    load([quote("C")], lot="no number")
+    assert "lot" not in lake.scan("options").columns
+    lake.promote("options", "lot", "int")
+    lake.promote("options", "lot", "int")
+    load([quote("D")], lot=8, venue="y")
+    load([quote("A", bid=5.0)])
+    got = {r["underlying_symbol"]: (r["lot"], r["extras"]) for r in lake.scan("options").collect()}
+    assert got == {"A": (None, None), "B": (7, {"venue": "x"}), "C": (None, None), "D": (8, {"venue": "y"})}
+    # Snapshots from before have it where it was; a wider type reads what a narrower one stored.
+    assert lake.scan("options", snapshot=2).columns == OPTIONS_SCHEMA.names
+    lake.promote("options", "lot", "bigint")
+    load([quote("E")], lot=2**40)
+    lots = lambda: {r["underlying_symbol"]: r["lot"] for r in lake.scan("options").collect()}
+    want = {"A": None, "B": 7, "C": None, "D": 8, "E": 2**40}
+    assert lots() == want
+    lake.compact("options")
+    assert lots() == want
+    told = lake.changes("options", 3).filter("change = 'inserted'").collect()
+    assert {(r["underlying_symbol"], r["lot"]) for r in told} == {("D", 8), ("E", 2**40)}
+    lake.purge(spark.createDataFrame([("E", "options")], "symbol string, dataset string"))
+    assert lots() == {k: v for k, v in want.items() if k != "E"}
+    for column, kind in (("lot", "int"), ("strike", "double"), ("other", "array<int>")):
+        with pytest.raises(ValueError):
+            lake.promote("options", column, kind)
+    with pytest.raises(ValueError):
+        lake.promote("prices", "lot", "int")
+
+
 def test_rows_that_the_order_does_not_tell_apart(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     lake.upsert_options(quotes(spark, [quote(seq=None, bid=float(i)) for i in range(3)]), ["seq"])

@@ -122,3 +122,25 @@ def lookup_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake.upsert_options(quotes.filter("l_linenumber < 4"), views.ARRIVAL)
     lake.upsert_options(quotes.filter("l_linenumber >= 4"), views.ARRIVAL)
     return lake.lookup("options", "F", **_RANGES).select(*_OUT)
+
+
+@query(
+    "schema_promoted",
+    f"""
+WITH {views.EXCHANGE_QUOTES}, loads AS (
+  SELECT *, 0 AS source FROM quotes WHERE l_linenumber < 4
+  UNION ALL SELECT *, 1 FROM quotes WHERE l_linenumber >= 4),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {views.KEYS} ORDER BY source DESC, {views.ARRIVAL_DESC}) AS recency
+  FROM loads)
+SELECT {views.KEYS}, CAST(l_suppkey AS BIGINT) AS supplier, CAST(l_partkey AS VARCHAR) AS part FROM ranked WHERE recency = 1""",
+)
+def schema_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that the table lacked becomes part of it between two loads, and is widened."""
+    lake = views.scratch_lake(spark, "promoted")
+    quotes = views.exchange_quotes(spark, sf_dir).withColumns({"supplier": F.col("l_suppkey"), "part": F.col("l_partkey")})
+    lake.upsert_options(quotes.filter("l_linenumber < 4"), views.ARRIVAL)
+    lake.promote("options", "supplier", "int")
+    lake.upsert_options(quotes.filter("l_linenumber >= 4"), views.ARRIVAL)
+    lake.promote("options", "supplier", "bigint")
+    return lake.scan("options").select(*views.KEYS.split(", "), "supplier", F.col("extras")["part"].alias("part"))
