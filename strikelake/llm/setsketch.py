@@ -351,14 +351,14 @@ def _classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         found = store(found, "near-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            roots = components(links)
-    if roots is None:
+            if turn < ROUNDS:  # a root here only tells which pairs need no comparison
+                roots = components(links, rounds=1)
+    if links is None:
         return sketches, reps.select("set_a", "set_b", "first")
-    named = roots.select(F.col("node").alias("rep"), "root")
-    placed = store(
+    named = components(links).select(F.col("node").alias("rep"), "root")
+    placed = (
         reps.select("rep", "set_a", "set_b", "first").join(named, "rep", "left")
-        .select("set_a", "set_b", "first", F.coalesce("root", "rep").alias("comp")),
-        "near-placed",
+        .select("set_a", "set_b", "first", F.coalesce("root", "rep").alias("comp"))
     )
     firsts = store(placed.groupBy("comp").agg(F.min("first").alias("first")), "near-firsts")
     return sketches, store(placed.drop("first").join(firsts, "comp").select("set_a", "set_b", "first"), "near-first")
