@@ -40,12 +40,17 @@ def test_query_equals_its_sql(spark, con, name):
     assert compare(spark, con, SF, name).startswith("equal")
 
 
-@pytest.mark.parametrize("name", ["options_upsert", "stream_prices"])
+@pytest.mark.parametrize("name", ["prices_overwrite", "purge_options", "stream_prices"])
 def test_reads_of_a_lake_move_no_rows(spark, name):
     plan = plan_of(spark, name)
     assert "FileScan parquet" in plan and "Exchange" not in plan and "Join" not in plan
 
 
+def test_loads_of_the_same_days_move_once_when_read(spark):
+    plan = plan_of(spark, "options_upsert")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "WindowGroupLimit" in plan
+
+
 def plan_of(spark, name):
     return contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
