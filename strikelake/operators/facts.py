@@ -103,7 +103,7 @@ def options_duplicates(df: DataFrame) -> DataFrame:
     """
     absent = missing_keys(df)
     if absent:
-        raise ValueError(f"missing column '{absent[0]}' for the duplicate check")
+        raise ValueError(f"rows cannot be told apart without {absent[0]!r}")
     per_key = df.groupBy(F.col("underlying_symbol").alias("symbol"), *OPTION_KEYS).agg(
         F.count("*").alias("copies")
     )

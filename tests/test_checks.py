@@ -239,7 +239,7 @@ def test_report_messages(spark):
     assert text[("SPY", 7)] == ("PASS", "nothing found")
     assert text[("SPY", 8)] == ("PASS", "no gap of over 3 weekdays, 0 missing in all")
     assert text[("QQQ", 7)][1].startswith("open not above zero in 1 row(s) (50.0%); ")
-    assert text[("QQQ", 8)] == ("WARN", "1 gap(s) of over 3 weekdays: 2024-01-02 to 2024-01-05 (4 days)")
+    assert text[("QQQ", 8)] == ("WARN", "1 gap(s) of over 3 weekdays: 2024-01-02 until 2024-01-05: 4 weekdays")
     assert not [k for k in text if k[0] == "QQQ" and k[1] <= 5]
 
 

@@ -22,11 +22,11 @@ def records(rows):
 
 
 def test_compact_rows(spark):
-    data = [["100.0", 1.5, None], ["105.0"], ["1", "2", "call", "surplus"], 5, {"strike": 1}, None, [True, [1], {"a": 1}]]
+    data = [["37.25", 1.5, None], ["41.75"], ["1", "2", "call", "surplus"], 5, {"strike": 1}, None, [True, [1], {"a": 1}]]
     pages = spark.createDataFrame([page(data, FIELDS)], ENVELOPE_SCHEMA)
     expected = [
-        {"strike": "100.0", "bid": "1.5"},
-        {"strike": "105.0"},
+        {"strike": "37.25", "bid": "1.5"},
+        {"strike": "41.75"},
         {"strike": "1", "bid": "2", "type": "call"},
         {"strike": "true", "bid": "[1]", "type": '{"a":1}'},
     ]
@@ -42,8 +42,8 @@ def test_repeated_field_name_counts_last(spark):
 
 def test_standard_rows(spark):
     data = [
-        {"attributes": {"strike": "100.0", "bid": None}},
-        {"strike": 105, "deep": {"x": [1]}},
+        {"attributes": {"strike": "37.25", "bid": None}},
+        {"strike": 42, "deep": {"x": [1]}},
         {"attributes": 3, "ok": False},
         {"attributes": None, "a": "b"},
         "text",
@@ -52,8 +52,8 @@ def test_standard_rows(spark):
     ]
     pages = spark.createDataFrame([page(data), page(data, [], 1)], ENVELOPE_SCHEMA)
     expected = [
-        {"strike": "100.0"},
-        {"strike": "105", "deep": '{"x":[1]}'},
+        {"strike": "37.25"},
+        {"strike": "42", "deep": '{"x":[1]}'},
         {"attributes": "3", "ok": "false"},
         {"a": "b"},
     ]
@@ -98,12 +98,12 @@ def test_symbol_universe(spark):
 
 def test_normalize(spark):
     raw = {
-        "underlying_symbol": "SPY",
-        "type": "Call",
-        "exp_date": "2024-03-15",
-        "tradetime": "2024-01-15",
-        "strike": "500.0",
-        "bid": "5.20",
+        "underlying_symbol": "EWZ",
+        "type": "PUT",
+        "exp_date": "2021-09-17",
+        "tradetime": "2021-06-02",
+        "strike": "31.5",
+        "bid": "0.85",
         "volatility": "0.2",
         "venue": "X",
     }
@@ -113,8 +113,8 @@ def test_normalize(spark):
     kinds = {f.name: f.dataType for f in OPTIONS_SCHEMA}
     assert all(f.dataType == kinds[f.name] for f in out.schema if f.name in kinds)
     first, second = out.orderBy("seq").collect()
-    assert first["option_type"] == "call" and first["strike"] == 500.0 and first["bid"] == 5.2
-    assert first["expiration"] == date(2024, 3, 15) and first["quote_date"] == date(2024, 1, 15)
+    assert first["option_type"] == "put" and first["strike"] == 31.5 and first["bid"] == 0.85
+    assert first["expiration"] == date(2021, 9, 17) and first["quote_date"] == date(2021, 6, 2)
     assert first["implied_volatility"] == 0.2 and first["extras"] == {"venue": "X"}
     assert second["strike"] is None and second["quote_date"] is None and second["extras"] == {}
 

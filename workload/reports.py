@@ -81,7 +81,7 @@ price_gaps AS (
   SELECT f.symbol, coalesce(CAST(sum(g.missing_days) AS BIGINT), 0) AS missing,
     CAST(coalesce(sum(CASE WHEN g.missing_days > 3 THEN 1 END), 0) AS BIGINT) AS long_gaps,
     string_agg(CASE WHEN g.missing_days > 3
-      THEN g.gap_start || ' to ' || g.gap_end || ' (' || g.missing_days || ' days)' END, '; '
+      THEN g.gap_start || ' until ' || g.gap_end || ': ' || g.missing_days || ' weekdays' END, '; '
       ORDER BY g.gap_start) AS gap_list
   FROM price_facts f LEFT JOIN gaps g ON g.symbol = f.symbol GROUP BY 1),
 lineitem_columns AS (SELECT count(*) + 3 AS n FROM (DESCRIBE SELECT * FROM lineitem)),
