@@ -19,7 +19,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test ta
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_against_its_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.SQL[name])
     columns = sorted(d[0] for d in want.description)
