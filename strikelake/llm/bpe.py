@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strikelake.llm.shared import schema_with, slices, with_columns
+from strikelake.llm.shared import give_back, schema_with, slices, with_columns
 
 _MEMORY = 150_000  # distinct words whose ids a task remembers; a speed-up, results don't depend on it
 
@@ -240,6 +240,9 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, *, text: str = "t
             for part in _parts(batch, text, 6 << 20):
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 yield with_columns(part, ids=pa.array(encoder.encode(texts), pa.binary()))
+                del texts
+        del encoder
+        give_back()
 
     return docs.mapInArrow(run, schema_with(docs, ids="binary"))
 
@@ -257,5 +260,6 @@ def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
                     for x in part.column("ids").to_pylist()
                 ]
                 yield with_columns(part, decoded=pa.array(texts, pa.binary()))
+        give_back()
 
     return encoded.mapInArrow(run, schema_with(encoded, decoded="binary"))

@@ -196,4 +196,4 @@ def scorer(docs: DataFrame, model: Quality, *, text: str = "text") -> Column:
             found.append(shared.value.scores(shared.value.pooled(bucket, shape, rows, len(offsets) - 1)))
         return pa.array(np.concatenate([np.empty(0), *found]))
 
-    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR)(F.col(f"`{text}`"))
+    return F.arrow_udf(run, "double")(F.col(f"`{text}`"))
