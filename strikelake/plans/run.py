@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelake.operators.symbols import is_valid_symbol
 from strikelake.plans.loads import load_report
-from strikelake.sources.envelope import page_rows, unreadable_pages
+from strikelake.sources.envelope import is_unreadable, page_rows
 from strikelake.sources.lake import Lake
 from strikelake.sources.quotes import prices_from_quotes, quote_errors
 from strikelake.streaming.ingest import ARRIVAL, identified_quotes, quotes_of
@@ -65,12 +65,9 @@ def load_pages(
     lake.upsert_options(options.drop("symbol"), ARRIVAL, staged=True)
     lake.write_prices(prices_from_quotes(quotes), ARRIVAL, price_mode, staged=True)
 
-    broken = unreadable_pages(pages).groupBy("dataset", "symbol").agg(F.count("*").alias("n_broken"))
-    asked = pages.select("dataset", "symbol").distinct()
-    asked = asked.join(broken, _same(asked, broken, "dataset", "symbol"), "left").select(asked["*"], "n_broken")
-    warning = _texts_when(
-        F.col("n_broken").isNotNull(), F.format_string("%d page(s) are no JSON", "n_broken")
-    ).alias("warnings")
+    # One pass over the pages tells which loads were asked for and what of them cannot be read.
+    asked = pages.groupBy("dataset", "symbol").agg(F.count_if(is_unreadable()).alias("n_broken"))
+    warning = _texts_when(F.col("n_broken") > 0, F.format_string("%d page(s) are no JSON", "n_broken")).alias("warnings")
     refused = _texts_when(
         F.col("rejected_rows") > 0, F.format_string("%d row(s) have no usable symbol", "rejected_rows")
     )
