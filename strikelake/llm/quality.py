@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelake.llm.sample import labelled
-from strikelake.llm.shared import schema_with, slices, with_columns
+from strikelake.llm.shared import give_back, schema_with, slices, with_columns
 from strikelake.llm.words import Hasher, spans
 
 WORDS, DIMS, ONES, HIDDEN = 1 << 14, 64, 4, 32
@@ -194,6 +194,8 @@ def scorer(docs: DataFrame, model: Quality, *, text: str = "text") -> Column:
         for _, data, offsets in slices(column):
             bucket, shape, rows = terms(data, offsets, hasher)
             found.append(shared.value.scores(shared.value.pooled(bucket, shape, rows, len(offsets) - 1)))
+            del data, offsets, bucket, shape, rows
+        give_back()
         return pa.array(np.concatenate([np.empty(0), *found]))
 
     return F.arrow_udf(run, "double")(F.col(f"`{text}`"))

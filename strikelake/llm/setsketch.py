@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strikelake.llm.components import components
-from strikelake.llm.shared import slices, store
+from strikelake.llm.shared import give_back, slices, store
 from strikelake.llm.words import Hasher, mix, shingles, spans
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -111,6 +111,8 @@ def _sketches(rows: DataFrame, k: int) -> DataFrame:
                     ],
                     names=["_row", "_id", "n", "set_a", "set_b", "regs", "bands"],
                 )
+            del batch
+        give_back()
 
     ident = rows.schema["_id"].dataType.simpleString()
     return rows.select("_row", "_id", "_text").mapInArrow(
@@ -126,6 +128,8 @@ def _full_sets(rows: DataFrame, k: int) -> DataFrame:
                     [batch.column("_row").slice(lo, len(found)), pa.array([s.tobytes() for s in found], pa.binary())],
                     names=["_row", "set"],
                 )
+            del batch
+        give_back()
 
     return rows.select("_row", "_text").mapInArrow(run, "_row bigint, set binary")
 
