@@ -26,7 +26,12 @@ def _elements(data: Column, element: str) -> Column:
     Parsing happens inside the array, ahead of the explode: what comes out of an explode is a
     plain column, so a later use of a record can never parse its text again.
     """
-    return F.transform(F.from_json(data, _STRINGS), lambda text: F.from_json(text, element))
+    return F.transform(F.from_json(data, _STRINGS), lambda text: _parsed(text, element))
+
+
+def _parsed(text: Column, element: str) -> Column:
+    """The array or object in a text, else null. What lacks its bracket is neither: no parser is set up for it."""
+    return F.when(text.contains("[" if element == _STRINGS else "{"), F.from_json(text, element))
 
 
 def _drop_nulls(record: Column) -> Column:
@@ -48,22 +53,33 @@ def _names(fields: Column) -> Column:
     return F.when(differ, fields).otherwise(last_only)
 
 
-def _compact_record(names: Column, cells: Column) -> Column:
-    """Zip one row with the names. Short rows leave names out, surplus cells are ignored."""
+def _all_named(names: Column) -> Column:
+    """Whether every position has a name: a name without its position is null, which is no key."""
+    return F.size(F.array_compact(names)) == F.size(names)
+
+
+def _compact_record(names: Column, all_named: Column, cells: Column) -> Column:
+    """Zip one row with the names. Short rows leave names out, surplus cells are ignored.
+
+    A row with a cell for every name, none of them null, is a map as it stands.
+    """
     length = F.least(F.size(names), F.size(cells))
     plain = F.map_from_arrays(F.slice(names, 1, length), F.slice(cells, 1, length))
     picked = F.filter(
         F.arrays_zip(names.alias("key"), cells.alias("value")),
         lambda p: p["key"].isNotNull() & p["value"].isNotNull(),
     )
-    # A name without its position is null, which is no key.
-    named = F.size(F.array_compact(names)) == F.size(names)
-    return F.when(named, _drop_nulls(plain)).otherwise(F.map_from_entries(picked))
+    full = all_named & (F.size(names) == F.size(cells)) & ~F.exists(cells, lambda c: c.isNull())
+    return (
+        F.when(full, F.map_from_arrays(names, cells))
+        .when(all_named, _drop_nulls(plain))
+        .otherwise(F.map_from_entries(picked))
+    )
 
 
 def _standard_record(found: Column) -> Column:
     """The object below ``attributes`` if there is one, else the object itself."""
-    return _drop_nulls(F.coalesce(F.from_json(found["attributes"], _RECORD), found))
+    return _drop_nulls(F.coalesce(_parsed(found["attributes"], _RECORD), found))
 
 
 def _fields() -> Column:
@@ -84,10 +100,13 @@ def compact_rows(pages: DataFrame) -> DataFrame:
     # The names are made ready before the explode: once per page, not once per row.
     named = pages.select(*keep, _names(_fields()).alias("_names"), "data")
     rows = named.select(
-        *keep, "_names", F.posexplode(_elements(F.col("data"), _STRINGS)).alias("pos", "_cells")
+        *keep,
+        "_names",
+        _all_named(F.col("_names")).alias("_all_named"),
+        F.posexplode(_elements(F.col("data"), _STRINGS)).alias("pos", "_cells"),
     )
     return rows.filter(F.col("_cells").isNotNull()).select(
-        *keep, "pos", _compact_record(F.col("_names"), F.col("_cells")).alias("record")
+        *keep, "pos", _compact_record(F.col("_names"), F.col("_all_named"), F.col("_cells")).alias("record")
     )
 
 
@@ -114,25 +133,30 @@ def page_rows(pages: DataFrame) -> DataFrame:
     elements = F.transform(
         F.from_json("data", _STRINGS),
         lambda text: F.struct(
-            F.when(compact, F.from_json(text, _STRINGS)).alias("cells"),
-            F.when(~compact, F.from_json(text, _RECORD)).alias("object"),
+            F.when(compact, _parsed(text, _STRINGS)).alias("cells"),
+            F.when(~compact, _parsed(text, _RECORD)).alias("object"),
         ),
     )
-    rows = named.select(*keep, "_names", F.posexplode(elements).alias("pos", "_e"))
+    all_named = _all_named(F.col("_names")).alias("_all_named")
+    rows = named.select(*keep, "_names", all_named, F.posexplode(elements).alias("pos", "_e"))
     cells, found = F.col("_e.cells"), F.col("_e.object")
-    record = F.when(cells.isNotNull(), _compact_record(F.col("_names"), cells)).otherwise(
-        _standard_record(found)
-    )
+    compact_record = _compact_record(F.col("_names"), F.col("_all_named"), cells)
+    record = F.when(cells.isNotNull(), compact_record).otherwise(_standard_record(found))
     return rows.filter(cells.isNotNull() | found.isNotNull()).select(
         *keep, "pos", record.alias("record")
     )
 
 
-def unreadable_pages(pages: DataFrame) -> DataFrame:
-    """Pages whose ``data`` is no JSON at all; they yield no rows and need a warning."""
+def is_unreadable() -> Column:
+    """Whether a page's ``data`` is no JSON at all."""
     broken = F.col("data").isNotNull() & F.try_parse_json("data").isNull()
     # Repeated keys are legal here but not in the variant parser.
-    return pages.filter(broken & F.from_json("data", _STRINGS).isNull()).select(*_carried(pages))
+    return broken & F.from_json("data", _STRINGS).isNull()
+
+
+def unreadable_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose ``data`` is no JSON at all; they yield no rows and need a warning."""
+    return pages.filter(is_unreadable()).select(*_carried(pages))
 
 
 def symbol_universe(pages: DataFrame) -> DataFrame:

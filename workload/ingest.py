@@ -70,8 +70,8 @@ def compact_pages(quotes: DataFrame, *carried: str, dataset: str = "options") ->
 
 def _entries_text(record: Column) -> Column:
     """A record as sorted ``name=value`` text, to compare maps between engines."""
-    pairs = F.transform(F.map_entries(record), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return F.array_join(F.array_sort(pairs), ",").alias("entries")
+    pairs = F.zip_with(F.map_keys(record), F.map_values(record), lambda k, v: F.concat(k, F.lit("="), v))
+    return F.array_join(F.sort_array(pairs), ",").alias("entries")
 
 
 def _sorted_pairs_sql(names: tuple[str, ...], columns: tuple[str, ...]) -> str:
@@ -96,7 +96,7 @@ UNION ALL SELECT {_ORDER_SQL}, 1, {_SHORT_PAIRS} FROM quotes
 UNION ALL SELECT {_ORDER_SQL}, 4, {_ALL_PAIRS} FROM quotes""",
 )
 def ingest_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = compact_pages(views.exchange_quotes(spark, sf_dir), *_ORDER)
+    pages = compact_pages(views.spread(views.exchange_quotes(spark, sf_dir)), *_ORDER)
     return envelope.compact_rows(pages).select(*_ORDER, "pos", _entries_text(F.col("record")))
 
 
@@ -145,7 +145,7 @@ FROM events CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 6) G
 )
 def ingest_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both forms in one load, with pages that hold nothing, null, no array, or no JSON."""
-    compact = compact_pages(views.exchange_quotes(spark, sf_dir)).withColumn("source", F.lit("compact"))
+    compact = compact_pages(views.spread(views.exchange_quotes(spark, sf_dir))).withColumn("source", F.lit("compact"))
     standard = standard_pages(spark, sf_dir).drop("event_id").withColumn("source", F.lit("standard"))
     status = F.col("o_orderstatus")
     empty = views.table(spark, sf_dir, "orders").select(
@@ -305,7 +305,7 @@ def symbol_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads of pages land as files and are streamed into a lake, in two runs."""
     scratch = views.scratch_dir(spark, "stream")
-    quotes = views.exchange_quotes(spark, sf_dir)
+    quotes = views.spread(views.exchange_quotes(spark, sf_dir))
     lake = views.scratch_lake(spark, "stream-lake")
     for load in (quotes, _corrections(quotes)):
         pages = stream_pages(load)
@@ -383,7 +383,7 @@ FROM p""",
 )
 def load_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options pages of all lines and prices pages of all events in one load, with its report."""
-    lines = stream_pages(views.exchange_quotes(spark, sf_dir))
+    lines = stream_pages(views.spread(views.exchange_quotes(spark, sf_dir)))
     options = lines.withColumns(
         {
             "symbol": F.get_json_object("data", "$[0][0]"),
@@ -403,7 +403,7 @@ def _hard_load(spark: SparkSession, sf_dir: str) -> Lake:
     none = F.lit(None).cast("string")
     asked = F.when(line == 4, none).otherwise(F.lower("underlying_symbol"))
     own = F.when(line == 1, F.lower("underlying_symbol")).when(line == 3, "no/good").when(line.isin(2, 4), none)
-    quotes = views.exchange_quotes(spark, sf_dir).withColumn("asked", asked)
+    quotes = views.spread(views.exchange_quotes(spark, sf_dir)).withColumn("asked", asked)
     quotes = quotes.withColumn("underlying_symbol", own.otherwise(F.col("underlying_symbol")))
     lake = views.scratch_lake(spark, "hard-lake")
     load_pages(

@@ -67,6 +67,15 @@ def exchange_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prices(table(spark, sf_dir, "orders"), F.col("o_orderstatus"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly over four tasks a core.
+
+    For rows that a page of JSON is made of each: files are packed by their bytes into hardly more tasks
+    than there are cores, and a second round of few tasks would keep all others waiting.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def listing_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quotes(table(spark, sf_dir, "lineitem"), F.col("l_partkey").cast("string"))
 
