@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strikelake.llm.shared import store, text_or_empty
+from strikelake.llm.shared import passing, store, text_or_empty
 
 FIRST, GROWTH = 64, 16
 # Replaces each run of white space by one space, touching only runs that are not one space already.
@@ -31,15 +31,16 @@ def _split(docs: DataFrame, text: str, *columns) -> DataFrame:
     """
     size = F.octet_length(normalised(text))
     cut = F.substring(normalised(text).cast("binary"), 1, FIRST)
-    heads = docs.select(size.alias("_size"), cut.alias("_cut")).groupBy("_size", "_cut").agg(F.count("*").alias("_n"))
-    heads = store(heads.filter("_n > 1").select("_size", "_cut", F.monotonically_increasing_id().alias("_group")), "radix-heads")
     body = normalised(text).cast("binary")
     whole = docs.select(*columns, body.alias("_body"))
     whole = whole.withColumns({"_size": F.octet_length("_body"), "_cut": F.substring("_body", 1, FIRST)})
-    # As many shared heads as copies: they are merged, at any size, not broadcast.
-    met = whole.join(heads.hint("merge"), ["_size", "_cut"], "left").drop("_cut")
-    named = met.withColumn("_body", F.when(F.col("_group").isNotNull(), F.col("_body")))
-    return store(named.withColumn("_row", F.monotonically_increasing_id()), "radix-rows")
+    with passing(docs.sparkSession):
+        heads = docs.select(size.alias("_size"), cut.alias("_cut")).groupBy("_size", "_cut").agg(F.count("*").alias("_n"))
+        heads = store(heads.filter("_n > 1").select("_size", "_cut", F.monotonically_increasing_id().alias("_group")), "radix-heads")
+        # As many shared heads as copies: they are merged, at any size, not broadcast.
+        met = whole.join(heads.hint("merge"), ["_size", "_cut"], "left").drop("_cut")
+        named = met.withColumn("_body", F.when(F.col("_group").isNotNull(), F.col("_body")))
+        return store(named.withColumn("_row", F.monotonically_increasing_id()), "radix-rows", lasting=True)
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -97,7 +98,9 @@ def drop_copies(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") -
     """The rows that ``mark_copies`` keeps, with all their columns, whatever those are called."""
     record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_record")
     rows = _split(docs, text, record, F.col(ident).alias("_id"))
-    dropped = _groups(rows).filter(F.col("_first.row") != F.col("_row")).select("_row")
+    with passing(docs.sparkSession):
+        dropped = _groups(rows).filter(F.col("_first.row") != F.col("_row")).select("_row")
+        dropped = store(dropped, "radix-dropped", lasting=True)
     single = rows.filter(F.col("_group").isNull()).select("_record")
     shared = rows.filter(F.col("_group").isNotNull()).join(dropped, "_row", "left_anti").select("_record")
     return single.unionByName(shared).select("_record.*")

@@ -177,13 +177,16 @@ def mix(
     at = F.array_sort(F.collect_list(F.struct("block", "mix_slot", "begin"))).alias("at")
     of_pile = (
         placed.join(begins, "mix_slot")
-        .groupBy(F.col("source").alias("of"), F.col("pile").alias("in_pile"))
+        .groupBy(F.struct("source").alias("of"), "pile")
         .agg(F.first("start").alias("start"), F.first("low").alias("low"), F.first("quota").alias("quota"), at)
     )
-    in_pile = Window.partitionBy("source", "pile").orderBy("digest", "record.doc_id")
+    # A struct is never null, so rows without a source meet by plain equality and stay where the window has
+    # them: one exchange of whole records serves both.
+    in_pile = Window.partitionBy("of", "pile").orderBy("digest", "record.doc_id")
     numbered = (
-        keyed.withColumn("r", F.row_number().over(in_pile) - 1)
-        .join(of_pile, F.col("source").eqNullSafe(F.col("of")) & (F.col("pile") == F.col("in_pile")))
+        keyed.withColumn("of", F.struct("source"))
+        .withColumn("r", F.row_number().over(in_pile) - 1)
+        .join(of_pile.hint("merge"), ["of", "pile"])
         .withColumn("n", F.col("r") + F.col("start"))
         .withColumn("block", F.expr(f"n div {block_rows}"))
         .withColumn("of_block", F.expr("at[cast(block - low AS int)]"))

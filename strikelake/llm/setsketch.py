@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strikelake.llm.components import components
-from strikelake.llm.shared import give_back, slices, store
+from strikelake.llm.shared import give_back, passing, slices, store
 from strikelake.llm.words import Hasher, mix, shingles, spans
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -408,5 +408,7 @@ def drop_near(
     rows = store(docs.select(record, F.monotonically_increasing_id().alias("_row")), "near-rows")
     field = F.col("_record").getField
     named = rows.select("_row", field(ident).alias("_id"), field(text).alias("_text"))
-    dropped = _grouped(named, words, percent).filter("NOT stays").select("_row")
+    with passing(docs.sparkSession):
+        dropped = _grouped(named, words, percent).filter("NOT stays").select("_row")
+        dropped = store(dropped, "near-dropped", lasting=True)
     return rows.join(dropped, "_row", "left_anti").select("_record.*")

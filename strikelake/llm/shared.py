@@ -6,12 +6,16 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("_PASSING", default=())
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,17 +33,35 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: a cut in the lineage that outlives executors.
 
-    The folder is the cluster's to expire; a table may still be read when the caller's result is.
+    The folder is the cluster's to expire; a table may still be read when the caller's result is. Inside
+    ``passing`` tables go at its end; a ``lasting`` one outlives the innermost.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    around = _PASSING.get()[:-1] if lasting else _PASSING.get()
+    if around:
+        around[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end; what is handed out must read ``lasting`` ones alone."""
+    paths: list[str] = []
+    outer = _PASSING.set((*_PASSING.get(), paths))
+    try:
+        yield
+    finally:
+        _PASSING.reset(outer)
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
