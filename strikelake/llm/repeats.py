@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strikelake.llm.shared import schema_with, slices, store, with_columns
+from strikelake.llm.shared import give_back, schema_with, slices, store, with_columns
 from strikelake.llm.words import Hasher, mix
 
 SEED_BYTES = 32
@@ -89,6 +89,8 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
                         ],
                         names=["_row", "start", "n", "place", "key", "whole"],
                     )
+            del batch
+        give_back()
 
     return rows.select("_row", "_text").mapInArrow(
         run, "_row bigint, start bigint, n int, place int, key bigint, whole bigint"
@@ -99,17 +101,18 @@ class RunIndex:
     """Run-compressed Burrows-Wheeler transform of a few regions, and their matching statistics.
 
     ``text`` holds the regions one after the other, ``ends`` where each ends. Suffixes end with their
-    region; of equal ones the earlier region's is smaller.
+    region; of equal ones the earlier region's is smaller. Places and ranks are 32-bit numbers.
     """
 
     def __init__(self, text: np.ndarray, ends: np.ndarray):
         self.text, self.n = text, len(text)
         begins = np.concatenate([[0], ends[:-1]])
         sizes = ends - begins
-        self.end = np.repeat(ends, sizes)
-        left = self.end - np.arange(self.n)
+        left = np.repeat(ends, sizes).astype(np.int32) - np.arange(self.n, dtype=np.int32)
         order = self._sorted(left, int(sizes.max(initial=0)))
-        before = np.where(np.arange(self.n) == np.repeat(begins, sizes), -1, np.concatenate([[0], text[:-1]]).astype(np.int32))
+        before = np.empty(self.n, np.int16)
+        before[1:] = text[:-1]
+        before[begins[sizes > 0]] = -1
         transform = before[order]
         new = np.ones(self.n, bool)
         new[1:] = (transform[1:] != transform[:-1]) | (transform[1:] < 0)
@@ -127,37 +130,45 @@ class RunIndex:
     def _sorted(self, left: np.ndarray, longest: int) -> np.ndarray:
         """Suffixes in order: by their first 7 bytes, then by doubling what is compared among ties."""
         n, text = self.n, np.concatenate([self.text, np.zeros(8, np.uint8)])
+        if not n:
+            return np.empty(0, np.int32)
         key = np.zeros(n, np.uint64)
         for j in range(7):
-            byte = np.where(left > j, text[j : j + n], 0).astype(np.uint64)
-            key = (key << np.uint64(8)) | byte
-        key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
-        order = np.argsort(key)
-        sorted_key = key[order]
-        group = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])[:n]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[:n] if n else group
-        rank = np.empty(n + 1, np.int64)
-        rank[order] = first[group] + 1
-        rank[n] = 0
+            key <<= np.uint64(8)
+            key |= np.where(left > j, text[j : j + n], np.uint8(0))
+        key <<= np.uint64(8)
+        key |= np.minimum(left, 7).astype(np.uint8)
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        first = np.zeros(n, np.int32)
+        first[1:] = np.where(key[1:] != key[:-1], np.arange(1, n, dtype=np.int32), 0)
+        del key
+        rank = np.zeros(n + 1, np.int32)
+        rank[order] = np.maximum.accumulate(first) + 1
+        del first
         h = 7
-        while h < longest and n:
+        while h < longest:
             at_rank = rank[order]
             tied = np.concatenate([at_rank[1:] == at_rank[:-1], [False]])
+            del at_rank
             tied[1:] |= tied[:-1].copy()
-            where = np.flatnonzero(tied)
+            where = np.flatnonzero(tied).astype(np.int32)
             if not len(where):
                 break
             mine = order[where]
-            ahead = np.where(left[mine] > h, rank[np.minimum(mine + h, n)], 0)
-            two = (rank[mine] << 32) | ahead
+            two = rank[mine].astype(np.int64) << 32
+            two |= np.where(left[mine] > h, rank[np.minimum(mine + h, n)], 0)
             by = np.argsort(two)
             order[where] = mine[by]
             two = two[by]
+            del mine, by
             fresh = np.concatenate([[True], two[1:] != two[:-1]])
-            rank[order[where]] = where[np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))] + 1
+            del two
+            rank[order[where]] = where[np.maximum.accumulate(np.where(fresh, np.arange(len(where), dtype=np.int32), 0))] + 1
             h *= 2
-        if n:
-            order = order[np.argsort((rank[order] << 32) | order)]
+        by = rank[order].astype(np.int64) << 32
+        by |= order
+        order = order[np.argsort(by)]
         return order
 
     def _match(self, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -179,12 +190,12 @@ class RunIndex:
 
     def statistics(self) -> np.ndarray:
         """Longest match of the suffix at each place with any other suffix, streamed from the samples."""
-        best = np.zeros(self.n, np.int64)
+        best, place = np.zeros(self.n, np.int32), np.arange(self.n, dtype=np.int32)
         for at, length in self.samples:
-            value = np.full(self.n, -1, np.int64)
+            value = np.full(self.n, -1, np.int32)
             value[at] = length
-            last = np.maximum.accumulate(np.where(value >= 0, np.arange(self.n), 0))
-            best = np.maximum(best, value[last] - (np.arange(self.n) - last))
+            last = np.maximum.accumulate(np.where(value >= 0, place, 0))
+            np.maximum(best, value[last] - (place - last), out=best)
         return best
 
 
@@ -212,6 +223,8 @@ def _indexed(regions: DataFrame, length: int) -> DataFrame:
             a, z = _runs((matches[at : at + n] >= length) | (w > 1))
             lo.append(a)
             hi.append(z)
+        del bodies, matches
+        give_back()
         return pa.table(
             [table.column("key"), table.column("whole"), pa.array(lo, pa.list_(pa.int32())), pa.array(hi, pa.list_(pa.int32()))],
             names=["key", "whole", "lo", "hi"],
@@ -242,6 +255,8 @@ def _split(regions: DataFrame, length: int, step: int) -> DataFrame:
             names = ["of_key", "of_whole", "weight", "start", "n", "place", "key", "whole", "body"]
             data = list(zip(*out, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(data, kinds, strict=True)], names=names)
+            del batch, cols, out, data
+        give_back()
 
     return regions.select("key", "whole", "weight", "n", "place", "body").mapInArrow(
         run,
@@ -331,6 +346,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
                 span_lo=pa.array(spans_lo, pa.list_(pa.int64())),
                 span_hi=pa.array(spans_hi, pa.list_(pa.int64())),
             )
+            del batch, columns, kept
+        give_back()
 
     whole = rows.withColumn("_bytes", F.coalesce(F.col("_text").cast("binary"), F.lit(b""))).drop("_text")
     marked = whole.join(marks, "_row", "left")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
+
+import numpy as np
 
 from strikelake.llm import exact, mixing, setsketch
+from strikelake.llm.repeats import RunIndex
 
 DOC = "doc_id bigint, text string, source string"
 
@@ -34,3 +38,17 @@ def test_dropping_copies_leaves_only_what_its_result_reads(spark):
         result = drop(docs)
         assert {x.rpartition("-")[0] for x in set(os.listdir(root)) - before} == left
         assert result.count() == kept
+
+
+def test_an_index_takes_little_memory_beside_its_text():
+    """op3_repeats: two tasks and their Python workers share an executor."""
+    draw = np.random.default_rng(1)
+    base = draw.integers(97, 123, 700).astype(np.uint8)
+    copies = np.tile(base, (600, 1))
+    copies[np.arange(600), draw.integers(0, 700, 600)] = 33
+    tracemalloc.start()
+    found = RunIndex(copies.ravel(), np.arange(1, 601) * 700).statistics()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found.reshape(600, 700).max(1) >= 350).all()
+    assert peak < 75 * copies.size
