@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 
 from strikelake.llm.shared import give_back, schema_with, slices, with_columns
 
-_MEMORY = 150_000  # distinct words whose ids a task remembers; a speed-up, results don't depend on it
+_MEMORY = 300_000  # distinct words whose ids a task remembers; a speed-up, results don't depend on it
+_MARKS = frozenset(".,;:!?")
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -64,23 +65,25 @@ class Replay:
         single = merges.single
         pairs = merges.of(np.repeat(single, 256), np.tile(single, 256))
         self.first = pairs.reshape(256, 256)
+        self.whole = {b"": b""} | {t: r.to_bytes(4, "little") for t, r in merges.rank.items()}
 
     def ids(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each word. A word that is a token is that token."""
-        rank = self.merges.rank
-        out: list[np.ndarray] = [
-            np.array([rank[w]] if w in rank else [], np.int32) for w in words
-        ]
-        todo = [i for i, w in enumerate(words) if w and w not in rank]
+        return [np.frombuffer(x, "<u4").astype(np.int32) for x in self.coded(words)]
+
+    def coded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers."""
+        out = list(map(self.whole.get, words))
+        todo = [i for i, x in enumerate(out) if x is None]
         if todo:
-            lengths = np.array([len(words[i]) for i in todo])
-            token = self._merged(np.frombuffer(b"".join(words[i] for i in todo), np.uint8), lengths)
+            merged = [words[i] for i in todo]
+            lengths = np.fromiter(map(len, merged), np.int64, len(merged))
+            token = self._merged(np.frombuffer(b"".join(merged), np.uint8), lengths)
             alive = token >= 0
-            ends = np.cumsum(lengths)
-            cuts = np.concatenate([[0], np.cumsum(alive)[ends - 1]]).tolist()
-            token = token[alive]
-            for k, i in enumerate(todo):
-                out[i] = token[cuts[k] : cuts[k + 1]]
+            cuts = (4 * np.cumsum(alive)[np.cumsum(lengths) - 1]).tolist()
+            data = token[alive].astype("<u4").tobytes()
+            for i, lo, hi in zip(todo, [0, *cuts[:-1]], cuts, strict=True):
+                out[i] = data[lo:hi]
         return out
 
     def _merged(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -177,15 +180,28 @@ class Encoder:
         self.inner: dict[str, bytes] = {}  # by what follows the space
         self.odd = regex.compile(r" (?:\s|\Z)")
 
-    def _learn(self, cuts: list[str]) -> list[bytes]:
-        # A space and letters are one match.
-        split = [(c,) if c[1:].isalpha() and c[0] == " " else self.pattern.findall(c) for c in cuts]
-        words = list({w for ws in split for w in ws})
-        ids = self.replay.ids([w.encode() for w in words])
-        of = {w: i.astype("<u4").tobytes() for w, i in zip(words, ids, strict=True)}
-        return [of[ws[0]] if len(ws) == 1 else b"".join(map(of.__getitem__, ws)) for ws in split]
-
-    def _cuts(self, text: str) -> list[str]:
+    def _learn(self, heads: set[str], fresh: set[str]) -> dict[str, bytes]:
+        """Ids of text beginnings. Those of ``fresh``, what follows a space, are remembered."""
+        inner = self.inner
+        # A space and letters are one match, and so is a mark alone behind them.
+        plain = [c for c in fresh if c.isalpha()]
+        inner.update(zip(plain, self.replay.coded([(" " + c).encode() for c in plain]), strict=True))
+        rest = list(fresh.difference(plain))
+        split = [
+            (" " + c[:-1], c[-1]) if c[-1:] in _MARKS and c[:-1].isalpha() else self.pattern.findall(" " + c)
+            for c in rest
+        ]
+        firsts = list(heads)
+        split += map(self.pattern.findall, firsts)
+        # A match that begins with a space may be a cut that is known.
+        of = {m: inner.get(m[1:]) if m[0] == " " else None for ms in split for m in ms}
+        words = [m for m, x in of.items() if x is None]
+        of.update(zip(words, self.replay.coded([m.encode() for m in words]), strict=True))
+        ids = [b"".join(map(of.__getitem__, ms)) for ms in split]
+        inner.update(zip(rest, ids, strict=False))
+        return dict(zip(firsts, ids[len(rest) :], strict=True))
+
+    def _cuts(self, text: str) -> tuple[str, list[str]]:
         """The text up to the first cut, then what follows the space of each cut."""
         out = text.split(" ")
         if self.odd.search(text):
@@ -199,23 +215,20 @@ class Encoder:
                     run = [c]
             joined.append(" ".join(run))
             out = joined
-        return out
+        return out.pop(0), out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cuts(t) for t in texts]
-        heads = {cs[0] for cs in cut}
-        fresh: set[str] = set()
-        for cs in cut:
-            fresh.update(cs[1:])
+        used: set[str] = set()
+        for _, cs in cut:
+            used.update(cs)
+        fresh = used.difference(self.inner)
         if len(self.inner) + len(fresh) > _MEMORY:
-            self.inner = {}
-        fresh.difference_update(self.inner)
-        firsts, rest = list(heads), list(fresh)
-        ids = self._learn(firsts + [" " + c for c in rest])
-        head_ids = dict(zip(firsts, ids[: len(firsts)], strict=True))
-        self.inner.update(zip(rest, ids[len(firsts) :], strict=True))
+            # What comes again is the likeliest to come once more.
+            self.inner = {c: self.inner[c] for c in used.difference(fresh)}
+        heads = self._learn({head for head, _ in cut}, fresh)
         inner = self.inner.__getitem__
-        return [head_ids[cs[0]] + b"".join(map(inner, cs[1:])) for cs in cut]
+        return [heads[head] + b"".join(map(inner, cs)) for head, cs in cut]
 
 
 def _parts(batch: pa.RecordBatch, column: str, size: int):

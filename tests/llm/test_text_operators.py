@@ -56,6 +56,18 @@ def test_memory_of_words_does_not_change_ids(monkeypatch):
         ]
 
 
+def test_words_that_come_again_are_not_merged_again(monkeypatch):
+    """A full memory keeps what the texts at hand use, and a mark behind a word is no new word."""
+    merged, plain = [], bpe.Replay._merged
+    monkeypatch.setattr(bpe.Replay, "_merged", lambda self, data, n: merged.append(bytes(data)) or plain(self, data, n))
+    monkeypatch.setattr(bpe, "_MEMORY", 3)
+    encoder = bpe.Encoder(MERGES, public_tokenizers.PATTERN)
+    for text, new in (("x qzxvqj wvkqzz", True), ("y qzxvqj wvkqzz new. wvkqzz,\n\nwvkqzz", False)):
+        merged.clear()
+        assert ids(text, encoder) == TIKTOKEN.encode_ordinary(text)
+        assert (b" qzxvqj" in b"".join(merged)) == (b" wvkqzz" in b"".join(merged)) == new
+
+
 def test_a_pair_of_lower_rank_that_a_merge_brings_up_comes_first():
     tokens = [bytes([b]) for b in range(256)]
     tokens += [b"bcd", b"ab", b"cd", b"abab"]  # merging c d makes b + cd, which has a lower rank
