@@ -57,6 +57,29 @@ def _coverage_aggregates() -> list[Column]:
     ]
 
 
+def _option_counts(df: DataFrame) -> list[Column]:
+    return [
+        F.count("*").alias("n_rows"),
+        *null_counts(df, OPTION_REQUIRED),
+        *zero_counts(df),
+        *delta_outlier_counts(df),
+    ]
+
+
+def _price_counts(df: DataFrame) -> list[Column]:
+    return [F.count("*").alias("n_rows"), *null_counts(df, PRICE_REQUIRED), *nonpositive_counts(df)]
+
+
+def options_totals(df: DataFrame) -> DataFrame:
+    """Rows, nulls, zeros and outliers of each symbol: the sums of :func:`options_daily`."""
+    return df.groupBy(F.col("underlying_symbol").alias("symbol")).agg(*_option_counts(df))
+
+
+def prices_totals(df: DataFrame) -> DataFrame:
+    """Rows, nulls and non-positive levels of each symbol: the sums of :func:`prices_daily`."""
+    return df.groupBy("symbol").agg(*_price_counts(df))
+
+
 def options_daily(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Rows, nulls, zeros, outliers and coverage of each symbol and quote date.
 
@@ -66,11 +89,7 @@ def options_daily(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     day = F.col("quote_date") if usable else F.lit(None).cast("date")
     coverage = _coverage_aggregates() if coverage_inputs(df) is None else []
     return df.groupBy(F.col("underlying_symbol").alias("symbol"), day.alias("day"), *also).agg(
-        F.count("*").alias("n_rows"),
-        *null_counts(df, OPTION_REQUIRED),
-        *zero_counts(df),
-        *delta_outlier_counts(df),
-        *coverage,
+        *_option_counts(df), *coverage
     )
 
 
@@ -78,9 +97,7 @@ def prices_daily(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Rows, nulls and non-positive levels of each symbol and price date, with the columns ``also``."""
     usable = has_type(df, "date", T.DateType)
     day = F.col("date") if usable else F.lit(None).cast("date")
-    return df.groupBy("symbol", day.alias("day"), *also).agg(
-        F.count("*").alias("n_rows"), *null_counts(df, PRICE_REQUIRED), *nonpositive_counts(df)
-    )
+    return df.groupBy("symbol", day.alias("day"), *also).agg(*_price_counts(df))
 
 
 def coverage_figures() -> list[Column]:
