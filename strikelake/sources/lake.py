@@ -27,9 +27,10 @@ import json
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from strikelake.operators.calendar import date_range
 from strikelake.operators.merge import coerce, keep_last
@@ -66,7 +67,7 @@ MANIFEST_SCHEMA = T.StructType(
 _WIDER = {"int": ("bigint", "double"), "float": ("double",)}
 _PART = ["bucket", "period"]
 _PARTS_DDL = "bucket int, period int, version bigint"
-_ARRIVAL, _REASON, _RANK = "_arrival", "reason", "_rank"
+_ARRIVAL, _REASON, _RANK, _APART = "_arrival", "reason", "_rank", "_apart"
 
 Part = tuple[int, int]
 
@@ -566,10 +567,16 @@ class Lake:
         columns = {c: F.col(c) if c in typed.columns else F.lit(None).cast(types[c]) for c in ds.schema.names}
         if "extras" in types and unknown:
             texts = [x for c in unknown for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
-            own = F.map_filter(F.create_map(*texts), lambda _, v: v.isNotNull())
-            told = F.map_filter(columns["extras"], lambda k, _: ~k.isin(unknown))
-            both = F.map_concat(F.coalesce(told, F.create_map().cast("map<string,string>")), own)
-            columns["extras"] = F.when(F.size(both) > 0, both)
+            told = F.create_map(*texts)
+            filled = F.map_filter(told, lambda _, v: v.isNotNull())
+            if "extras" in typed.columns:
+                kept = F.map_filter(columns["extras"], lambda k, _: ~k.isin(unknown))
+                both = F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), filled)
+                columns["extras"] = F.when(F.size(both) > 0, both)
+            else:
+                # Rows with a value in every column need no look at each.
+                full = reduce(Column.__and__, [c.isNotNull() for c in texts[1::2]])
+                columns["extras"] = F.when(full, told).when(F.size(filled) > 0, filled)
         symbol = columns[ds.symbol]
         valid = is_valid_symbol(symbol)
         columns[ds.symbol] = F.when(valid, F.upper(symbol)).otherwise(symbol)
@@ -584,24 +591,28 @@ class Lake:
             .select("*", *self._place(ds))
         )
 
-    def _stage(self, ds: Dataset, rows: DataFrame, order_by: Sequence[str], version: int, staged: bool) -> tuple[DataFrame, int]:
-        """What can be stored of a load and how many rows that is. The rest goes to the rejects.
+    def _stage(
+        self, ds: Dataset, rows: DataFrame, order_by: Sequence[str], version: int, staged: bool
+    ) -> tuple[DataFrame, DataFrame, int]:
+        """What can be stored of a load, the newest row of each of its keys, and how many the former are.
 
-        The load is computed once and written, unless it is a stored table already; both counts come
-        with that one pass.
+        The load is computed once, and only its newest rows are written, so that many copies of a key cost
+        no more than their way to it. Of a stored table nothing is written. The rest goes to the rejects.
         """
         counts = [F.count_if(F.col(_REASON).isNull()).alias("good"), F.count_if(F.col(_REASON).isNotNull()).alias("bad")]
         conformed = self._conform(ds, rows, order_by)
-        if staged:
-            found = conformed.agg(*counts).first().asDict()
-        else:
-            path, seen = self._dir(ds, "stage", f"version={version}"), Observation()
-            conformed.observe(seen, *counts).write.mode("errorifexists").parquet(path)
-            conformed, found = self.spark.read.schema(conformed.schema).parquet(path), seen.get
+        if not staged:
+            path = self._dir(ds, "stage", f"version={version}")
+            newest = self._latest(ds, conformed, rows.columns, order_by)
+            newest.write.mode("errorifexists").parquet(path)
+            conformed = self.spark.read.schema(newest.schema).parquet(path)
+        found = conformed.agg(*counts).first().asDict()
         if found["bad"]:
             bad = conformed.filter(F.col(_REASON).isNotNull())
             bad.select(*ds.schema.names, _REASON).write.parquet(self._dir(ds, "rejects", f"version={version}"))
-        return conformed.filter(F.col(_REASON).isNull()), found["good"]
+        good = conformed.filter(F.col(_REASON).isNull())
+        latest = self._latest(ds, good, rows.columns, order_by) if staged else good
+        return good, latest.drop(_REASON), found["good"]
 
     def _store(self, ds: Dataset, rows: DataFrame, total: int, version: int, counted: DataFrame | None = None) -> None:
         """Write rows as a version: one exchange by part, and by a hash of the key where a part has many rows.
@@ -627,18 +638,20 @@ class Lake:
         )
 
     def _latest(self, ds: Dataset, new: DataFrame, brought: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-        """The newest row of every key of a load, with its part.
+        """The newest row of every key of a load, with its part; every row that cannot be stored.
 
         Only columns that the load brought are moved for it: the others are null, and the part follows
         from the key.
         """
         keys = (ds.symbol, *ds.keys)
+        apart = F.when(F.col(_REASON).isNotNull(), F.col(_ARRIVAL)).alias(_APART)
         own = {*brought, *keys, "extras"}
         moved = [c for c in ds.schema.names if c in own]
         order = [*order_by, _ARRIVAL]
-        rows = keep_last(new.select(*moved, *[c for c in order if c not in moved]), keys, order)
+        own_order = [c for c in order if c not in moved]
+        rows = keep_last(new.select(*moved, *own_order, _REASON, apart), (*keys, _APART), order)
         columns = [F.col(c) if c in own else F.lit(None).cast(ds.types[c]).alias(c) for c in ds.schema.names]
-        return rows.select(*columns, *self._place(ds))
+        return rows.select(*columns, _REASON, *self._place(ds))
 
     def _place(self, ds: Dataset) -> list[Column]:
         """The part of a row."""
@@ -659,11 +672,10 @@ class Lake:
         if state.holds(batch):
             return
         version = self._take_version(ds)
-        new, total = self._stage(ds, rows, order_by, version, staged)
+        new, latest, total = self._stage(ds, rows, order_by, version, staged)
         absent = F.array(*[F.lit(c) for c in ds.schema.names if c not in rows.columns and c != "extras"])
         absent = absent.cast("array<string>")
         if total:
-            latest = self._latest(ds, new, rows.columns, order_by)
             if replace:
                 loaded = new.select(F.col(ds.symbol).alias("symbol")).distinct()
                 brought = new.select(*_PART, F.col(ds.symbol).alias("symbol")).distinct().withColumn("lacks", absent)
