@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strikelake.llm import bpe, exact, mixing, quality, setsketch
-from strikelake.llm.shared import store
+from strikelake.llm.shared import passing, small_batches, store
 
 #: A model's verdict is no matter for SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -49,18 +49,21 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     placed = mixing.mix(docs.select("doc_id", "source", "text")).drop("block", "quota")
-    encoded = bpe.encode(placed, tokens, public_tokenizers.PATTERN).drop("text")
-    digests = bpe.decode(encoded, tokens).select(
-        "doc_id",
-        "source",
-        "mix_slot",
-        "position",
-        F.expr("octet_length(ids) div 4").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-    # Sorting looks at its input twice, so the texts are encoded once and only the digests sorted.
-    return mixing.in_order(store(digests, "pipeline-digests"))
+    with passing(spark), small_batches(spark):
+        # Ids are stored, so that a task has one Python worker at a time, and encoding's memory is back for decoding.
+        encoded = store(bpe.encode(placed, tokens, public_tokenizers.PATTERN).drop("text"), "pipeline-ids")
+        digests = bpe.decode(encoded, tokens).select(
+            "doc_id",
+            "source",
+            "mix_slot",
+            "position",
+            F.expr("octet_length(ids) div 4").alias("n_tokens"),
+            F.sha2("ids", 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256"),
+        )
+        # Sorting looks at its input twice, so the texts are encoded once and only the digests sorted.
+        digests = store(digests, "pipeline-digests", lasting=True)
+    return mixing.in_order(digests)
 
 
 STAGES = [

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -180,13 +182,13 @@ class Encoder:
         self.inner: dict[str, bytes] = {}  # by what follows the space
         self.odd = regex.compile(r" (?:\s|\Z)")
 
-    def _learn(self, heads: set[str], fresh: set[str]) -> dict[str, bytes]:
+    def _learn(self, heads: set[str], fresh: list[str]) -> dict[str, bytes]:
         """Ids of text beginnings. Those of ``fresh``, what follows a space, are remembered."""
         inner = self.inner
         # A space and letters are one match, and so is a mark alone behind them.
         plain = [c for c in fresh if c.isalpha()]
         inner.update(zip(plain, self.replay.coded([(" " + c).encode() for c in plain]), strict=True))
-        rest = list(fresh.difference(plain))
+        rest = [c for c in fresh if not c.isalpha()]
         split = [
             (" " + c[:-1], c[-1]) if c[-1:] in _MARKS and c[:-1].isalpha() else self.pattern.findall(" " + c)
             for c in rest
@@ -218,17 +220,22 @@ class Encoder:
         return out.pop(0), out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cuts(t) for t in texts]
-        used: set[str] = set()
-        for _, cs in cut:
-            used.update(cs)
-        fresh = used.difference(self.inner)
+        # A word is held once, however often it comes: what stands where are numbers.
+        numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        heads, places = [], []
+        for t in texts:
+            head, cs = self._cuts(t)
+            heads.append(head)
+            places.append(np.fromiter(map(numbers.__getitem__, cs), np.int32, len(cs)))
+        used = list(numbers)
+        del numbers
+        fresh = [c for c in used if c not in self.inner]
         if len(self.inner) + len(fresh) > _MEMORY:
             # What comes again is the likeliest to come once more.
-            self.inner = {c: self.inner[c] for c in used.difference(fresh)}
-        heads = self._learn({head for head, _ in cut}, fresh)
-        inner = self.inner.__getitem__
-        return [heads[head] + b"".join(map(inner, cs)) for head, cs in cut]
+            self.inner = {c: self.inner[c] for c in used if c in self.inner}
+        first = self._learn(set(heads), fresh)
+        ids = list(map(self.inner.__getitem__, used))
+        return [first[head] + b"".join(map(ids.__getitem__, p.tolist())) for head, p in zip(heads, places, strict=True)]
 
 
 def _parts(batch: pa.RecordBatch, column: str, size: int):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strikelake.llm.components import components
-from strikelake.llm.shared import give_back, passing, slices, store
+from strikelake.llm.shared import give_back, passing, slices, small_batches, store
 from strikelake.llm.words import Hasher, mix, shingles, spans
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -369,7 +369,8 @@ def _classes(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
 
 
 def _grouped(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    sketches, classes = _classes(rows, k, percent)
+    with small_batches(rows.sparkSession):
+        sketches, classes = _classes(rows, k, percent)
     return sketches.select("_row", "_id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").select(
         "_row",
         "_id",

@@ -62,6 +62,21 @@ def passing(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> Iterator[None]:
+    """Rows that Python reads while tables are stored inside come in batches of about ``size`` bytes at most.
+
+    A batch stands in the executor's direct memory and in its worker at once, and neither gives all of it back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
