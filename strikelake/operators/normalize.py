@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strikelake.functions import parse_date, parse_double
@@ -35,6 +37,9 @@ def normalize_quotes(rows: DataFrame, record: str = "record") -> DataFrame:
         else:
             value = parse_double(text)
         columns.append(value.alias(name))
-    extras = F.map_filter(r, lambda k, _: ~k.isin(*known)).alias("extras")
+    # As many known fields as there are fields: none is left over, and none is looked at by itself.
+    found = reduce(Column.__add__, [r[name].isNotNull().cast("int") for name in sorted(known)])
+    left = F.map_filter(r, lambda k, _: ~k.isin(*known))
+    extras = F.when(found == F.size(r), F.create_map().cast("map<string,string>")).otherwise(left).alias("extras")
     carried = [c for c in rows.columns if c != record and c not in API_FIELDS.values()]
     return rows.select(*columns, extras, *carried)

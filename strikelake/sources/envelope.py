@@ -53,9 +53,17 @@ def _names(fields: Column) -> Column:
     return F.when(differ, fields).otherwise(last_only)
 
 
+def _lacks_null(texts: Column) -> Column:
+    """Whether an array surely holds no null; where it holds one, or the text that is looked for, not true.
+
+    Looking for a text tells of nulls on the way, without a lambda, which no code is generated for.
+    """
+    return F.coalesce(~F.array_contains(texts, F.lit("\0")), F.lit(False))
+
+
 def _all_named(names: Column) -> Column:
     """Whether every position has a name: a name without its position is null, which is no key."""
-    return F.size(F.array_compact(names)) == F.size(names)
+    return _lacks_null(names)
 
 
 def _compact_record(names: Column, all_named: Column, cells: Column) -> Column:
@@ -69,7 +77,7 @@ def _compact_record(names: Column, all_named: Column, cells: Column) -> Column:
         F.arrays_zip(names.alias("key"), cells.alias("value")),
         lambda p: p["key"].isNotNull() & p["value"].isNotNull(),
     )
-    full = all_named & (F.size(names) == F.size(cells)) & ~F.exists(cells, lambda c: c.isNull())
+    full = all_named & (F.size(names) == F.size(cells)) & _lacks_null(cells)
     return (
         F.when(full, F.map_from_arrays(names, cells))
         .when(all_named, _drop_nulls(plain))
@@ -77,6 +85,24 @@ def _compact_record(names: Column, all_named: Column, cells: Column) -> Column:
     )
 
 
+def _rows_at_once(data: Column) -> Column:
+    """Rows of a compact page parsed in one pass, null where anything but plain rows may be in it.
+
+    Objects and escapes are left to the parsing of each element by itself.
+    """
+    plain = data.startswith("[[") & ~data.contains("{") & ~data.contains("\\")
+    return F.when(plain, F.from_json(data, f"array<{_STRINGS}>"))
+
+
+def _all_plain(rows: Column) -> Column:
+    """Whether all elements were rows, of cells that parsing a row by itself gives as well.
+
+    Without escapes a quote comes only from what is no text: an array of texts, or a number beyond a double.
+    """
+    whole = F.coalesce(~F.array_contains(rows, F.array(F.lit("\0"))), F.lit(False))
+    return whole & ~F.array_join(F.flatten(rows), "").contains('"')
+
+
 def _standard_record(found: Column) -> Column:
     """The object below ``attributes`` if there is one, else the object itself."""
     return _drop_nulls(F.coalesce(_parsed(found["attributes"], _RECORD), found))
@@ -124,21 +150,33 @@ def standard_rows(pages: DataFrame) -> DataFrame:
 def page_rows(pages: DataFrame) -> DataFrame:
     """Rows of any page: compact when it names its fields, else standard.
 
-    Both forms are read in one pass over the pages; a page without data yields nothing.
+    Both forms are read in one pass over the pages; a page without data yields nothing. A compact page
+    of nothing but rows is parsed at once, any other element by element.
     """
     keep = _carried(pages)
     # Null names mark a standard page. They are made ready once per page, before the explode.
-    named = pages.select(*keep, F.when(_is_compact(), _names(_fields())).alias("_names"), "data")
+    named = pages.select(
+        *keep,
+        F.when(_is_compact(), _names(_fields())).alias("_names"),
+        F.when(_is_compact(), _rows_at_once(F.col("data"))).alias("_rows"),
+        "data",
+    )
+    # Told ahead of the explode as well, which nothing is generated for.
+    all_plain = F.coalesce(_all_plain(F.col("_rows")), F.lit(False)).alias("_plain")
+    named = named.select(*keep, "_names", _all_named(F.col("_names")).alias("_all_named"), "_rows", all_plain, "data")
     compact = F.col("_names").isNotNull()
-    elements = F.transform(
+    each = F.transform(
         F.from_json("data", _STRINGS),
         lambda text: F.struct(
             F.when(compact, _parsed(text, _STRINGS)).alias("cells"),
             F.when(~compact, _parsed(text, _RECORD)).alias("object"),
         ),
     )
-    all_named = _all_named(F.col("_names")).alias("_all_named")
-    rows = named.select(*keep, "_names", all_named, F.posexplode(elements).alias("pos", "_e"))
+    at_once = F.transform(
+        "_rows", lambda cells: F.struct(cells.alias("cells"), F.lit(None).cast(_RECORD).alias("object"))
+    )
+    elements = F.when(F.col("_plain"), at_once).otherwise(each)
+    rows = named.select(*keep, "_names", "_all_named", F.posexplode(elements).alias("pos", "_e"))
     cells, found = F.col("_e.cells"), F.col("_e.object")
     compact_record = _compact_record(F.col("_names"), F.col("_all_named"), cells)
     record = F.when(cells.isNotNull(), compact_record).otherwise(_standard_record(found))

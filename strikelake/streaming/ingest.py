@@ -20,6 +20,7 @@ from strikelake.sources.lake import Lake
 from strikelake.sources.quotes import prices_from_quotes
 
 ARRIVAL = ("page_seq", "pos")
+_PRICED = "_priced"
 
 
 def quotes_of(rows: DataFrame) -> DataFrame:
@@ -49,8 +50,9 @@ def identified(rows: DataFrame) -> DataFrame:
 def write_batch(lake: Lake, stream: str, price_mode: str = "merge") -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` body: options pages are upserted, price pages stored.
 
-    Pages are parsed once, into a staging table that both datasets load from. ``stream`` names the query
-    whose batches these are; a batch that both datasets hold is not even parsed.
+    Pages are parsed once, into a staging table that both datasets load from: quotes of options in their
+    columns, records of prices as they are. ``stream`` names the query whose batches these are; a batch that
+    both datasets hold is not even parsed.
     """
 
     def write(pages: DataFrame, batch_id: int) -> None:
@@ -59,11 +61,15 @@ def write_batch(lake: Lake, stream: str, price_mode: str = "merge") -> Callable[
             return
         path = f"{lake.root}/staging/{uuid.uuid4().hex}"
         rows = page_rows(pages.filter(F.col("dataset").isin(*names)))
-        rows.write.partitionBy("dataset").parquet(path)
-        stored = lake.spark.read.schema(rows.schema).parquet(path)
+        own = {n: F.when(F.col("dataset") == n, F.col("record")) for n in names}
+        # No folder per dataset: the writer would sort every row for it. Files tell what they hold by their footers.
+        parsed = identified(rows.withColumns({"record": own["options"], _PRICED: own["prices"]}))
+        parsed.write.parquet(path)
+        stored = lake.spark.read.schema(parsed.schema).parquet(path)
         options, prices = (stored.filter(F.col("dataset") == n).drop("dataset") for n in names)
-        lake.upsert_options(identified(options).drop("symbol"), ARRIVAL, batch, staged=True)
-        lake.write_prices(prices_from_quotes(quotes_of(prices)), ARRIVAL, price_mode, batch, staged=True)
+        lake.upsert_options(options.drop("symbol", _PRICED), ARRIVAL, batch, staged=True)
+        quotes = quotes_of(prices.select("symbol", "page_seq", "pos", F.col(_PRICED).alias("record")))
+        lake.write_prices(prices_from_quotes(quotes), ARRIVAL, price_mode, batch, staged=True)
         lake.discard(path)
 
     return write
